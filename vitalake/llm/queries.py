@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.llm import tokens
+from vitalake.llm import leakage, tokens
 from vitalake.session import table
 
 
@@ -12,5 +12,9 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
-QUERIES = {"p8_ids": p8_ids}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
