@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.llm import leakage, tokens
+from vitalake.llm import leakage, mojibake, tokens
 from vitalake.session import table
 
 
@@ -16,5 +16,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.find_garbled(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restore(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 ORACLES: dict[str, str] = {}
