@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalake.llm import leakage, mojibake, tokens
-from vitalake.session import table
+from vitalake.session import materialise, table
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -17,11 +17,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.find_garbled(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+    return mojibake.find_garbled(table(spark, d, "documents"), "doc_id", "text", cache=materialise).select("doc_id")
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.restore(table(spark, d, "documents"), "doc_id", "text")
+    return mojibake.restore(table(spark, d, "documents"), "doc_id", "text", cache=materialise)
 
 
 QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
