@@ -4,10 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.llm import leakage, mojibake, tokens
+from vitalake.llm import languages, leakage, mojibake, scans, titles, tokens
 from vitalake.session import materialise, table
 
 
+def p1_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Open titles with their occupation, the entry they name and its score; unmatched titles are ``none``."""
+    rows = table(spark, d, "resolution_results").where("standardized is null")
+    return titles.resolve(rows, "result_id", "input", table(spark, d, "occupations"), "uri", "preferred_label", "alt_labels", cache=materialise)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_resolved(spark, d).select("result_id", "uri")
+
+
+def _posts(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "post_results")
+    return p.select("post_id", "text", p["stats.detected_language"].alias("label"))
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every text (line 0) and line with letters, with its language and a confidence."""
+    posts = _posts(spark, d)
+    return languages.label_lines(posts, "post_id", "text", languages.fit(posts, "post_id", "text", "label")).drop("mixed")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    posts = _posts(spark, d)
+    return languages.find_mislabelled(posts, "post_id", "text", "label", languages.fit(posts, "post_id", "text", "label")).select("post_id", "line_no", "lang")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.find_noise(table(spark, d, "pdf_results"), "pdf_id", "text", "page_count", cache=materialise)
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "pdf_results"), "pdf_id", "text", "page_count", cache=materialise)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
@@ -24,5 +58,5 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"), "doc_id", "text", cache=materialise)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_found": p1_found, "p1_resolved": p1_resolved, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_repaired": p3_repaired, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 ORACLES: dict[str, str] = {}
