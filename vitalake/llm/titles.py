@@ -33,9 +33,15 @@ _VOWELS = re.compile(r"[aeiouyäöüàâéèêëîïôûáíóú]")
 _CAMEL = re.compile(r"(?<=[a-zäöüß])(?=[A-ZÄÖÜ])")
 _ALIAS = re.compile(r"[|;,]")
 #: Least similarity of a token to a reference token, and of a whole entry (its tokens weighted by rarity).
-TOKEN, ENTRY = 0.55, 0.74
+TOKEN, ENTRY = 0.57, 0.74
+#: The same of entries written as one word, which hide their tokens.
+JOINED = 0.84
+#: Least similarity of reference tokens of up to five letters.
+SHORT_TOKEN = 0.5
 #: Tokens longer than this are looked up by one deletion, and by their consonants.
 LONG = 16
+#: Only reference tokens up to this length are abbreviated; longer ones are compounds.
+SHORT = 13
 
 
 def plain(text: str) -> str:
@@ -47,6 +53,8 @@ def plain(text: str) -> str:
         if letters >= 3 and any(c in LEET for c in w):
             keep = w.rstrip("!") if w.endswith("!") else w
             w = "".join(LEET.get(c, c) if 0 < i or c in "@134057$" else c for i, c in enumerate(keep))
+            if all(c.isupper() for c in keep if c.isalpha()):
+                w = w.upper()
         out.append(w)
     return "".join(out)
 
@@ -74,10 +82,10 @@ def tokens(title: str) -> list[str]:
     return out
 
 
-def grams_of(words: list[str], longest: int = 5) -> list[tuple[str, int, int]]:
-    """(form, first, last): tokens, neighbours written as one, and whole runs for titles without blanks."""
+def grams_of(words: list[str]) -> list[tuple[str, int, int]]:
+    """(form, first, last): tokens, and neighbours written as one."""
     out = [(w, i, i) for i, w in enumerate(words)]
-    out += [(words[i] + words[i + 1], i, i + 1) for i in range(len(words) - 1) if min(len(words[i]), len(words[i + 1])) <= 3]
+    out += [(words[i] + words[i + 1], i, i + 1) for i in range(len(words) - 1)]
     return list(dict.fromkeys(out))
 
 
@@ -95,7 +103,9 @@ def keys(word: str, reference: bool) -> set[str]:
         out |= {w[:i] + w[i + 1 :] for w in once for i in range(len(w))}
     out = {"w" + x for x in out if len(x) >= min(2, len(word))}
     s = skeleton(word)
-    if len(s) >= 3:
+    if len(s) == 2:
+        out.add("s" + s)
+    elif len(s) >= 3:
         some = {s} | {s[:i] + s[i + 1 :] for i in range(len(s))}
         if len(s) >= 8:
             some |= {x[:i] + x[i + 1 :] for x in some for i in range(len(x))}
@@ -140,14 +150,16 @@ def similarity(typed: str, reference: str) -> float:
     if typed.rstrip("s") == reference.rstrip("s") or typed in (reference + "in", reference + "en", reference + "innen"):
         best = max(best, 0.97)
     if typed[:1] == reference[:1] and len(typed) >= 2:
-        if len(typed) <= 6 and reference.startswith(typed):
+        if len(typed) <= 6 and len(reference) <= SHORT and reference.startswith(typed):
             best = max(best, 0.8 if len(typed) > 2 else 0.7)
         a, b = skeleton(typed), skeleton(reference)
         if a == b and len(a) >= 3:
             best = max(best, 0.85)
+        elif a == b == typed:
+            best = max(best, 0.75)
         elif len(a) >= 5 and distance(a, b, 2) <= (1 if len(a) < 8 else 2):
             best = max(best, 0.8 - 0.05 * distance(a, b, 2))
-        if 3 <= len(typed) <= 6 and len(typed) < len(reference) and _within(typed, reference):
+        if 3 <= len(typed) <= 6 and len(typed) < len(reference) <= SHORT and _within(typed, reference):
             best = max(best, 0.7)
         elif len(typed) > 6 and _within(typed, reference) and len(typed) >= 0.55 * len(reference):
             best = max(best, 0.78)
@@ -175,8 +187,8 @@ def entries(reference: DataFrame, uri: str, label: str, alias: str) -> DataFrame
         for b in batches:
             out = []
             for u, lab, al in zip(b["uri"], b["label"], b["alias"]):
-                out += [(" ".join(t), t, u, k) for x, k in [(lab, 0)] * bool(lab) + [(x, 1) for x in aliases(al)] if (t := tokens(x)) and u]
-                out += [(t, [t], u, k + 2) for e, w, _, k in list(out) if len(w) > 1 and (t := "".join(w))]
+                own = [(" ".join(t), t, u, k) for x, k in [(lab, 0)] * bool(lab) + [(x, 1) for x in aliases(al)] if (t := tokens(x)) and u]
+                out += own + [(t, [t], u, k + 2) for e, w, _, k in own if len(w) > 1 and (t := "".join(w))]
             yield pd.DataFrame(out, columns=["entry", "tokens", "uri", "rank"]).drop_duplicates(["entry", "uri", "rank"])
 
     read = reference.select(F.col(uri).alias("uri"), F.col(label).alias("label"), F.col(alias).alias("alias"))
@@ -204,7 +216,7 @@ def repair_tokens(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(t, w, s) for t, w in zip(b["token"], b["word"]) if (s := similarity(t, w)) >= TOKEN]
+            rows = [(t, w, s) for t, w in zip(b["token"], b["word"]) if (s := similarity(t, w)) >= (TOKEN if len(w) > 5 else SHORT_TOKEN)]
             yield pd.DataFrame(rows, columns=["token", "word", "sim"])
 
     return left.join(right, "k").select("token", "word").distinct().mapInPandas(score, "token string, word string, sim double")
@@ -236,17 +248,20 @@ def resolve(titles: DataFrame, key: str, title: str, reference: DataFrame, uri:
     weight = F.log(1 + F.lit(1000.0) / F.col("df"))
     repaired = keep(repaired.join(vocabulary.select("word", weight.alias("idf")), "word"), "repaired")
     # the repairs of a title's own tokens, best per reference word
-    found = forms.distinct().join(repaired, "token").groupBy("norm", "word").agg(F.max("sim").alias("sim"))
-    per_title = found.groupBy("norm").agg(F.map_from_entries(F.collect_list(F.struct("word", "sim"))).alias("sims"), F.collect_set("word").alias("words"))
+    found = forms.distinct().join(repaired, "token").groupBy("norm", "word").agg(F.max(F.struct("sim", "token")).alias("s"))
+    per_title = found.groupBy("norm").agg(F.map_from_entries(F.collect_list(F.struct("word", "s"))).alias("sims"), F.collect_set("word").alias("words"))
     # an entry is looked up under its rarest token
     df_of = vocabulary.select("word", weight.alias("idf"))
     weighed = ref.select("entry", "uris", "rank", F.explode("tokens").alias("word")).join(df_of, "word").groupBy("entry", "uris", "rank").agg(F.collect_list(F.struct("word", "idf")).alias("parts"), F.max_by("word", F.struct("idf", "word")).alias("head"))
     pairs = per_title.select("norm", "sims", F.explode("words").alias("head")).join(weighed, "head")
-    hit = F.transform("parts", lambda p: F.struct(p["idf"].alias("idf"), F.coalesce(F.try_element_at(F.col("sims"), p["word"]), F.lit(0.0)).alias("sim")))
-    pairs = pairs.select("norm", "entry", "uris", "rank", hit.alias("hit")).where(F.forall("hit", lambda h: h["sim"] > 0))
+    hit = F.transform("parts", lambda p: F.struct(p["idf"].alias("idf"), F.try_element_at(F.col("sims"), p["word"]).alias("s")))
+    pairs = pairs.select("norm", "entry", "uris", "rank", hit.alias("hit")).where(F.forall("hit", lambda h: h["s"].isNotNull()))
+    # each token of the title stands for one token of the entry only
+    used = F.transform("hit", lambda h: h["s"]["token"])
+    pairs = pairs.where(F.size(F.array_distinct(used)) == F.size(used))
     total = F.aggregate("hit", F.lit(0.0), lambda a, h: a + h["idf"])
-    score = F.aggregate("hit", F.lit(0.0), lambda a, h: a + h["idf"] * h["sim"]) / total
-    pairs = pairs.select("norm", "entry", "uris", "rank", score.alias("score"), total.alias("mass")).where(F.col("score") >= ENTRY)
+    score = F.aggregate("hit", F.lit(0.0), lambda a, h: a + h["idf"] * h["s"]["sim"]) / total
+    pairs = pairs.select("norm", "entry", "uris", "rank", score.alias("score"), total.alias("mass")).where(F.col("score") >= F.when(F.col("rank") >= 2, JOINED).otherwise(ENTRY))
     order = F.struct((F.col("score") * F.log(1 + F.col("mass"))).alias("s"), -F.col("rank"), F.col("entry"))
     best = pairs.groupBy("norm").agg(F.max_by(F.struct("entry", "uris", "score"), order).alias("b"))
     named = F.when(F.size("b.uris") > 1, "ambiguous").otherwise(F.element_at("b.uris", 1))
