@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitalake.llm import languages, leakage, mojibake, scans, titles, tokens
+from vitalake.llm import languages, leakage, mojibake, personal, scans, titles, tokens
 from vitalake.session import materialise, table
 
 
@@ -42,6 +43,28 @@ def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repair(table(spark, d, "pdf_results"), "pdf_id", "text", "page_count", cache=materialise)
 
 
+def _personal_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(src, row_id, field, text) of every searched text."""
+    p, w = table(spark, d, "pdf_results"), table(spark, d, "docx_results")
+
+    def part(df: DataFrame, src: str, key: str, field: str, column: Column) -> DataFrame:
+        return df.select(F.lit(src).alias("src"), F.col(key).alias("row_id"), F.lit(field).alias("field"), column.alias("text"))
+
+    # an author is one line, whatever it holds
+    author = F.translate(p["metadata.author"], "\n", " ")
+    return part(p, "pdf_results", "pdf_id", "text", p["text"]).unionByName(part(p, "pdf_results", "pdf_id", "author", author)).unionByName(part(w, "docx_results", "docx_id", "text", w["text"]))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = _personal_texts(spark, d)
+    return personal.find_personal(texts, ["src", "row_id", "field"], "text", personal.learn_names(texts, "text"))
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    texts = _personal_texts(spark, d)
+    return personal.mask_personal(texts, ["src", "row_id", "field"], "text", personal.learn_names(texts, "text"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
@@ -58,5 +81,5 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"), "doc_id", "text", cache=materialise)
 
 
-QUERIES = {"p1_found": p1_found, "p1_resolved": p1_resolved, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_repaired": p3_repaired, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_found": p1_found, "p1_resolved": p1_resolved, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_masked": p5_masked, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 ORACLES: dict[str, str] = {}
