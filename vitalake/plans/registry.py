@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vitalake.plans import problems
+from vitalake.plans import problems, reference
 
-QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**problems.QUERIES, **reference.QUERIES}
+ORACLES: dict[str, str] = {**reference.ORACLES}
