@@ -92,6 +92,6 @@ def test_readers(spark, tmp_path):
     assert readers.settings(None) == {}
     tax = readers.taxonomy(spark.createDataFrame([("u", None, "a", None, None), (None, "L", "a", None, None)], "uri string, preferred_label string, alt_labels string, isco_code string, definition string")).collect()
     assert len(tax) == 1 and tax[0]["uri"] == "" and tax[0]["taxonomy"] == "occupations"
-    assert "title: x" in readers.to_yaml(spark.createDataFrame(ev).select("title"))
+    assert "title: x" in readers.to_yaml(spark.createDataFrame([("x",)], "title string"))
     readers.append_cache(spark.range(2), str(tmp_path / "cache"), F.lit(60))
     assert readers.read_cache(spark, str(tmp_path / "cache")).count() == 2

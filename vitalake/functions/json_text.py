@@ -48,5 +48,6 @@ def first_object(s: pd.Series) -> pd.Series:
 
 def parse_record(c: Column) -> Column:
     """Struct (record, error): the record is null and the error set where the text is no such JSON."""
-    got = F.from_json(c, RECORD)
+    whole = F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT")
+    got = F.when(whole, F.from_json(c, RECORD))
     return F.struct(got.alias("record"), F.when(c.isNotNull() & got.isNull(), "invalid JSON").alias("error"))

@@ -53,7 +53,7 @@ _SPACE = r"[\s\x{00A0}\x{2000}-\x{200F}\x{202F}\x{3000}\x{FEFF}]+"
 
 ISO = rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?:[T ]{_TIME} ?{_ZONE}?)?$"
 COMPACT = rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:T?(\d{{2}})(\d{{2}})(\d{{2}})?{_ZONE}?)?$"
-PDF = r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:(Z|[+-]\d{2})'?(\d{2})?'?)?$"
+PDF = r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:(Z|[+-]\d{2})(?:(?<=Z)00)?'?(\d{2})?'?)?$"
 YEAR_FIRST = rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}})(?:[T ]{_TIME} ?{_ZONE}?)?$"
 NUMERIC = rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}}|\d{{2}})(?:,? {_TIME} ?([AaPp][Mm])? ?{_ZONE}?)?$"
 DAY_MON = rf"^(?:[\p{{L}}]{{2,4}},? )?(\d{{1,2}})(?:st|nd|rd|th|\.)?[ -](?:of |de )?{_MON}(?: de)?[ -](\d{{4}}|\d{{2}})(?:,? {_TIME} ?{_ZONE}?)?$"
