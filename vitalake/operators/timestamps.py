@@ -225,6 +225,18 @@ def utc_seconds(p: Column, wall: Column, zone: Column) -> Column:
     )
 
 
+def beside(df: DataFrame, name: str, few: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """``df`` left joined with ``few`` on ``name`` = ``key``.
+
+    One row per feed is expected; up to ``most`` rows are checked and broadcast, so that a feed that holds a
+    third of ``df`` is not gathered in one task. Beyond that it is an ordinary join.
+    """
+    rows = few.limit(most + 1).collect()
+    if len(rows) <= most:
+        few = F.broadcast(df.sparkSession.createDataFrame(rows, few.schema))
+    return df.join(few, F.col(name) == F.col(key), "left")
+
+
 def normalise(df: DataFrame, values: Sequence[str] | str, feed: str, zone: str, seen: str, unzoned: str | Sequence[str] = "UTC", orders: DataFrame | None = None) -> DataFrame:
     """``df`` with ``<value>_utc`` (UTC seconds) for each value column; :func:`iso_utc` gives the text form.
 
@@ -240,7 +252,7 @@ def normalise(df: DataFrame, values: Sequence[str] | str, feed: str, zone: str,
         orders = feed_orders(long.select("feed", clean(F.col("v")).alias("s"), "seen"))
     orders = orders.select(F.col("feed").alias("__ts_feed"), F.col("day_first").alias("__ts_df"))
     rows = df.withColumns({f"__ts_c{i}": fence(canonical(clean(F.col(v)))) for i, v in enumerate(values)})
-    rows = rows.join(orders, F.col(feed) == F.col("__ts_feed"), "left")
+    rows = beside(rows, feed, orders, "__ts_feed")
     rows = rows.withColumns({f"__ts_p{i}": fence(parts(F.col(f"__ts_c{i}"), F.coalesce("__ts_df", F.lit(True)))) for i in range(len(values))})
     rows = rows.withColumns({f"__ts_w{i}": fence(wall_seconds(F.col(f"__ts_p{i}"))) for i in range(len(values))})
     fallback: Column = F.lit(unzoned if isinstance(unzoned, str) else unzoned[0])
@@ -248,7 +260,7 @@ def normalise(df: DataFrame, values: Sequence[str] | str, feed: str, zone: str,
         walls = F.array(*[F.when((F.col(f"__ts_p{i}.zone") == "") & F.col(f"__ts_p{i}.h").isNotNull(), F.col(f"__ts_w{i}")) for i in range(len(values))])
         open_ = rows.where(F.col(zone).isNull()).select(F.col(feed).alias("feed"), F.col(seen).alias("seen"), F.explode(walls).alias("wall")).where("wall is not null")
         est = estimate_zones(open_, unzoned).select(F.col("feed").alias("__ts_feed2"), F.col("est_zone").alias("__ts_est"))
-        rows = rows.join(est, F.col(feed) == F.col("__ts_feed2"), "left")
+        rows = beside(rows, feed, est, "__ts_feed2")
         fallback = F.coalesce("__ts_est", fallback)
     rows = rows.withColumns({f"{v}_utc": fence(utc_seconds(F.col(f"__ts_p{i}"), F.col(f"__ts_w{i}"), F.coalesce(F.col(zone), fallback))) for i, v in enumerate(values)})
     return rows.drop(*[c for c in rows.columns if c.startswith("__ts_")])
