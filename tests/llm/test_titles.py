@@ -38,3 +38,12 @@ def test_join_keys_meet_within_two_edits():
             for j in range(i):
                 assert t.keys(w[:j] + w[j + 1 : i] + w[i + 1 :], False) & ref
             assert t.keys(w[:i] + "q" + w[i + 1 :], False) & ref
+
+
+def test_both_rankings_agree(spark, monkeypatch):
+    ref = spark.createDataFrame(OCC, "uri string, preferred_label string, alt_labels string, rec_seq int, title string")
+    df = spark.createDataFrame(list(enumerate(CASES)), "id bigint, typed string")
+    one = {tuple(r)[:3] for r in t.resolve(df, "id", "typed", ref, "uri", "preferred_label", "alt_labels").collect()}
+    monkeypatch.setattr(t, "MOST_ENTRIES", 1)
+    two = {tuple(r)[:3] for r in t.resolve(df, "id", "typed", ref, "uri", "preferred_label", "alt_labels").collect()}
+    assert one == two

@@ -36,6 +36,8 @@ _ALIAS = re.compile(r"[|;,]")
 TOKEN, ENTRY = 0.57, 0.74
 #: The same of entries written as one word, which hide their tokens.
 JOINED = 0.84
+#: Largest reference list that is sent to the workers.
+MOST_ENTRIES = 50_000
 #: Least similarity of reference tokens of up to five letters.
 SHORT_TOKEN = 0.5
 #: Tokens longer than this are looked up by one deletion, and by their consonants.
@@ -222,6 +224,75 @@ def repair_tokens(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return left.join(right, "k").select("token", "word").distinct().mapInPandas(score, "token string, word string, sim double")
 
 
+def rank_by_join(forms: DataFrame, repaired: DataFrame, ref: DataFrame, idf: DataFrame) -> DataFrame:
+    """(norm, b: entry, uris, score): the best entry of each title, for reference lists of any size.
+
+    ``forms`` has norm and token, ``repaired`` token, word, sim and idf.
+    """
+    # the repairs of a title's own tokens, best per reference word
+    found = forms.distinct().join(repaired, "token").groupBy("norm", "word").agg(F.max(F.struct("sim", "token")).alias("s"))
+    per_title = found.groupBy("norm").agg(F.map_from_entries(F.collect_list(F.struct("word", "s"))).alias("sims"), F.collect_set("word").alias("words"))
+    # an entry is looked up under its rarest token
+    weighed = ref.select("entry", "uris", "rank", F.explode("tokens").alias("word")).join(idf, "word").groupBy("entry", "uris", "rank").agg(F.collect_list(F.struct("word", "idf")).alias("parts"), F.max_by("word", F.struct("idf", "word")).alias("head"))
+    pairs = per_title.select("norm", "sims", F.explode("words").alias("head")).join(weighed, "head")
+    hit = F.transform("parts", lambda p: F.struct(p["idf"].alias("idf"), F.try_element_at(F.col("sims"), p["word"]).alias("s")))
+    pairs = pairs.select("norm", "entry", "uris", "rank", hit.alias("hit")).where(F.forall("hit", lambda h: h["s"].isNotNull()))
+    # each token of the title stands for one token of the entry only
+    used = F.transform("hit", lambda h: h["s"]["token"])
+    pairs = pairs.where(F.size(F.array_distinct(used)) == F.size(used))
+    total = F.aggregate("hit", F.lit(0.0), lambda a, h: a + h["idf"])
+    score = F.aggregate("hit", F.lit(0.0), lambda a, h: a + h["idf"] * h["s"]["sim"]) / total
+    pairs = pairs.select("norm", "entry", "uris", "rank", score.alias("score"), total.alias("mass")).where(F.col("score") >= F.when(F.col("rank") >= 2, JOINED).otherwise(ENTRY))
+    order = F.struct((F.col("score") * F.log(1 + F.col("mass"))).alias("s"), -F.col("rank"), F.col("entry"))
+    return pairs.groupBy("norm").agg(F.max_by(F.struct("entry", "uris", "score"), order).alias("b"))
+
+
+def rank_at_hand(forms: DataFrame, repaired: DataFrame, ref: list[tuple]) -> DataFrame:
+    """The same as :func:`rank_by_join`, for a reference list small enough to go to every worker (checked)."""
+    import math
+
+    df: dict[str, int] = {}
+    for entry in ref:
+        for w in set(entry[1]):
+            df[w] = df.get(w, 0) + 1
+    idf = {w: math.log(1 + 1000.0 / n) for w, n in df.items()}
+    heads: dict[str, list[tuple]] = {}
+    for entry, words, uris, rank in ref:
+        weights = [idf[w] for w in words]
+        head = max(words, key=lambda w: (idf[w], w))
+        heads.setdefault(head, []).append((entry, list(words), weights, sum(weights), list(uris), rank))
+    shared = forms.sparkSession.sparkContext.broadcast(heads)
+    hits = repaired.groupBy("token").agg(F.collect_list(F.struct("word", "sim")).alias("hits"))
+    titles = forms.distinct().join(hits, "token").groupBy("norm").agg(F.collect_list(F.struct("token", "hits")).alias("t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads = shared.value
+        for b in batches:
+            out = []
+            for norm, found in zip(b["norm"], b["t"]):
+                sims: dict[str, tuple[float, str]] = {}
+                for x in found:
+                    for h in x["hits"]:
+                        if (new := (h["sim"], x["token"])) > sims.get(h["word"], (0.0, "")):
+                            sims[h["word"]] = new
+                best = None
+                for head in sims:
+                    for entry, words, weights, total, uris, rank in heads.get(head, ()):
+                        got = [sims.get(w) for w in words]
+                        if None in got or len({g[1] for g in got}) < len(got):
+                            continue
+                        score = sum(w * g[0] for w, g in zip(weights, got)) / total
+                        if score >= (JOINED if rank >= 2 else ENTRY):
+                            key = (score * math.log(1 + total), -rank, entry)
+                            if best is None or key > best[0]:
+                                best = (key, entry, uris, score)
+                if best:
+                    out.append((norm, {"entry": best[1], "uris": best[2], "score": best[3]}))
+            yield pd.DataFrame(out, columns=["norm", "b"])
+
+    return titles.mapInPandas(run, "norm string, b struct<entry:string,uris:array<string>,score:double>")
+
+
 def resolve(titles: DataFrame, key: str, title: str, reference: DataFrame, uri: str, label: str, alias: str, cache=None) -> DataFrame:
     """(key, uri, entry, score): one row per title that is not blank; uri may be ``ambiguous`` or ``none``.
 
@@ -247,23 +318,11 @@ def resolve(titles: DataFrame, key: str, title: str, reference: DataFrame, uri:
     repaired = repair_tokens(forms.select("token").distinct(), vocabulary.select("word"))
     weight = F.log(1 + F.lit(1000.0) / F.col("df"))
     repaired = keep(repaired.join(vocabulary.select("word", weight.alias("idf")), "word"), "repaired")
-    # the repairs of a title's own tokens, best per reference word
-    found = forms.distinct().join(repaired, "token").groupBy("norm", "word").agg(F.max(F.struct("sim", "token")).alias("s"))
-    per_title = found.groupBy("norm").agg(F.map_from_entries(F.collect_list(F.struct("word", "s"))).alias("sims"), F.collect_set("word").alias("words"))
-    # an entry is looked up under its rarest token
-    df_of = vocabulary.select("word", weight.alias("idf"))
-    weighed = ref.select("entry", "uris", "rank", F.explode("tokens").alias("word")).join(df_of, "word").groupBy("entry", "uris", "rank").agg(F.collect_list(F.struct("word", "idf")).alias("parts"), F.max_by("word", F.struct("idf", "word")).alias("head"))
-    pairs = per_title.select("norm", "sims", F.explode("words").alias("head")).join(weighed, "head")
-    hit = F.transform("parts", lambda p: F.struct(p["idf"].alias("idf"), F.try_element_at(F.col("sims"), p["word"]).alias("s")))
-    pairs = pairs.select("norm", "entry", "uris", "rank", hit.alias("hit")).where(F.forall("hit", lambda h: h["s"].isNotNull()))
-    # each token of the title stands for one token of the entry only
-    used = F.transform("hit", lambda h: h["s"]["token"])
-    pairs = pairs.where(F.size(F.array_distinct(used)) == F.size(used))
-    total = F.aggregate("hit", F.lit(0.0), lambda a, h: a + h["idf"])
-    score = F.aggregate("hit", F.lit(0.0), lambda a, h: a + h["idf"] * h["s"]["sim"]) / total
-    pairs = pairs.select("norm", "entry", "uris", "rank", score.alias("score"), total.alias("mass")).where(F.col("score") >= F.when(F.col("rank") >= 2, JOINED).otherwise(ENTRY))
-    order = F.struct((F.col("score") * F.log(1 + F.col("mass"))).alias("s"), -F.col("rank"), F.col("entry"))
-    best = pairs.groupBy("norm").agg(F.max_by(F.struct("entry", "uris", "score"), order).alias("b"))
+    rows_of = ref.select("entry", "tokens", "uris", "rank").limit(MOST_ENTRIES + 1).collect()
+    if len(rows_of) <= MOST_ENTRIES:
+        best = rank_at_hand(forms, repaired, [tuple(r) for r in rows_of])
+    else:
+        best = rank_by_join(forms, repaired, ref, vocabulary.select("word", weight.alias("idf")))
     named = F.when(F.size("b.uris") > 1, "ambiguous").otherwise(F.element_at("b.uris", 1))
     answer = distinct.select("title", "norm").join(best.select("norm", named.alias("uri"), "b.entry", "b.score"), "norm", "left")
     out = rows.join(answer.select("title", "uri", "entry", "score"), "title", "left")
