@@ -89,3 +89,11 @@ def test_empty_tables_and_settings(spark):
         MatchConfig(review_threshold=95.0)
     with pytest.raises(ValueError):
         MatchConfig(label_weight=0.0, alias_weight=0.0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcdé ", min_size=1, max_size=10), st.lists(st.text("abcdé ", min_size=1, max_size=10), max_size=30, unique=True))
+def test_bound_loses_nothing(q, texts):
+    texts = sorted(texts)
+    want = sorted((-scorers.ratio(q, t), t) for t in texts)[:5]
+    assert matching._Bound(texts).best(q, 5) == want

@@ -15,13 +15,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from vitalake.config import MatchConfig
-from vitalake.functions.scorers import scorer
+from vitalake.functions.scorers import ratio, scorer
 
 CFG = MatchConfig()
 _HYPHEN = re.compile(r"[-‐‑‒–—―]")
@@ -66,6 +67,36 @@ def terms(taxonomy: DataFrame) -> DataFrame:
     return rows.groupBy("text", "field", "uri").agg(F.min("rec_seq").alias("rec_seq"), F.min("term").alias("term"))
 
 
+class _Bound:
+    """The best ratios without scoring every text: shared letters bound the common subsequence from above.
+
+    Texts are scored in the order of their bound until no other can reach the last kept one, so nothing is lost.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.sizes = texts, np.array([len(t) for t in texts], dtype=np.float64)
+        self.letters = np.array([self.count(t) for t in texts], dtype=np.int16).reshape(len(texts), 64)
+
+    @staticmethod
+    def count(text: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) % 64, minlength=64)
+
+    def best(self, q: str, k: int) -> list[tuple[float, str]]:
+        if not self.texts:
+            return []
+        shared = np.minimum(self.letters, self.count(q).astype(np.int16)).sum(1)
+        most = 200.0 * np.minimum(shared, np.minimum(self.sizes, len(q))) / (self.sizes + len(q))
+        heap: list[tuple[float, str]] = []
+        for i in np.argsort(-most, kind="stable"):
+            if len(heap) >= k and most[i] < kept - 1e-9:
+                break
+            heap.append((-ratio(q, self.texts[i]), self.texts[i]))
+            if len(heap) >= k:
+                heap = heapq.nsmallest(k, heap)
+                kept = -heap[-1][0]
+        return sorted(heap)[:k]
+
+
 def _fuzzy(forms: DataFrame, term_rows: DataFrame, cfg: MatchConfig) -> DataFrame:
     """(norm, uri, similarity, weighted, matched_text, matched_field): the best records of each form."""
     records = term_rows.groupBy("uri").agg(
@@ -87,10 +118,11 @@ def _fuzzy(forms: DataFrame, term_rows: DataFrame, cfg: MatchConfig) -> DataFram
             for a in aliases:
                 owners.setdefault(a, []).append((i, "alias"))
         texts = sorted(t for t in owners if t)
+        bound = _Bound(texts) if cfg.scorer == "ratio" else None
         for b in batches:
             out = []
             for q in b["norm"]:
-                top = heapq.nsmallest(cfg.candidate_limit, ((-score(q, t), t) for t in texts))
+                top = bound.best(q, cfg.candidate_limit) if bound else heapq.nsmallest(cfg.candidate_limit, ((-score(q, t), t) for t in texts))
                 best: dict[int, tuple] = {}
                 for neg, t in top:
                     for i, where in owners[t]:
