@@ -75,3 +75,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_zones": p4_zones, "p6_found": p6_found, "p6_loaded": p6_loaded, "p7_found": p7_found}
+
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",][^,]*|)'
+ORACLES = {
+    "p6_found": f"""WITH t AS (SELECT line_id, regexp_replace(line, '\\r$', '') AS l FROM raw_event_lines WHERE line_no <> 1), f AS (SELECT line_id, l, regexp_extract_all(l || ',', '{_FIELD},') AS a FROM t),
+v AS (SELECT line_id, l, len(a) AS n, a[1][:-2] AS k, a[6][:-2] AS p FROM f), u AS (SELECT line_id, l, n, CASE WHEN starts_with(k, '"') THEN replace(k[2:-2], '""', '"') ELSE k END AS k, CASE WHEN starts_with(p, '"') THEN replace(p[2:-2], '""', '"') ELSE p END AS p FROM v),
+r AS (SELECT line_id, CASE WHEN NOT regexp_full_match(l, '(?s){_FIELD}(?:,{_FIELD})*') THEN 'quoting' WHEN n <> 6 THEN 'column_count' WHEN lower(trim(k)) NOT IN ('work', 'internship', 'education', 'certificate', 'project', 'skill') THEN 'type'
+ WHEN trim(coalesce(p, '')) <> '' AND (NOT json_valid(p) OR json_type(CASE WHEN json_valid(p) THEN p END) <> 'OBJECT' OR regexp_matches(p, ',\\s*[}}\\]]|\\bNaN\\b|\\bInfinity\\b')) THEN 'payload' END AS reason FROM u)
+SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
+}

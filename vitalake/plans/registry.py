@@ -5,4 +5,4 @@ from __future__ import annotations
 from vitalake.plans import problems, reference
 
 QUERIES = {**problems.QUERIES, **reference.QUERIES}
-ORACLES: dict[str, str] = {**reference.ORACLES}
+ORACLES: dict[str, str] = {**problems.ORACLES, **reference.ORACLES}
