@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from vitalake.operators import documents
+from vitalake.operators import documents, extraction
 from vitalake.sources import readers
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -95,3 +95,24 @@ def test_readers(spark, tmp_path):
     assert "title: x" in readers.to_yaml(spark.createDataFrame([("x",)], "title string"))
     readers.append_cache(spark.range(2), str(tmp_path / "cache"), F.lit(60))
     assert readers.read_cache(spark, str(tmp_path / "cache")).count() == 2
+
+
+def test_checks_before_opening(spark):
+    df = spark.createDataFrame([("/a.docx", 10), ("/b.docx", 0), ("/c.pdf", 10), ("/d.docx", 60 * 1024 * 1024)], "path string, length bigint")
+    got = [r["open_error"] for r in documents.open_checks(df, "docx").orderBy("path").collect()]
+    assert got == [None, "File is empty", "Not a docx file", "Compressed size too large"]
+    got = {r["path"]: r["archive_error"] for r in documents.archive_checks(table(spark, {"a": package(), "b": b"x", "c": bomb(), "d": package(1001)}), "content").collect()}
+    assert got["a"] is None and got["b"].startswith("Invalid") and got["c"].startswith("Suspicious") and got["d"] == "Too many entries"
+    cls = spark.createDataFrame([("type_detection",), (None,)], "s string").select(documents.error_class(F.col("s")).alias("c")).collect()
+    assert [r["c"] for r in cls] == ["UnsupportedFileTypeError", None]
+
+
+def test_extraction(spark):
+    df = spark.createDataFrame([(1, "Ann\nann@x.example +44 1632 960158\nSkills:\n- SQL\n- Go\nEducation\nMSc"), (2, None), (3, "")], "id int, text string")
+    got = {r["id"]: r for r in extraction.extract(df, "id", "text").collect()}
+    r = got[1]["record"]
+    assert r["personal_information"]["email"] == "ann@x.example" and [s["name"] for s in r["skills"]] == ["SQL", "Go"] and r["education"][0]["degree"] == "MSc"
+    assert got[2]["error"] is None and got[2]["record"]["skills"] == []
+    echo = lambda: lambda prompts: [p + ' sure: {"skills": [{"name": "x"}]} bye' if "Ann" in p else "no" for p in prompts]
+    got = {r["id"]: r for r in extraction.extract(df, "id", "text", echo, prompted=True).collect()}
+    assert got[1]["record"]["skills"][0]["name"] == "x" and got[2]["error"] == "invalid JSON" and got[2]["record"] is None

@@ -74,6 +74,42 @@ def _deep(kind: str, raw: bytes) -> tuple:
         return 0, 0, 0.0, False, 0, f"Invalid PDF: {e}"
 
 
+#: Error classes by the stage that failed.
+ERROR_CLASSES = {
+    "path_validation": "FileValidationError", "size_validation": "FileSizeError", "type_detection": "UnsupportedFileTypeError", "magic_number_validation": "MagicNumberError",
+    "deep_structure_validation": "StructureError", "extraction": "ExtractionError", "post_processing": "PostProcessingError",
+}
+
+
+def error_class(stage: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in ERROR_CLASSES.items() for x in kv]), F.coalesce(stage, F.lit("")))
+
+
+def open_checks(df: DataFrame, kind: str, cfg: FileConfig = CFG) -> DataFrame:
+    """``df`` (path, length) with open_error: what keeps a file from being opened as ``pdf`` or ``docx``, null if nothing does."""
+    wrong = suffix(F.col("path")) != TYPES[kind][0]
+    error = F.when(wrong, f"Not a {kind} file").when(F.col("length") == 0, "File is empty")
+    if kind == "docx":
+        error = error.when(F.col("length") > cfg.max_compressed_mb * MB, "Compressed size too large")
+    return df.withColumn("open_error", error)
+
+
+def archive_checks(df: DataFrame, content: str, cfg: FileConfig = CFG) -> DataFrame:
+    """``df`` with archive_error: document part, total size, number of entries and ratio, in this order."""
+
+    def facts(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([docx.package_facts(bytes(c)) for c in contents], columns=["entries", "total", "ratio", "document", "error"])
+
+    f = F.pandas_udf(facts, "entries int, total bigint, ratio double, document boolean, error string")(F.col(content))
+    rows = df.withColumn("__f", f)
+    x = F.col("__f")
+    error = (
+        F.when(x["error"].isNotNull(), x["error"]).when(~x["document"], "Missing word/document.xml").when(x["total"] > cfg.max_uncompressed_mb * MB, "Uncompressed size too large")
+        .when(x["entries"] > cfg.max_entries, "Too many entries").when(x["ratio"] > cfg.max_ratio, "Suspicious compression ratio")
+    )
+    return rows.withColumn("archive_error", error).drop("__f")
+
+
 def validate(files: DataFrame, cfg: FileConfig = CFG) -> DataFrame:
     """(path, content, valid, file_type, size_mb, validation_stage, failure_reason) of files with path, length and content."""
     rows = cheap_checks(files.withColumn("header", F.substring("content", 1, 8)), cfg)

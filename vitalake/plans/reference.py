@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitalake.config import MatchConfig
 from vitalake.functions import json_text
 from vitalake.functions import text as T
-from vitalake.operators import career, documents, matching
+from vitalake.operators import career, documents, extraction, matching
 from vitalake.session import table
 
 AS_OF = "2025-01-01"
@@ -254,6 +254,18 @@ def json_first_object(spark, d):
     return e.select("event_id", json_text.first_object("t").alias("obj"))
 
 
+def extract_records(spark, d):
+    p = table(spark, d, "pdf_results").select("pdf_id", _headed().alias("text"))
+    return extraction.extract(p, "pdf_id", "text")
+
+
+def pdf_pages(spark, d):
+    """Pages (parted by form feeds) collected into documents again, with their facts."""
+    p = table(spark, d, "pdf_results").where("text is not null").select(F.col("pdf_id").cast("string").alias("path"), F.posexplode(F.split("text", "\f")).alias("n", "text"))
+    pages = p.select("path", (F.col("n") + 1).alias("page_no"), "text", F.lit(False).alias("failed"))
+    return documents.collect_pages(pages).select("path", "text", "total_chars", "truncated", "page_count", "ocr_required")
+
+
 def occ_terms(spark, d):
     t = matching.terms(table(spark, d, "occupations"))
     return t.select("text", "field", "uri", "rec_seq")
@@ -304,6 +316,9 @@ x AS (SELECT uri, rec_seq, 'preferred_label' AS field, r.l AS term FROM last UNI
 n AS (SELECT uri, rec_seq, field, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(term), 'ß', 'ss'), '[-‐‑‒–—―]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM x),
 own AS (SELECT uri, text AS own FROM n WHERE field = 'preferred_label')
 SELECT text, field, n.uri, min(rec_seq) AS rec_seq FROM n JOIN own ON own.uri = n.uri WHERE text <> '' AND (field = 'preferred_label' OR text <> own) GROUP BY text, field, n.uri""",
+    "pdf_pages": f"""WITH p AS (SELECT CAST(pdf_id AS VARCHAR) AS path, string_split(text, chr(12)) AS a FROM pdf_results WHERE text IS NOT NULL), u AS (SELECT path, unnest(a) AS t, unnest(range(1, len(a) + 1)) AS i FROM p),
+g AS (SELECT path, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (WHERE regexp_replace(t, '^{WS}+|{WS}+$', '', 'g') <> ''), '') AS t, CAST(count(*) AS INTEGER) AS page_count, count_if(regexp_replace(t, '^{WS}+|{WS}+$', '', 'g') <> '') = 0 AS ocr_required FROM u GROUP BY path)
+SELECT path, t AS text, CAST(length(t) AS INTEGER) AS total_chars, length(t) > 500000 AS truncated, page_count, ocr_required FROM g""",
     "occ_cache_key": """SELECT rec_seq, 'occupation:v1:' || sha256('{"limit": 5, "query": "' || lower(regexp_replace(preferred_label, '[^A-Za-z ]', '', 'g')) || '", "threshold": 70.0, "version": "v1"}') AS cache_key FROM occupations""",
     "occ_ttl": "SELECT status, count(*) AS n, CASE WHEN status IN ('unresolved', 'ambiguous') THEN 300 ELSE 3600 END AS ttl FROM resolution_results GROUP BY status",
     "val_file_rules": f"""SELECT path, ft AS file_type, round(length / 1048576, 2) AS size_mb, CASE WHEN list_contains(string_split(path, '/'), '..') THEN 'path_validation' WHEN length > 5242880 THEN 'size_validation' WHEN ft IS NULL THEN 'type_detection' WHEN NOT magic THEN 'magic_number_validation' ELSE 'passed' END AS stage,
@@ -315,7 +330,7 @@ QUERIES = {
     "career_type_filter": career_type_filter, "career_event_duration": career_event_duration, "career_merged_intervals": career_merged_intervals, "career_gaps": career_gaps, "career_metrics": career_metrics,
     "career_trends": career_trends, "career_scores": career_scores, "career_interpretation": career_interpretation, "career_analysis": career_analysis, "career_payload": career_payload, "career_parse_duration": career_parse_duration,
     "text_language": text_language, "text_whitespace": text_whitespace, "text_drop_empty": text_drop_empty, "text_ocr_fix": text_ocr_fix, "text_paragraphs": text_paragraphs, "text_sections": text_sections, "text_truncate": text_truncate,
-    "text_pipeline": text_pipeline, "json_first_object": json_first_object, "occ_terms": occ_terms, "occ_resolve": occ_resolve, "occ_status_counts": occ_status_counts, "occ_search": occ_search, "occ_cache_key": occ_cache_key, "occ_ttl": occ_ttl,
+    "text_pipeline": text_pipeline, "json_first_object": json_first_object, "extract_records": extract_records, "pdf_pages": pdf_pages, "occ_terms": occ_terms, "occ_resolve": occ_resolve, "occ_status_counts": occ_status_counts, "occ_search": occ_search, "occ_cache_key": occ_cache_key, "occ_ttl": occ_ttl,
     "val_file_rules": val_file_rules,
 }
 ORACLES = {**CAREER_SQL, **TEXT_SQL, **OTHER_SQL}
