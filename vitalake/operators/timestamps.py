@@ -190,14 +190,14 @@ def feed_orders(values: DataFrame) -> DataFrame:
     return sums.select("feed", (F.col("dmy") <= F.col("mdy")).alias("day_first"))
 
 
-def estimate_zones(values: DataFrame, candidates: Sequence[str], band_s: int = 26 * 3600, gain: float = 0.5) -> DataFrame:
+def estimate_zones(values: DataFrame, candidates: Sequence[str], band_s: int = 26 * 3600, gain: float = 0.5, least: int = 20) -> DataFrame:
     """(feed, est_zone, violations, informative): the offset history of each feed that breaks the fewest orders.
 
     ``values`` has feed, wall (wall-clock seconds of values without a zone of their own) and seen
     (ingestion time). Only values within ``band_s`` of their ingestion can tell one zone from another; such a
     value is violated under a candidate zone that would put it after its ingestion. A candidate replaces the
-    first one (the prior) only if it saves at least ``gain`` of the informative values, and of equally good
-    ones the least shifted wins, since any zone further east would also do. One pass with one partial
+    first one (the prior) only if there are ``least`` such values and it saves a share of ``gain`` of them, and of
+    equally good ones the least shifted wins, since any zone further east would also do. One pass with one partial
     aggregate per candidate; no rows are gathered.
     """
     seen = instant_seconds(values, "seen")
@@ -209,7 +209,7 @@ def estimate_zones(values: DataFrame, candidates: Sequence[str], band_s: int = 2
 
     sums = near.groupBy("feed").agg(F.count(F.lit(1)).alias("n"), *[broken(z).alias(f"c{i}") for i, z in enumerate(candidates)])
     best = F.array_min(F.array(*[F.struct(F.col(f"c{i}.v").alias("v"), F.col(f"c{i}.shift").alias("shift"), F.lit(z).alias("zone")) for i, z in enumerate(candidates)]))
-    wins = (F.col("c0.v") - best["v"]) >= F.greatest(F.lit(1), F.col("n") * gain)
+    wins = (F.col("n") >= least) & ((F.col("c0.v") - best["v"]) >= F.col("n") * gain)
     est = F.when(wins, best["zone"]).otherwise(F.lit(candidates[0]))
     return sums.select("feed", est.alias("est_zone"), F.when(wins, best["v"]).otherwise(F.col("c0.v")).alias("violations"), F.col("n").alias("informative"))
 

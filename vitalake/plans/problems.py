@@ -13,6 +13,10 @@ OPEN_DAY = "2025-01-01"
 PLAIN = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}Z)?\z"
 
 
+#: Candidate offset histories of feeds without a zone; the first wins ties.
+ZONES = ("UTC", "Europe/Berlin", "Europe/Amsterdam", "America/New_York", "America/Chicago", "Asia/Kolkata", "Asia/Tokyo", "Asia/Dubai")
+
+
 def event_values(spark: SparkSession, d: str) -> DataFrame:
     """The dates of resume events, one per row."""
     e = table(spark, d, "resume_events").select("event_id", "resume_id", "type", "start_date", "end_date", "feed", "feed_zone", "ingested_at")
@@ -27,14 +31,11 @@ def pdf_values(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = event_values(spark, d).unionByName(pdf_values(spark, d)).where(F.col("value").isNotNull())
-    done = timestamps.normalise(rows, "value", "feed", "feed_zone", "seen", unzoned="UTC")
+    # UTC, which the tables' description names for feeds without a zone, is the prior of the estimate
+    done = timestamps.normalise(rows, "value", "feed", "feed_zone", "seen", unzoned=ZONES)
     return done.where(F.col("value_utc").isNotNull() & ~F.col("value").rlike(PLAIN)).select("src", "row_id", "field", timestamps.iso_utc(F.col("value_utc")).alias("utc"))
 
 
-#: Candidate offset histories of feeds without a zone; the first wins ties.
-ZONES = ("UTC", "Europe/Berlin", "Europe/Amsterdam", "America/New_York", "America/Chicago", "Asia/Kolkata", "Asia/Tokyo", "Asia/Dubai")
-
-
 def p4_zones(spark: SparkSession, d: str) -> DataFrame:
     """Every feed with the zone estimated from its local times and ingestion times, beside the declared one."""
     rows = event_values(spark, d).unionByName(pdf_values(spark, d)).where(F.col("value").isNotNull())
