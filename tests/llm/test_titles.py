@@ -9,7 +9,7 @@ OCC = [
 CASES = {
     "Harbour Crane Operator": "o/1", "  harbour   crane operators ": "o/1", "HARBOUR CRANE OP.": "o/1", "Oper@tor - H4rbour Cr4ne": "o/1", "hARBOURcRANEoPERATOR": "o/1", "HarbourCraneOperator": "o/1", "harbourcraneoperator": "o/1", "Hrbr Crn Oprtr": "o/1", "Harbuor Cranne Operater": "o/1",
     "Hаrbоur Crаnе Operator": "o/1", "Ｈａｒｂｏｕｒ Ｃｒａｎｅ Ａｎａｌｙｓｔ": "o/2", "Senior Harbour Crane Analyst (m/f/d), part-time": "o/2", "Analyst for harbour crane @ Pebble & Reed": "o/2", "Hafenkranbedienerin": "o/1", "hafnkranbedienr": "o/1", "Port_Hoisting_Analyst_/_7_yrs": "o/2",
-    "team-lead": "ambiguous", "TEAM LEAD": "ambiguous", "Soil Chemistry Supv.": "none", "Court Language Supv.": "o/4", "Sl Chmstry Dprtmnt Hd": "o/5", "Harbour Crane Poet": "none", "Volcano Operator": "none", "???": "none", "x" * 5000: "none", "Soil Chemistry Critic": "none",
+    "team-lead": "ambiguous", "TEAM LEAD": "ambiguous", "Soil Chemistry Supv.": "none", "Court Language Supv.": "o/4", "Sl Chmstry Dprtmnt Hd": "o/5", "Harbour Crane Poet": "none", "Volcano Operator": "none", "???": "none", "x" * 5000: "none", "y" * 300_000: "none", "Port Hoisting Operator " + "z " * 20_000: "o/1", "Soil Chemistry Critic": "none",
 }
 
 

@@ -42,6 +42,7 @@ MOST_ENTRIES = 50_000
 SHORT_TOKEN = 0.5
 #: Tokens longer than this are looked up by one deletion, and by their consonants.
 LONG = 16
+MOST_LETTERS = 80
 #: Only reference tokens up to this length are abbreviated; longer ones are compounds.
 SHORT = 13
 
@@ -98,7 +99,9 @@ def skeleton(word: str) -> str:
 
 
 def keys(word: str, reference: bool) -> set[str]:
-    """Join keys: two words share one if they may be the same word."""
+    """Join keys: two words share one if they may be the same word. Runs longer than any word match as they are only."""
+    if len(word) > MOST_LETTERS:
+        return {"w" + word}
     once = {word[:i] + word[i + 1 :] for i in range(len(word))}
     out = {word} | once
     if len(word) <= LONG:
