@@ -35,7 +35,12 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.longest = max(map(len, ranks))
+        # lengths of the tokens that end in two given bytes, longest first: the only ones worth trying there
+        ends: dict[bytes, set[int]] = {}
+        for t in ranks:
+            if len(t) > 1:
+                ends.setdefault(t[-2:], {1}).add(len(t))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self._split: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
 
@@ -96,11 +101,13 @@ class PrefixEncoder:
         """Adds bytes at the end; nothing before them is filled again."""
         v, start = self.v, len(self.text)
         self.text += more
-        text, last, ranks = self.text, self.last, self.v.ranks
+        text, last, ranks, lengths, fits = self.text, self.last, v.ranks, v.lengths, v._fits
         for end in range(start + 1, len(text) + 1):
-            for begin in range(max(0, end - v.longest), end):
-                token = ranks.get(text[begin:end])
-                if token is not None and (begin == 0 or v.compatible(last[begin], token)):
+            for n in lengths.get(text[max(0, end - 2) : end], (1,)):
+                begin = end - n
+                if begin < 0 or (token := ranks.get(text[begin:end])) is None:
+                    continue
+                if begin == 0 or fits.get(last[begin] << 20 | token) or v.compatible(last[begin], token):
                     last.append(token)
                     break
             else:
