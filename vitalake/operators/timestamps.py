@@ -251,16 +251,22 @@ def normalise(df: DataFrame, values: Sequence[str] | str, feed: str, zone: str,
         long = df.select(F.col(feed).alias("feed"), F.col(seen).alias("seen"), F.explode(F.array(*values)).alias("v"))
         orders = feed_orders(long.select("feed", clean(F.col("v")).alias("s"), "seen"))
     orders = orders.select(F.col("feed").alias("__ts_feed"), F.col("day_first").alias("__ts_df"))
-    rows = df.withColumns({f"__ts_c{i}": fence(canonical(clean(F.col(v)))) for i, v in enumerate(values)})
+    # one value is compiled; several go through one lambda, since the code of several would be too large to compile
+    each = (lambda c, fn: fn(c)) if len(values) == 1 else F.transform
+    rows = df.withColumn("__ts_v", F.col(values[0]) if len(values) == 1 else F.array(*values))
+    rows = rows.withColumn("__ts_c", fence(each(F.col("__ts_v"), lambda v: canonical(clean(v)))))
     rows = beside(rows, feed, orders, "__ts_feed")
-    rows = rows.withColumns({f"__ts_p{i}": fence(parts(F.col(f"__ts_c{i}"), F.coalesce("__ts_df", F.lit(True)))) for i in range(len(values))})
-    rows = rows.withColumns({f"__ts_w{i}": fence(wall_seconds(F.col(f"__ts_p{i}"))) for i in range(len(values))})
+    rows = rows.withColumn("__ts_p", fence(each(F.col("__ts_c"), lambda c: parts(c, F.coalesce("__ts_df", F.lit(True))))))
+    rows = rows.withColumn("__ts_w", fence(each(F.col("__ts_p"), lambda p: F.struct(p.alias("p"), wall_seconds(p).alias("wall")))))
     fallback: Column = F.lit(unzoned if isinstance(unzoned, str) else unzoned[0])
     if not isinstance(unzoned, str):
-        walls = F.array(*[F.when((F.col(f"__ts_p{i}.zone") == "") & F.col(f"__ts_p{i}.h").isNotNull(), F.col(f"__ts_w{i}")) for i in range(len(values))])
-        open_ = rows.where(F.col(zone).isNull()).select(F.col(feed).alias("feed"), F.col(seen).alias("seen"), F.explode(walls).alias("wall")).where("wall is not null")
+        walls = F.array("__ts_w") if len(values) == 1 else F.col("__ts_w")
+        open_ = rows.where(F.col(zone).isNull()).select(F.col(feed).alias("feed"), F.col(seen).alias("seen"), F.explode(walls).alias("x"))
+        open_ = open_.where("x.p.zone = '' and x.p.h is not null and x.wall is not null").select("feed", "seen", "x.wall")
         est = estimate_zones(open_, unzoned).select(F.col("feed").alias("__ts_feed2"), F.col("est_zone").alias("__ts_est"))
         rows = beside(rows, feed, est, "__ts_feed2")
         fallback = F.coalesce("__ts_est", fallback)
-    rows = rows.withColumns({f"{v}_utc": fence(utc_seconds(F.col(f"__ts_p{i}"), F.col(f"__ts_w{i}"), F.coalesce(F.col(zone), fallback))) for i, v in enumerate(values)})
+    utc = fence(each(F.col("__ts_w"), lambda x: utc_seconds(x["p"], x["wall"], F.coalesce(F.col(zone), fallback))))
+    rows = rows.withColumn("__ts_u", utc)
+    rows = rows.withColumns({f"{v}_utc": F.col("__ts_u") if len(values) == 1 else F.element_at("__ts_u", i + 1) for i, v in enumerate(values)})
     return rows.drop(*[c for c in rows.columns if c.startswith("__ts_")])
