@@ -1,3 +1,5 @@
+import random
+
 from vitalake.llm import scans as g
 
 BODY = "The evening crew has finished the window frames.\nThe supplier portal needs the annual report because the forms were incomplete.\nA full-time vacancy in the laboratory is open."
@@ -55,3 +57,37 @@ def test_page_numbers():
         assert g.page_number(s, 3), s
     for s in ("2017", "372.", "Page", "05/2014", "2 apples", "12", "", "iv", "ill", "civil"):
         assert not g.page_number(s, 3), s
+
+
+def misread(word, slips, r):
+    """The word with so many confusions made, at places that do not touch each other's letters."""
+    parts = [(i, k, x) for i in range(len(word)) for k in (1, 2, 3) if i + k <= len(word) for x in g.CONFUSED.get(word[i : i + k], ())]
+    for _ in range(slips):
+        if not parts:
+            return word
+        i, k, new = r.choice(parts)
+        word = word[:i] + new + word[i + k :]
+        parts = [p for p in parts if p[0] + p[1] <= i]
+    return word
+
+
+def test_every_accepted_pair_shares_a_key():
+    r = random.Random(1)
+    words = ["gefahrstoffverzeichnis", "moment", "office", "affluent", "waffle", "donaudampfschifffahrtsgesellschaft", "commitment", "rindfleischetikettierungsüberwachungsaufgabenübertragungsgesetz", "x" * 44 + "mm"]
+    words += ["".join(r.choice("mdhuwnolisbgqetfzarclviüäöß") for _ in range(n)) for n in (*range(3, 60), 200) for _ in range(5)]
+    for w in words:
+        for _ in range(20):
+            read = misread(w, r.choice((1, 2)), r)
+            assert g.confusion_cost(read, w) is not None
+            assert g.join_keys(read, False) & g.join_keys(w, True), (read, w)
+    for true, wrongs in g.CONFUSED.items():
+        assert {g.levelled(x) for x in wrongs} == {g.levelled(true)}, true
+
+
+def test_long_and_twice_misread_words(spark):
+    long = "donaudampfschifffahrtselektrizitätenhauptbetriebswerk"
+    pairs = [("gefalirstoffverzeichnis", "gefahrstoffverzeichnis"), ("rnornent", "moment"), ("oﬃce", "office"), ("aﬄuent", "affluent"), (long.replace("h", "li", 1), long)]
+    docs = [(k, " ".join(x[1] for x in pairs), 1) for k in range(30)] + [(100, " ".join(x[0] for x in pairs), 1)]
+    df = spark.createDataFrame(docs, "key bigint, text string, pages int")
+    lexicon = g.Lexicon(df)
+    assert {(r["w"], r["fix"]) for r in lexicon.fixes(lexicon.forms).collect()} == set(pairs)

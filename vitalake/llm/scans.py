@@ -1,11 +1,11 @@
 """Text of scanned pages: find cut words, misread characters, running lines and page numbers, and repair them.
 
 Corpus statistics come first: how often each word form occurs, and how often a line recurs once per page of
-its text. Trusted words (frequent, letters only) are indexed by all their forms with up to two characters
-deleted; every other form looks up its own deletions there (a symmetric-delete join, so no pair of unrelated
-words meets) and the candidates are scored by an edit distance in which known confusions (rn for m, 1 for l,
-an ligature for its letters) are cheap and everything else is dear. Of several candidates the one that
-follows the preceding word most often wins.
+its text. Trusted words (frequent, letters only) are indexed by all their forms with at most one known confusion
+(rn for m, 1 for l, a ligature for its letters) made; every other form looks up its own forms with at most one
+undone (a symmetric join, so no pair of unrelated words meets, and every pair that two confusions part does).
+The candidates are scored by an edit distance in which known confusions are cheap and everything else is dear.
+Of several candidates the one that follows the preceding word most often wins.
 
 A text with null or empty ``text`` has no lines. Repeated texts are judged each for itself. ``pages`` may be
 null: then only lines that recur are running lines. All statistics cover the whole table; nothing is capped.
@@ -33,8 +33,8 @@ CONFUSED = {
 TRUSTED, RATIO = 5, 10
 #: Cost of a confusion; two are allowed, other edits are not.
 SLIP, MOST = 0.3, 0.65
-#: Longer forms are looked up with one deletion.
-LONG, LONGEST = 22, 48
+#: Longer forms are looked up by their levelled form alone; two confusions change a length by up to ``DRIFT``.
+LONGEST, DRIFT = 48, 4
 HYPHENS = "-­¬‐‑"
 
 _EDGE = " .,:;()[]{}<>\"“”„«»'’‘?…–—/|*+=&%#_•·°"
@@ -155,11 +155,38 @@ def confusion_cost(read: str, true: str) -> float | None:
     return best[-1].get(len(read))
 
 
-def deletions(word: str) -> set[str]:
-    """The word and its forms with one or two characters deleted; very long words with one."""
-    once = {word[:i] + word[i + 1 :] for i in range(len(word))}
-    twice = {w[:i] + w[i + 1 :] for w in once for i in range(len(w))} if len(word) <= LONG else set()
-    return {word} | once | twice
+_UNDONE: dict[str, list[str]] = {}
+for _true, _wrongs in CONFUSED.items():
+    for _wrong in _wrongs:
+        _UNDONE.setdefault(_wrong, []).append(_true)
+#: Every sign as the part of it that no confusion changes: whatever CONFUSED puts for a text has the text's own levelled form.
+_LEVEL = str.maketrans({
+    **dict.fromkeys("lıij1!|uvüwhb68ßB", ""), **dict.fromkeys("nr", "r"), "m": "rr", **dict.fromkeys("dce€", "c"), **dict.fromkeys("o0ö", "o"), **dict.fromkeys("a@4ä", "a"),
+    **dict.fromkeys("s5$", "s"), **dict.fromkeys("gq9", "g"), **dict.fromkeys("t†7+f", "t"), "2": "z", "ﬀ": "tt", "ﬁ": "t", "ﬂ": "t", "ﬃ": "tt", "ﬄ": "tt", "ﬆ": "st",
+})
+
+
+def levelled(word: str) -> str:
+    return word.translate(_LEVEL)
+
+
+def _changed(word: str, table: dict) -> set[str]:
+    """The word and its forms with one part replaced by what the table has for it."""
+    out = {word}
+    for i in range(len(word)):
+        for k in (1, 2, 3):
+            for new in table.get(word[i : i + k], ()) if i + k <= len(word) else ():
+                out.add(word[:i] + new + word[i + k :])
+    return out
+
+
+def join_keys(word: str, true: bool) -> set[str]:
+    """Keys of a true word (at most one confusion made) or a read one (at most one undone).
+
+    Two words that at most two confusions part share the form in between. Very long words share their levelled form instead.
+    """
+    keys = _changed(word, CONFUSED if true else _UNDONE) if len(word) <= LONGEST else set()
+    return keys | ({" " + levelled(word)} if len(word) > LONGEST - DRIFT else set())
 
 
 def _map(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -201,14 +228,14 @@ class Lexicon:
                     if words and line.rstrip()[-1:] in HYPHENS:
                         words.pop()
                     seen.update(words)
-            return [(w, n) for w, n in seen.items() if len(w) <= LONGEST]
+            return list(seen.items())
 
         def joined(b: pd.DataFrame):
             seen: Counter[str] = Counter()
             for text, pages in zip(b["text"], b["pages"]):
                 lines, kinds = body_lines(text, None if pd.isna(pages) else int(pages), set())
                 seen.update(x[2] + x[3] for x in cuts(lines, kinds))
-            return [(w, 0) for w in seen if len(w) <= LONGEST]
+            return [(w, 0) for w in seen]
 
         counts = _map(docs, count, "w string, n bigint").unionByName(_map(docs, joined, "w string, n bigint"))
         self.forms = counts.groupBy("w").agg(F.sum("n").alias("n"))
@@ -219,13 +246,13 @@ class Lexicon:
         trusted = forms.where((F.col("n") >= TRUSTED) & ~odd & (F.length("w") >= 3))
         suspect = forms.where((F.length("w") >= 3))
 
-        def keys(b: pd.DataFrame):
-            return [(k, w, n) for w, n in zip(b["w"], b["n"]) for k in deletions(w)]
+        def keys(true: bool):
+            return lambda b: [(k, w, n) for w, n in zip(b["w"], b["n"]) for k in join_keys(w, true)]
 
-        left = _map(suspect.where(~F.col("w").rlike(_CODE.pattern)), keys, "k string, w string, n bigint")
-        right = _map(trusted, keys, "k string, fix string, m bigint")
+        left = _map(suspect.where(~F.col("w").rlike(_CODE.pattern)), keys(False), "k string, w string, n bigint")
+        right = _map(trusted, keys(True), "k string, fix string, m bigint")
         better = (F.col("m") >= F.col("n") * RATIO) | (F.col("w").rlike(ODD_WORD) & (F.col("m") > F.col("n")))
-        pairs = left.join(right, "k").where((F.col("w") != F.col("fix")) & better).select("w", "fix", "m").distinct()
+        pairs = left.join(right, "k").where((F.col("w") != F.col("fix")) & better & (F.abs(F.length("w") - F.length("fix")) <= DRIFT)).select("w", "fix", "m").distinct()
 
         def score(b: pd.DataFrame):
             got = [(w, t, confusion_cost(w, t), m) for w, t, m in zip(b["w"], b["fix"], b["m"])]
