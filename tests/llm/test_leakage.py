@@ -85,3 +85,27 @@ def test_matches_against_brute_force(seed):
                         want.add((k, j, start + a - b))
         start += len(w) + 1
     assert got == want
+
+
+def test_passages_over_neighbouring_diagonals():
+    w = [x.encode() for x in W[1]]
+    test = leakage.Items([1], [w])
+    split = lambda x: x[:2] + " " + x[2:]
+    k = [i for i, x in enumerate(W[1]) if not x.isdigit()]
+    carried = {
+        "put in": [*W[1][:22], "â", *W[1][22:35], "â", *W[1][35:]],
+        "dropped": [x for i, x in enumerate(W[1]) if i not in (20, 40)],
+        "split": [split(x) if i in (k[9], k[20], k[30]) else x for i, x in enumerate(W[1])],
+        "run together": [x + W[1][i + 1] if i in (20, 40) else x for i, x in enumerate(W[1]) if i not in (21, 41)],
+        "close together": [*W[1][:20], "â", *W[1][20:22], "â", *W[1][22:40], "â", *W[1][40:42], "â", *W[1][42:]],
+    }
+    for name, x in carried.items():
+        got = list(leakage.leaks(test, [f"{FILL} {' '.join(x)} {FILL}"]))
+        assert len(got) == 1 and got[0][2] >= 56 and got[0][3] == 40, (name, got)
+    apart = {
+        "far apart": [*W[1][:20], *["other"] * 9, *W[1][20:40], *["other"] * 9, *W[1][40:]],
+        "wrong order": [*W[1][40:], "other", *W[1][20:40], "other", *W[1][:20]],
+        "too little": [*W[1][:10], "â", *W[1][10:28]],
+    }
+    for name, x in apart.items():
+        assert not list(leakage.leaks(test, [f"{FILL} {' '.join(x)} {FILL}"])), name

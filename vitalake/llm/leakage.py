@@ -5,7 +5,8 @@ the test items; words outside it are 0 and match nothing. The suffix array of th
 position whose next ``SEED`` words occur in that order in some item: all others begin no match of that
 length, so leaving them out loses nothing. Every test suffix is binary-searched in it, which yields all
 its verbatim matches and where they lie. Matches on one diagonal (same document, item and offset) are
-then joined across misspelt words into the longest continuous passage.
+then joined across misspelt words into stretches, and stretches of neighbouring diagonals across words that
+were put in, dropped, split or run together into the longest continuous passage.
 
 The items are held in blocks of ``BLOCK`` against all documents, so their number is not bound by memory.
 Documents with null or empty text, and items without words, have no rows. The shuffle-free scan is one
@@ -14,6 +15,7 @@ narrow pass over the corpus per block of items.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +34,8 @@ SHARD_ROWS = 1_000
 SHARE = 0.5
 #: Share of a passage's words that may be misspelt.
 MISSPELT = 0.25
+#: Two stretches are joined if they lie at most ``REACH`` words apart, at most ``FOREIGN`` of which are not the item's.
+REACH, FOREIGN = 8, 3
 
 _SPACE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _MARKS = re.compile(r"[^\x00-\x7f\w]+")
@@ -43,11 +47,12 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_SPACE).split()
 
 
+@functools.lru_cache(maxsize=200_000)
 def _close(a: bytes, b: bytes, most: int = 2) -> bool:
     """Whether one is the other with at most ``most`` typing slips (swaps count once)."""
-    if abs(len(a) - len(b)) > most or a.isdigit() != b.isdigit():
-        return False
-    if a.isdigit():
+    most = min(most, max(1, len(b) // 3))
+    # a slip changes the length by one at most, and the set of letters by two
+    if abs(len(a) - len(b)) > most or a.isdigit() or b.isdigit() or len(set(a) ^ set(b)) > 2 * most:
         return False
     before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -58,7 +63,7 @@ def _close(a: bytes, b: bytes, most: int = 2) -> bool:
                 cost = min(cost, before[j - 2] + 1)
             row.append(cost)
         before, last = last, row
-    return last[-1] <= min(most, max(1, len(b) // 3))
+    return last[-1] <= most
 
 
 @dataclass
@@ -149,41 +154,95 @@ def leaks(items: Items, texts: list[str | None]) -> Iterator[tuple[int, int, int
     found: dict[tuple[int, int], tuple[int, int]] = {}
     seen: dict[int, list[bytes]] = {}
     padded = np.concatenate([shard.ids, np.zeros(items.longest, np.int64)])
-    for a in range(0, len(doc), 20_000):
-        d, i, o = doc[a : a + 20_000], item[a : a + 20_000], off[a : a + 20_000]
+    there = np.zeros(len(items.of) + 1, bool)
+
+    def compare(d: np.ndarray, i: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = o[:, None] + np.arange(items.longest)
         inside = (at >= shard.starts[d][:, None]) & (at < shard.starts[d + 1][:, None]) & (np.arange(items.longest) < items.size[i][:, None])
-        hit = inside & (padded[np.clip(at, 0, len(padded) - 1)] == items.matrix[i])
-        # too few equal words for half the item, even if every tolerated slip is one
-        may = np.flatnonzero(hit.sum(1) >= np.maximum(SEED, np.ceil(items.size[i] * SHARE) * (1 - MISSPELT) - 1))
-        for r in may:
-            k, j = int(d[r]), int(i[r])
-            if k not in seen:
-                seen[k] = words(readable(texts[k]))
-            own, base = seen[k], int(o[r] - shard.starts[k])
-            row = hit[r].copy()
-            for x in np.flatnonzero(inside[r] & ~hit[r]):
-                if base + x < len(own) and _close(own[base + x], items.words[j][x]):
-                    row[x] = True
-            slips = row & ~hit[r]
-            n, first, end = _stretch(row)
-            if n >= SHARE * items.size[j] and slips[first:end].sum() <= MISSPELT * n:
-                found[k, j] = max(found.get((k, j), (0, 0)), (n, base + first))
+        return inside, inside & (padded[np.clip(at, 0, len(padded) - 1)] == items.matrix[i])
+
+    # the rows of one document and item follow each other; stretches that can be joined lie on offsets at most REACH apart
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (off[1:] - off[:-1] > REACH)]
+    begin = np.flatnonzero(new)
+    for a, z in zip(begin.tolist(), [*begin[1:].tolist(), len(doc)]):
+        k, j = int(doc[a]), int(item[a])
+        # too few of the item's words lie there, even if every tolerated slip is one
+        near = shard.ids[max(off[a], shard.starts[k]) : min(off[z - 1] + items.size[j], shard.starts[k + 1])]
+        there[near] = True
+        few = there[items.seq[j]].sum() < items.size[j] * SHARE * (1 - MISSPELT)
+        there[near] = False
+        if few:
+            continue
+        if k not in seen:
+            seen[k] = words(readable(texts[k]))
+        own, test, parts = seen[k], items.words[j], []
+        for at in range(a, z, 20_000):
+            inside, hit = compare(*(x[at : min(at + 20_000, z)] for x in (doc, item, off)))
+            for r in range(len(hit)):
+                base = int(off[at + r] - shard.starts[k])
+                row = hit[r].copy()
+                for x in np.flatnonzero(inside[r] & ~hit[r]).tolist():
+                    if base + x < len(own) and abs(len(own[base + x]) - len(test[x])) <= 2 and _close(own[base + x], test[x]):
+                        row[x] = True
+                parts += [(base, x, y, row, row & ~hit[r]) for n, x, y in _stretches(row) if n >= SEED]
+        n, at = _chain(parts, own, test)
+        if n >= SHARE * len(test):
+            found[k, j] = max(found.get((k, j), (0, 0)), (n, at))
     for (k, j), (n, at) in sorted(found.items()):
         yield k, j, n, at
 
 
-def _stretch(row: np.ndarray) -> tuple[int, int, int]:
-    """Longest stretch of equal or misspelt words; one foreign word inside is bridged but not counted."""
-    best, first, count, gap = (0, 0, 0), 0, 0, 99
-    for x, ok in enumerate(row):
-        if ok:
-            if gap > 1:
-                first, count = x, 0
-            count, gap = count + 1, 0
-            best = max(best, (count, first, x + 1))
+def _stretches(row: np.ndarray) -> list[tuple[int, int, int]]:
+    """(words, begin, end) of the stretches of equal or misspelt words; one foreign word inside is bridged but not counted."""
+    out: list[tuple[int, int, int]] = []
+    for x in np.flatnonzero(row).tolist():
+        if out and x - out[-1][2] <= 1:
+            out[-1] = (out[-1][0] + 1, out[-1][1], x + 1)
         else:
-            gap += 1
+            out.append((1, x, x + 1))
+    return out
+
+
+def _between(a: list[bytes], b: list[bytes]) -> tuple[int, int]:
+    """(words of b found in a in their order, those of them that are misspelt); words split or run together count as misspelt."""
+    if a and b and b"".join(a) == b"".join(b):
+        return len(b), sum(y not in a for y in b)
+    last = [(0, 0)] * (len(b) + 1)
+    for x in a:
+        row = [(0, 0)]
+        for j, y in enumerate(b):
+            best = max(last[j + 1], row[-1])
+            if x == y or _close(x, y):
+                best = max(best, (last[j][0] + 1, last[j][1] - (x != y)))
+            row.append(best)
+        last = row
+    return last[-1][0], -last[-1][1]
+
+
+def _chain(parts: list[tuple[int, int, int, np.ndarray, np.ndarray]], own: list[bytes], test: list[bytes]) -> tuple[int, int]:
+    """(words, begin in the document) of the longest passage, of stretches (offset, begin and end in the item, words carried, those misspelt).
+
+    A stretch follows another that ends shortly before it in the document and in the item; where they overlap, the
+    first keeps the words.
+    """
+    parts = sorted(parts, key=lambda p: (p[0] + p[1], p[0]))
+    best, done = (0, 0), []
+    for i, (base, x, y, row, slip) in enumerate(parts):
+        ends = [(int(row[x:y].sum()), -int(slip[x:y].sum()), base + x)]
+        for h in range(i - 1, -1, -1):
+            base_h, x_h, y_h = parts[h][:3]
+            if base_h + x_h + len(test) + REACH < base + x:
+                break
+            cut = max(0, y_h - x, base_h + y_h - base - x)
+            gap, gap_own = x + cut - y_h, base + x + cut - base_h - y_h
+            if x + cut >= y or max(gap, gap_own) > REACH:
+                continue
+            filled, bad = _between(own[base_h + y_h : base + x + cut], test[y_h : x + cut])
+            if max(gap, gap_own) - filled <= (FOREIGN if base != base_h else 1):
+                n, slips, at = done[h]
+                ends.append((n + filled + int(row[x + cut : y].sum()), slips - bad - int(slip[x + cut : y].sum()), at))
+        done.append(max(ends))
+        best = max([best, *((n, at) for n, slips, at in ends if -slips <= MISSPELT * n)])
     return best
 
 
