@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -97,3 +98,31 @@ def test_bound_loses_nothing(q, texts):
     texts = sorted(texts)
     want = sorted((-scorers.ratio(q, t), t) for t in texts)[:5]
     assert matching._Bound(texts).best(q, 5) == want
+
+
+def test_best_scores_against_scoring_every_text():
+    r = random.Random(2)
+    pool = "senior junior data engineer engineering manager nurse cook chef de partie system systems analyst ingenieur ärztin of the head".split()
+    texts = sorted({" ".join(r.choice(pool) for _ in range(r.randint(1, 6))) for _ in range(150)} | {"cook cook", "a", "x" * 90})
+    queries = [" ".join(r.choice(pool) for _ in range(r.randint(1, 6))) for _ in range(30)] + ["enginer data", "cook", "nurse nurse nurse", "zzz", "data " * 20, "ë"]
+    queries += ["".join(c for c in x if r.random() > 0.15).strip() or "a" for x in r.sample(texts, 30)]
+    for score in (scorers.ratio, scorers.weighted_ratio):
+        bound = matching._Bound(texts, score)
+        for q in queries:
+            every = sorted((-score(q, t), t) for t in texts)
+            most = bound.bounds(q)
+            assert all(score(q, t) <= m + 1e-9 for t, m in zip(texts, most)), q
+            assert bound.best(q, 7) == every[:7]
+            assert [x for x in bound.best(q, 7, 70.0) if x[0] <= -70] == [x for x in every[:7] if x[0] <= -70]
+
+
+def test_registered_queries_use_the_default_scorer(spark, monkeypatch):
+    from vitalake.plans import reference
+
+    tables = {
+        "resolution_results": spark.createDataFrame([(1, "engineer, software (senior)")], "result_id bigint, input string"),
+        "occupations": spark.createDataFrame([("occ/1", "software engineer", '["software engineer senior grade"]', 1)], "uri string, preferred_label string, alt_labels string, rec_seq int"),
+    }
+    monkeypatch.setattr(reference, "table", lambda spark, d, name: tables[name])
+    got = reference.occ_resolve(spark, "").collect()[0]
+    assert got["uri"] == "occ/1" and got["match_type"] == "fuzzy"

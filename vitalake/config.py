@@ -59,7 +59,7 @@ class MatchConfig:
     casefold: bool = True
     strip_marks: bool = True
     scorer: str = "WRatio"
-    #: Largest reference list that is sent to the workers as one array; beyond it the candidates are joined in blocks.
+    #: Largest reference list that is sent to the workers as one array; longer ones are refused.
     max_reference: int = 200_000
     ttl_seconds: int = 3600
     negative_ttl_seconds: int = 300

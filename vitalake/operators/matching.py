@@ -2,7 +2,7 @@
 
 Titles are resolved once per normalised form and joined back. Each stage sees only what the one before left
 (left anti join). Exact and alias are equi joins on the term table; fuzzy scores the remaining forms against
-the distinct terms, which go to the workers as one array of checked size, in blocks beyond it.
+the distinct terms, which go to the workers as one array of checked size; longer lists are refused.
 
 Null and blank titles are unresolved; over-long ones carry an error. Ties are broken by term, then by
 record order, so results do not depend on partitioning.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from vitalake.config import MatchConfig
-from vitalake.functions.scorers import ratio, scorer
+from vitalake.functions.scorers import ratio, scorer, weighted_ratio
 
 CFG = MatchConfig()
 _HYPHEN = re.compile(r"[-‐‑‒–—―]")
@@ -67,33 +67,98 @@ def terms(taxonomy: DataFrame) -> DataFrame:
     return rows.groupBy("text", "field", "uri").agg(F.min("rec_seq").alias("rec_seq"), F.min("term").alias("term"))
 
 
-class _Bound:
-    """The best ratios without scoring every text: shared letters bound the common subsequence from above.
-
-    Texts are scored in the order of their bound until no other can reach the last kept one, so nothing is lost.
-    """
+class _Subsequences:
+    """Longest common subsequences of one text with many, a machine word of rows at a time."""
 
     def __init__(self, texts: list[str]):
-        self.texts, self.sizes = texts, np.array([len(t) for t in texts], dtype=np.float64)
-        self.letters = np.array([self.count(t) for t in texts], dtype=np.int16).reshape(len(texts), 64)
+        self.order = np.argsort([len(t) for t in texts], kind="stable")
+        own = [texts[i] for i in self.order]
+        self.sizes = np.array([len(t) for t in own], dtype=np.int64)
+        self.ids = {c: i + 1 for i, c in enumerate(sorted({c for t in own for c in t}))}
+        # column k holds the k-th letters of the texts that are longer than k
+        self.begin = [int(np.searchsorted(self.sizes, k, "right")) for k in range(int(self.sizes.max(initial=0)))]
+        self.columns = [np.array([self.ids[t[k]] for t in own[i:]], dtype=np.int64) for k, i in enumerate(self.begin)]
+        self.letters = np.array([self.count(t) for t in own], dtype=np.int64).reshape(len(own), 64)
 
     @staticmethod
     def count(text: str) -> np.ndarray:
         return np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) % 64, minlength=64)
 
-    def best(self, q: str, k: int) -> list[tuple[float, str]]:
-        if not self.texts:
+    def most(self, q: str) -> np.ndarray:
+        """Length of the longest common subsequence with each text; for a q of over 64 letters no less than it."""
+        if len(q) > 64:
+            got = np.minimum(np.minimum(self.letters, self.count(q)).sum(1), self.sizes)
+        else:
+            where = np.zeros(len(self.ids) + 1, np.uint64)
+            for i, c in enumerate(q):
+                if k := self.ids.get(c):
+                    where[k] |= np.uint64(1 << i)
+            rows = np.full(len(self.sizes), 2**64 - 1, np.uint64)
+            for i, column in zip(self.begin, self.columns):
+                hit = rows[i:] & where[column]
+                rows[i:] = (rows[i:] + hit) | (rows[i:] - hit)
+            got = np.bitwise_count(~rows & np.uint64((1 << len(q)) - 1)).astype(np.int64)
+        out = np.empty(len(got), np.int64)
+        out[self.order] = got
+        return out
+
+
+class _Bound:
+    """The best scores (``ratio`` or ``weighted_ratio``) without scoring every text: common subsequences bound them from above.
+
+    Texts are scored in the order of their bound until no other can reach the last kept one or ``least``, so nothing is lost.
+    """
+
+    def __init__(self, texts: list[str], score=ratio):
+        self.texts, self.score, self.sizes = texts, score, np.array([len(t) for t in texts], dtype=np.float64)
+        self.plain = _Subsequences(texts)
+        if score is not ratio:
+            tokens = [sorted(t.split()) for t in texts]
+            # in the order of their tokens, as they are and each token once
+            lines, sets = [" ".join(x) for x in tokens], [" ".join(sorted(set(x))) for x in tokens]
+            self.sorted, self.sorted_sizes = _Subsequences(lines), np.array([len(x) for x in lines], dtype=np.float64)
+            self.sets, self.set_sizes = _Subsequences(sets), np.array([len(x) for x in sets], dtype=np.float64)
+            self.having: dict[str, list[int]] = {}
+            for i, x in enumerate(tokens):
+                for w in set(x):
+                    self.having.setdefault(w, []).append(i)
+
+    def bounds(self, q: str) -> np.ndarray:
+        """No less than the score of each text."""
+        size, n = self.sizes, len(q)
+        whole = self.plain.most(q)
+        plain = 200.0 * whole / (size + n)
+        if self.score is ratio:
+            return plain
+        tokens = sorted(q.split())
+        line, once = " ".join(tokens), " ".join(sorted(set(tokens)))
+        by_line, by_set = self.sorted.most(line), self.sets.most(once)
+        meets = np.zeros(len(self.texts), bool)
+        for w in set(tokens):
+            meets[self.having.get(w, [])] = True
+        # of lengths below 1.5 to 1; a common token may make the sets equal
+        sort = 200.0 * by_line / (self.sorted_sizes + len(line))
+        near = np.maximum(sort, np.where(meets, 100.0, 200.0 * by_set / (self.set_sizes + len(once))))
+        # a stretch of the longer text holds no longer common subsequence than the whole, and is at least that long
+        part = lambda k, a, b: 200.0 * k / (np.minimum(a, b) + np.maximum(k, 1))
+        far = np.maximum(part(whole, size, n), 0.95 * np.where(meets, 100.0, np.maximum(part(by_line, self.sorted_sizes, len(line)), part(by_set, self.set_sizes, len(once)))))
+        times = np.maximum(size, n) / np.minimum(size, n)
+        return np.maximum(plain, np.where(times < 1.5, 0.95 * near, np.where(times <= 8, 0.9, 0.6) * far))
+
+    def best(self, q: str, k: int, least: float = 0.0) -> list[tuple[float, str]]:
+        """(score below 0, text) of the k best texts; those under ``least`` may be left out."""
+        if not self.texts or not q:
             return []
-        shared = np.minimum(self.letters, self.count(q).astype(np.int16)).sum(1)
-        most = 200.0 * np.minimum(shared, np.minimum(self.sizes, len(q))) / (self.sizes + len(q))
+        most = self.bounds(q)
         heap: list[tuple[float, str]] = []
-        for i in np.argsort(-most, kind="stable"):
-            if len(heap) >= k and most[i] < kept - 1e-9:
+        kept = least
+        for i in np.argsort(-most, kind="stable").tolist():
+            if most[i] < kept - 1e-9:
                 break
-            heap.append((-ratio(q, self.texts[i]), self.texts[i]))
+            heap.append((-self.score(q, self.texts[i]), self.texts[i]))
             if len(heap) >= k:
                 heap = heapq.nsmallest(k, heap)
-                kept = -heap[-1][0]
+                kept = max(least, -heap[-1][0])
         return sorted(heap)[:k]
 
 
@@ -118,17 +183,20 @@ def _fuzzy(forms: DataFrame, term_rows: DataFrame, cfg: MatchConfig) -> DataFram
             for a in aliases:
                 owners.setdefault(a, []).append((i, "alias"))
         texts = sorted(t for t in owners if t)
-        bound = _Bound(texts) if cfg.scorer == "ratio" else None
+        bound = _Bound(texts, score) if score in (ratio, weighted_ratio) else None
         for b in batches:
             out = []
             for q in b["norm"]:
-                top = bound.best(q, cfg.candidate_limit) if bound else heapq.nsmallest(cfg.candidate_limit, ((-score(q, t), t) for t in texts))
+                # a record none of whose texts reaches the threshold cannot reach it by their weighted mean
+                top = bound.best(q, cfg.candidate_limit, cfg.threshold) if bound else heapq.nsmallest(cfg.candidate_limit, ((-score(q, t), t) for t in texts))
                 best: dict[int, tuple] = {}
+                known = {t: -neg for neg, t in top}
                 for neg, t in top:
                     for i, where in owners[t]:
                         label, aliases = refs[i][1], refs[i][2]
-                        label_score = score(q, label)
-                        total = cfg.label_weight * label_score + cfg.alias_weight * max((score(q, a) for a in aliases), default=0.0)
+                        known |= {x: score(q, x) for x in (label, *aliases) if x not in known}
+                        label_score = known[label]
+                        total = cfg.label_weight * label_score + cfg.alias_weight * max((known[a] for a in aliases), default=0.0)
                         weighted = total / (cfg.label_weight + cfg.alias_weight)
                         # the first entry of a record in the order of raw scores stands for it
                         best.setdefault(i, (refs[i][0], label_score if where == "preferred_label" else -neg, weighted, label if where == "preferred_label" else t, where))
@@ -138,7 +206,9 @@ def _fuzzy(forms: DataFrame, term_rows: DataFrame, cfg: MatchConfig) -> DataFram
                 out += [(q, *x) for x in kept[: min(cfg.limit, cfg.max_limit)]]
             yield pd.DataFrame(out, columns=["norm", "uri", "similarity", "weighted", "matched_text", "matched_field"])
 
-    return forms.mapInPandas(run, schema)
+    # few rows, but each is dear: they are spread over all tasks
+    spread = forms.repartition(int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions")), "norm")
+    return spread.mapInPandas(run, schema)
 
 
 def confidence(score: Column, margin: Column) -> Column:

@@ -271,12 +271,9 @@ def occ_terms(spark, d):
     return t.select("text", "field", "uri", "rec_seq")
 
 
-_RATIO = MatchConfig(scorer="ratio")
-
-
 def occ_resolve(spark, d):
     r = table(spark, d, "resolution_results").select("result_id", "input")
-    return matching.resolve(r, "result_id", F.col("input"), table(spark, d, "occupations"), _RATIO)
+    return matching.resolve(r, "result_id", F.col("input"), table(spark, d, "occupations"))
 
 
 def occ_status_counts(spark, d):
