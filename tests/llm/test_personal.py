@@ -60,3 +60,13 @@ def test_learning(spark):
     rows = [(f"Emergency contact {n} {s} (x)",) for n in ("Zeno", "Imke") for s in ("Velluani", "Quiskani", "Bramvez")] + [("Zeno Period is a period, the period of periods, a period",), (None,)]
     names = g.learn_names(spark.createDataFrame(rows, "text string"), "text")
     assert names.first == {"Zeno", "Imke"} and names.ordinary == {"period"}
+
+
+def test_disguises_with_nothing_else_on_the_line():
+    names = g.Names({"Jan", "Mark"}, set())
+    for line, kind in {
+        "Jan de Vries": "name", "maria[arroba]firma.es": "email", "max.muster[AT]firma[DOT]de": "email", "max (ät) firma (punkt) de": "email", "john AT acme DOT com": "email", "jean {à} societe {point} fr": "email",
+        "zéro zéro trois trois un neuf neuf zéro zéro sept sept": "phone", "oh oh three three one nine nine oh oh seven seven": "phone", "plus-three-three-one-nine-nine-oh-oh-seven-seven": "phone",
+    }.items():
+        assert [k for _, _, k in g.detect(line, names)] == [kind], line
+        assert g.mask(line, names)[0] == f"[{kind.upper()}]", line
