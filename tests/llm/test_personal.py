@@ -1,3 +1,5 @@
+import pytest
+
 from vitalake.llm import personal as g
 
 NAMES = g.Names({"Mark", "Grace", "Joost", "Greta", "Will"}, {"period", "the"})
@@ -70,3 +72,10 @@ def test_disguises_with_nothing_else_on_the_line():
     }.items():
         assert [k for _, _, k in g.detect(line, names)] == [kind], line
         assert g.mask(line, names)[0] == f"[{kind.upper()}]", line
+
+
+def test_too_many_ordinary_words_are_refused(spark, monkeypatch):
+    rows = [(f"Emergency contact Zeno {x} (x)",) for x in ("Velluani", "Quiskani", "Bramvez")] + [(f"Zeno {x.title()} is a {x}, the {x} of {x}",) for x in ("period", "season")]
+    monkeypatch.setattr(g, "MOST_NAMES", 1)
+    with pytest.raises(ValueError, match="ordinary"):
+        g.learn_names(spark.createDataFrame(rows, "text string"), "text")

@@ -216,7 +216,9 @@ def learn_names(texts: DataFrame, text: str) -> Names:
             yield pd.DataFrame(rows, columns=["w", "follows", "low"])
 
     words = rows.mapInPandas(follow, "w string, follows bigint, low bigint").groupBy("w").agg(F.sum("follows").alias("f"), F.sum("low").alias("l"))
-    ordinary = {r[0] for r in words.where("f > 0 and l >= 3 * f").select("w").limit(MOST_NAMES).toLocalIterator()}
+    ordinary = {r[0] for r in words.where("f > 0 and l >= 3 * f").select("w").limit(MOST_NAMES + 1).toLocalIterator()}
+    if len(ordinary) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} ordinary words follow a first name")
     return Names(known, ordinary)
 
 
