@@ -66,27 +66,82 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert leakage.find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_matches_against_brute_force(seed):
-    """Every verbatim run of SEED words between a document and an item is found by the suffix arrays."""
+@pytest.mark.parametrize("seed,size", [(0, 3), (1, 6), (2, 12), (3, 25), (4, 40), (5, 1), (6, 2)])
+def test_matches_against_brute_force(seed, size):
+    """The suffix arrays give the longest verbatim matches of all pairs with enough seeds."""
     r = random.Random(seed)
-    vocabulary = [f"w{k}" for k in range(12)]
-    texts = [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(6)]
-    words = [[r.choice(vocabulary).encode() for _ in range(25)] for _ in range(5)]
+    vocabulary = [f"w{k}" for k in range(9)]
+    texts = [" ".join(r.choice([*vocabulary, "zz"]) for _ in range(60)) for _ in range(6)] + ["", None]
+    words = [[r.choice(vocabulary).encode() for _ in range(size + k)] for k in range(5)]
+    texts += [b" ".join(words[3]).decode() * 3, b" ".join(words[4] + words[4]).decode()]
     items = leakage.Items(list(range(5)), words)
     got = set(zip(*(x.tolist() for x in leakage.Shard(items, texts).matches())))
     want, start = set(), 0
     for k, t in enumerate(texts):
-        w = leakage.words(t)
+        w = leakage.words(t) if t else []
         for j, it in enumerate(words):
-            for a in range(len(w) - leakage.SEED + 1):
-                for b in range(len(it) - leakage.SEED + 1):
-                    if w[a : a + leakage.SEED] == it[b : b + leakage.SEED]:
-                        want.add((k, j, start + a - b))
+            n, needed = leakage.seed_of(len(it))
+            met = [(a, b) for a in range(len(w) - n + 1) for b in range(len(it) - n + 1) if w[a : a + n] == it[b : b + n]]
+            if len({b for _, b in met}) < needed:
+                continue
+            for a, b in met:
+                if a == 0 or b == 0 or w[a - 1] != it[b - 1]:
+                    m = n
+                    while a + m < len(w) and b + m < len(it) and w[a + m] == it[b + m]:
+                        m += 1
+                    want.add((k, j, start + a, b, m))
         start += len(w) + 1
     assert got == want
 
 
+def test_no_passage_is_without_seeds():
+    """However the broken words lie, a passage of half of an item holds the seeds that are asked for."""
+    r = random.Random(2)
+    for size in [*range(1, 40), 63, 100, 101]:
+        n, needed = leakage.seed_of(size)
+        for _ in range(200):
+            m = r.randint(-(-size // 2), size)
+            broken = set(r.sample(range(m), int(m * leakage.MISSPELT)))
+            whole = [a for a in range(m - n + 1) if not broken & set(range(a, a + n))]
+            assert len(whole) >= needed, (size, m, broken)
+
+
+def test_short_items_large_vocabularies_and_long_items():
+    one = lambda item, text: [x[2] for x in leakage.leaks(leakage.Items([1], [[w.encode() for w in item]]), [text])]
+    assert one(["red", "oak", "tree"], f"{FILL} Red, oak tree. {FILL}") == [3]
+    assert one(["the", "red", "oak", "tree", "is", "old"], f"{FILL} red oak tree {FILL}") == [3]
+    assert one(["the", "red", "oak", "tree", "is", "old"], f"{FILL} red oak {FILL}") == []
+    many = [[f"v{k * 60 + i}".encode() for i in range(60)] for k in range(700)]
+    items = leakage.Items(list(range(700)), many)
+    assert len(items.of) > 32_767
+    assert [x[:3] for x in leakage.leaks(items, [FILL, b" ".join(many[650]).decode()])] == [(1, 650, 60)]
+    long = [f"q{i % 9973}".encode() for i in range(50_000)]
+    items = leakage.Items([1, 2], [long, many[0]])
+    text = b" ".join(long[9_000:40_000]).decode()
+    assert [x[:3] for x in leakage.leaks(items, [text, FILL, b" ".join(long[:9_000] + many[0]).decode()])] == [(0, 0, 31_000), (2, 1, 60)]
+
+
+ITEM = "The red oak tree behind the old mill was felled in spring because its roots had raised the paving stones of the yard"
+
+
+@pytest.mark.parametrize("text", [
+    "CONTENT-TRANSFER-ENCODING: Base64\n\n" + base64.encodebytes(ITEM.encode()).decode(),
+    "Subject: =?UTF-8?B?" + base64.b64encode(ITEM.encode()).decode() + "?=\n\nhello",
+    "Subject: =?utf-8?q?" + ITEM[:60].replace(" ", "_") + "?=\n =?utf-8?q?" + ITEM[60:].replace(" ", "_") + "?=\n\nhello",
+    "--x\nContent-Type: text/plain; charset=utf-16\nContent-Transfer-Encoding: base64\n\n" + base64.encodebytes(ITEM.encode("utf-16")).decode() + "\n--x--\n",
+    "<div class='" + "a" * 900 + "'>" + ITEM.replace(" ", " <span title='" + "b" * 500 + "'>", 1) + "</span></div>",
+    "> Content-Transfer-Encoding: quoted-printable\n> \n> " + ITEM[:30] + "=\n> " + ITEM[30:],
+])
+def test_mail_encodings(text):
+    items = leakage.Items([1], [leakage.words(ITEM)])
+    assert [x[2] for x in leakage.leaks(items, [text])] == [len(ITEM.split())]
+
+
+def test_only_the_part_named_is_decoded():
+    text = "--x\nContent-Transfer-Encoding: quoted-printable\nContent-Type: text/plain; charset=iso-8859-1\n\nM=FCller =\ngeht\n--x\nContent-Type: text/plain\n\nsize=20 = 3\n--x--"
+    assert leakage.readable(text).split("\n\n")[1:] == ["Müller geht\n--x\nContent-Type: text/plain", "size=20 = 3\n--x--"]
+
+
 def test_passages_over_neighbouring_diagonals():
     w = [x.encode() for x in W[1]]
     test = leakage.Items([1], [w])

@@ -1,12 +1,19 @@
 """Evaluation passages inside training documents, by suffix arrays over shards of the corpus.
 
 Each shard (a bounded run of documents of one task) becomes one array of word ids over the vocabulary of
-the test items; words outside it are 0 and match nothing. The suffix array of the shard holds every
-position whose next ``SEED`` words occur in that order in some item: all others begin no match of that
-length, so leaving them out loses nothing. Every test suffix is binary-searched in it, which yields all
-its verbatim matches and where they lie. Matches on one diagonal (same document, item and offset) are
-then joined across misspelt words into stretches, and stretches of neighbouring diagonals across words that
-were put in, dropped, split or run together into the longest continuous passage.
+the test items; words outside it are 0 and match nothing. Its suffix array holds every position that begins a
+*seed* of some item, sorted by rank doubling (seeds, then twice, four times, ... as many words). Every test
+suffix is binary-searched at each length, up to the longest at which one is found, and the ranks tell how far
+each match goes on, so all longest verbatim matches and where they lie are known.
+
+The seed of an item is what no passage can be without: a passage of at least half of the item's words, a share
+``MISSPELT`` of them broken, holds one unbroken run of at least that length (the pigeonhole principle), and at
+least ``needed`` different seeds in all. Documents with fewer are not looked at further; that loses nothing, for
+items of any length.
+
+The matches on one diagonal (same document, item and offset) are then joined across misspelt words into
+stretches, and stretches of neighbouring diagonals across words that were put in, dropped, split or run
+together into the longest continuous passage.
 
 The items are held in blocks of ``BLOCK`` against all documents, so their number is not bound by memory.
 Documents with null or empty text, and items without words, have no rows. The shuffle-free scan is one
@@ -27,7 +34,6 @@ from pyspark.sql import functions as F
 
 from vitalake.llm.mail_text import readable
 
-SEED = 4
 BLOCK = 5_000
 SHARD_ROWS = 1_000
 #: A passage counts from this share of an item's words on.
@@ -36,6 +42,8 @@ SHARE = 0.5
 MISSPELT = 0.25
 #: Two stretches are joined if they lie at most ``REACH`` words apart, at most ``FOREIGN`` of which are not the item's.
 REACH, FOREIGN = 8, 3
+#: Longest seed in words.
+SEED = 3
 
 _SPACE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _MARKS = re.compile(r"[^\x00-\x7f\w]+")
@@ -66,6 +74,17 @@ def _close(a: bytes, b: bytes, most: int = 2) -> bool:
     return last[-1] <= most
 
 
+def seed_of(n_words: int) -> tuple[int, int]:
+    """(words of a seed, different seeds needed) of an item of so many words.
+
+    A passage has at least half of the words, rounded up; k of them may be broken, which leaves k + 1 runs and
+    breaks as many seeds as a seed has words. The least over all lengths is that of one of the first four.
+    """
+    lengths = [(n, int(n * MISSPELT)) for n in range(-(-n_words // 2), min(n_words, -(-n_words // 2) + 3) + 1)]
+    seed = max(1, min(SEED, *(-(-(n - k) // (k + 1)) for n, k in lengths)))
+    return seed, max(1, min(n - (seed - 1) - seed * k for n, k in lengths))
+
+
 @dataclass
 class Items:
     """Test items as word ids, with their suffixes ready for the search."""
@@ -77,34 +96,38 @@ class Items:
         vocabulary = sorted({w for x in self.words for w in x})
         self.of = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.seq = [np.array([self.of[w] for w in x], dtype=np.int64) for x in self.words]
-        self.bits = max(1, int(len(vocabulary) + 1).bit_length())
-        item, at, key = [], [], []
-        for k, s in enumerate(self.seq):
-            if len(s) >= SEED:
-                grams = _grams(s, self.bits)
-                item.append(np.full(len(grams), k)), at.append(np.arange(len(grams))), key.append(grams)
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        self.item, self.at, self.key = join(item), join(at), join(key)
-        self.grams = np.unique(self.key)
-        self.longest = max([len(s) for s in self.seq] + [SEED])
-        self.matrix = np.zeros((len(self.seq), self.longest), np.int64)
-        for k, s in enumerate(self.seq):
-            self.matrix[k, : len(s)] = s
         self.size = np.array([len(s) for s in self.seq], dtype=np.int64)
-
-
-def _grams(ids: np.ndarray, bits: int) -> np.ndarray:
-    """The ids of ``SEED`` words in a row, packed into one number; 0 where a word is unknown."""
-    n = len(ids) - SEED + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    if bits * SEED > 62:
-        raise ValueError("too many distinct words in a block of items")
-    out, known = np.zeros(n, np.int64), np.ones(n, bool)
-    for k in range(SEED):
-        out = out << bits | ids[k : k + n]
-        known &= ids[k : k + n] > 0
-    return np.where(known, out, 0)
+        self.seed, self.needed = (np.array(x, dtype=np.int64) for x in zip(*map(seed_of, self.size))) if self.seq else (np.zeros(0, np.int64),) * 2
+        # all items in one row, ``SEED`` zeros after each
+        self.begin = np.cumsum(self.size + SEED) - self.size - SEED
+        self.flat = np.zeros(int((self.size + SEED).sum()) + SEED, np.int64)
+        for a, s in zip(self.begin, self.seq):
+            self.flat[a : a + len(s)] = s
+        self.item = np.repeat(np.arange(len(self.seq)), self.size)
+        self.at = np.arange(len(self.item)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.place = self.begin[self.item] + self.at
+        # the distinct pairs, and the triples of a pair and a word: their ranks are in the order of the words
+        pair = _pack(self.flat[:-1], self.flat[1:])
+        self.pairs = np.unique(pair[pair > 0])
+        two = np.append(_rank(pair, self.pairs), 0)
+        triple = _pack(two[:-2], self.flat[2:])
+        self.triples = np.unique(triple[triple > 0])
+        self.ranks = {1: self.flat, 2: two, 3: np.concatenate([_rank(triple, self.triples), np.zeros(2, np.int64)])}
+        #: Ranks of the runs that are seeds, by their length.
+        self.seeds = {n: np.unique(r[r > 0]) for n in (1, 2, 3) for own in [self.place[self.seed[self.item] == n]] for r in [self.ranks[n][own]]}
+
+
+def _pack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two ranks as one number in the order of both; 0 where either is 0."""
+    return np.where((a > 0) & (b > 0), a << 31 | b, 0)
+
+
+def _rank(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place from 1 on of each key among the known ones, which are sorted; 0 where it is none."""
+    if not len(known):
+        return np.zeros(len(key), np.int64)
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return np.where(known[at] == key, at + 1, 0)
 
 
 class Shard:
@@ -119,77 +142,124 @@ class Shard:
             row.append(0)
             parts.append(np.array(row, dtype=np.int64))
             at += len(row)
-        self.starts = np.array([*starts, at], dtype=np.int64)
-        self.ids = np.concatenate([*parts, np.zeros(SEED, np.int64)]) if parts else np.zeros(SEED, np.int64)
-        grams = _grams(self.ids, items.bits)
-        where = np.flatnonzero(grams)
-        where = where[np.isin(grams[where], items.grams)]
-        # sorted by the first SEED words, then by what follows, up to the longest item
-        window = np.zeros((len(where), items.longest), dtype=">u4")
-        padded = np.concatenate([self.ids, np.zeros(items.longest, np.int64)])
-        for k in range(items.longest):
-            window[:, k] = padded[where + k]
-        order = np.argsort(np.ascontiguousarray(window).view(f"S{4 * items.longest}").ravel(), kind="stable") if len(where) else np.zeros(0, np.int64)
-        self.suffix, self.gram = where[order], grams[where[order]]
         self.items = items
-
-    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, offset) of every diagonal that holds a verbatim match of a test suffix."""
+        self.starts = np.array([*starts, at], dtype=np.int64)
+        self.ids = np.concatenate([*parts, np.zeros(SEED, np.int64)])
+        pair = _pack(self.ids[:-1], self.ids[1:])
+        two = np.append(_rank(pair, items.pairs), 0)
+        three = np.concatenate([_rank(_pack(two[:-2], self.ids[2:]), items.triples), np.zeros(2, np.int64)])
+        self.ranks = {1: self.ids, 2: two, 3: three}
+        begins = np.zeros(len(self.ids), bool)
+        for n, known in items.seeds.items():
+            begins |= _rank(self.ranks[n], known) > 0
+        where = np.flatnonzero(begins)
+        # rank doubling: the places of the corpus and of the test suffixes side by side, as long as a test suffix is found
+        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = [(3, three, items.ranks[3])]
+        n, own, test = 3, three, items.ranks[3]
+        while True:
+            key = _pack(own[where], own[np.minimum(where + n, len(own) - 1)])
+            known = np.unique(key[key > 0])
+            found = _rank(_pack(test[items.place], test[np.minimum(items.place + n, len(test) - 1)]), known)
+            if not found.any():
+                break
+            own, test = np.zeros_like(own), np.zeros_like(test)
+            own[where], test[items.place] = _rank(key, known), found
+            n *= 2
+            self.levels.append((n, own, test))
+        # the longest runs are in the order of all that is shorter, but for suffixes that match nothing longer
+        self.suffix = where[np.lexsort([level[where] for _, level, _ in self.levels[::-1]] + [two[where], self.ids[where]])]
+
+    def _ranges(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(test suffixes whose item has seeds of n words, suffixes of the corpus, begin and end there of those that begin with the same seed)."""
         it = self.items
-        lo, hi = np.searchsorted(self.gram, it.key, "left"), np.searchsorted(self.gram, it.key, "right")
-        n = hi - lo
-        which = np.repeat(np.arange(len(n)), n)
-        pos = self.suffix[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)] if len(which) else np.zeros(0, np.int64)
-        doc = np.searchsorted(self.starts, pos, "right") - 1
-        rows = np.unique(np.stack([doc, it.item[which], pos - it.at[which]], 1), axis=0) if len(which) else np.zeros((0, 3), np.int64)
-        return rows[:, 0], rows[:, 1], rows[:, 2]
+        which = np.flatnonzero(it.seed[it.item] == n)
+        seed = it.ranks[n][it.place[which]]
+        which, seed = which[seed > 0], seed[seed > 0]
+        key = self.ranks[n][self.suffix]
+        suffix, key = self.suffix[key > 0], key[key > 0]
+        return which, suffix, np.searchsorted(key, seed, "left"), np.searchsorted(key, seed, "right")
+
+    def _length(self, pos: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Words that the corpus from ``pos`` and the items from ``place`` have in common."""
+        n = np.zeros(len(pos), np.int64)
+        for size, own, test in [*self.levels[:0:-1], *((k, self.ranks[k], self.items.ranks[k]) for k in (3, 2, 1))]:
+            a, b = own[np.minimum(pos + n, len(own) - 1)], test[np.minimum(place + n, len(test) - 1)]
+            n += np.where((a == b) & (a > 0), size, 0)
+        return n
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, place in the shard, place in the item, words) of the longest verbatim matches, of all
+        documents that hold as many different seeds of an item as a passage must have."""
+        it, rows = self.items, []
+        for n in it.seeds:
+            which, suffix, lo, hi = self._ranges(n)
+            m = hi - lo
+            test = np.repeat(which, m)
+            pos = suffix[np.arange(len(test)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo, m)]
+            doc = np.searchsorted(self.starts, pos, "right") - 1
+            pair = doc * len(it.seq) + it.item[test]
+            once = np.unique(np.stack([pair, it.at[test]], 1), axis=0)[:, 0]
+            some, count = np.unique(once, return_counts=True)
+            some = some[count >= it.needed[some % len(it.seq)]]
+            keep = np.isin(pair, some)
+            doc, test, pos = doc[keep], test[keep], pos[keep]
+            # runs that could begin one word earlier are part of a longer match
+            first = (self.ids[pos - 1] != it.flat[it.place[test] - 1]) | (it.at[test] == 0) | (pos == self.starts[doc])
+            doc, test, pos = doc[first], test[first], pos[first]
+            rows.append(np.stack([doc, it.item[test], pos, it.at[test], self._length(pos, it.place[test])], 1))
+        out = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
+        out = out[np.lexsort([out[:, 2], out[:, 2] - out[:, 3], out[:, 1], out[:, 0]])]
+        return tuple(out.T)
 
 
 def leaks(items: Items, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
     """(document's index, item's index, words carried, offset in the document's words)."""
     shard = Shard(items, texts)
-    doc, item, off = shard.matches()
-    if not len(doc):
-        return
-    found: dict[tuple[int, int], tuple[int, int]] = {}
+    doc, item, pos, at, size = shard.matches()
+    edges = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else []
     seen: dict[int, list[bytes]] = {}
-    padded = np.concatenate([shard.ids, np.zeros(items.longest, np.int64)])
     there = np.zeros(len(items.of) + 1, bool)
-
-    def compare(d: np.ndarray, i: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = o[:, None] + np.arange(items.longest)
-        inside = (at >= shard.starts[d][:, None]) & (at < shard.starts[d + 1][:, None]) & (np.arange(items.longest) < items.size[i][:, None])
-        return inside, inside & (padded[np.clip(at, 0, len(padded) - 1)] == items.matrix[i])
-
-    # the rows of one document and item follow each other; stretches that can be joined lie on offsets at most REACH apart
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (off[1:] - off[:-1] > REACH)]
-    begin = np.flatnonzero(new)
-    for a, z in zip(begin.tolist(), [*begin[1:].tolist(), len(doc)]):
+    for a, z in zip(edges, [*edges[1:], len(doc)]):
         k, j = int(doc[a]), int(item[a])
-        # too few of the item's words lie there, even if every tolerated slip is one
-        near = shard.ids[max(off[a], shard.starts[k]) : min(off[z - 1] + items.size[j], shard.starts[k + 1])]
-        there[near] = True
-        few = there[items.seq[j]].sum() < items.size[j] * SHARE * (1 - MISSPELT)
-        there[near] = False
-        if few:
-            continue
+        test, best = items.words[j], (0, 0)
         if k not in seen:
-            seen[k] = words(readable(texts[k]))
-        own, test, parts = seen[k], items.words[j], []
-        for at in range(a, z, 20_000):
-            inside, hit = compare(*(x[at : min(at + 20_000, z)] for x in (doc, item, off)))
-            for r in range(len(hit)):
-                base = int(off[at + r] - shard.starts[k])
-                row = hit[r].copy()
-                for x in np.flatnonzero(inside[r] & ~hit[r]).tolist():
-                    if base + x < len(own) and abs(len(own[base + x]) - len(test[x])) <= 2 and _close(own[base + x], test[x]):
-                        row[x] = True
-                parts += [(base, x, y, row, row & ~hit[r]) for n, x, y in _stretches(row) if n >= SEED]
-        n, at = _chain(parts, own, test)
-        if n >= SHARE * len(test):
-            found[k, j] = max(found.get((k, j), (0, 0)), (n, at))
-    for (k, j), (n, at) in sorted(found.items()):
-        yield k, j, n, at
+            seen = {k: words(readable(texts[k]))}
+        own, offsets = seen[k], pos[a:z] - at[a:z]
+        # stretches that can be joined lie on offsets at most REACH apart
+        parted = a + np.flatnonzero(np.append(True, np.diff(offsets) > REACH))
+        for b, y in zip(parted, [*parted[1:], z]):
+            if (size[b:y] - items.seed[j] + 1).sum() < items.needed[j]:
+                continue
+            lo, hi = int(pos[b] - at[b]), int(pos[y - 1] - at[y - 1]) + len(test)
+            # too few of the item's words lie there, even if every tolerated slip is one
+            near = shard.ids[max(lo, shard.starts[k]) : min(hi, shard.starts[k + 1])]
+            there[near] = True
+            few = there[items.seq[j]].sum() < len(test) * SHARE * (1 - MISSPELT)
+            there[near] = False
+            if few:
+                continue
+            parts = []
+            for off in np.unique(offsets[b - a : y - a]).tolist():
+                base = off - int(shard.starts[k])
+                on = np.flatnonzero(offsets[b - a : y - a] == off) + b
+                parts += _diagonal(base, [(int(at[i]), int(at[i] + size[i])) for i in on], own, test, int(items.seed[j]))
+            best = max(best, _chain(parts, own, test))
+        if best[0] >= SHARE * len(test):
+            yield k, j, *best
+
+
+def _diagonal(base: int, runs: list[tuple[int, int]], own: list[bytes], test: list[bytes], seed: int) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Stretches (offset, begin and end in the item, words carried, those misspelt) of one diagonal with its verbatim runs."""
+    row, slip = np.zeros(len(test), bool), np.zeros(len(test), bool)
+    for x, y in runs:
+        row[x:y] = True
+    for x in np.flatnonzero(~row[max(0, -base) : len(own) - base]).tolist():
+        x += max(0, -base)
+        if own[base + x] == test[x]:
+            row[x] = True
+        elif abs(len(own[base + x]) - len(test[x])) <= 2 and _close(own[base + x], test[x]):
+            row[x] = slip[x] = True
+    return [(base, x, y, row, slip) for n, x, y in _stretches(row) if n >= seed]
 
 
 def _stretches(row: np.ndarray) -> list[tuple[int, int, int]]:
