@@ -40,7 +40,10 @@ CASES = [
     ("05/2014", None, "2014-05-01T00:00:00Z"),
     ("2019-02-30", None, None), ("31.11.2016", None, None), ("00/00/0000", None, None), ("2014-13-01", None, None), ("soon", None, None), ("20xx", None, None), ("", None, None), (None, None, None),
     ("2020-01-02 25:00:00", None, None),
-    ("x" * 100_000, None, None),
+    ("x" * 100_000, None, None), ("9" * 100_000, None, None), ("1 " * 50_000, None, None), ("\x012020-01-02", None, None),
+    ("Wednesday, 2 January 2020", None, "2020-01-02T00:00:00Z"), ("Donnerstag, 2. Januar 2020", None, "2020-01-02T00:00:00Z"), ("jeudi 2 janvier 2020", None, "2020-01-02T00:00:00Z"), ("Thursday, January 2, 2020 03:04", None, "2020-01-02T03:04:00Z"),
+    ("Do., 2. Jan. 2020", None, "2020-01-02T00:00:00Z"), ("until 2 January 2020", None, None), ("  2020-01-02" + " " * 300 + "03:04:05  ", None, "2020-01-02T03:04:05Z"), ("2020-01-02T03:04:05." + "9" * 200 + "Z", None, "2020-01-02T03:04:05Z"),
+    ("1900-02-29", None, None), ("2000-02-29", None, "2000-02-29T00:00:00Z"), ("1600-12-31", None, "1600-12-31T00:00:00Z"), ("02/29/2019", None, None), ("13/13/2019", None, None), ("3/4/2019 12:05 AM", None, "2019-04-03T00:05:00Z"), ("3/4/2019 13:05 PM", None, None),
 ]
 
 
@@ -49,6 +52,12 @@ def test_forms(spark):
     assert got == [u for *_, u in CASES]
 
 
+def test_days_of_all_dates(spark):
+    every = spark.range(-354_000, 370_000, 37).select(F.date_from_unix_date(F.col("id").cast("int")).alias("x"), "id")
+    bad = every.where(ts._days(F.year("x"), F.month("x"), F.day("x")) != F.col("id"))
+    assert bad.count() == 0 and every.where(ts._days(F.year("x"), F.month("x"), F.day("x")).isNull()).count() == 0
+
+
 def test_clock_changes_take_the_offset_before(spark):
     rows = [("2021-03-28 02:30", "b", "Europe/Berlin"), ("2021-10-31 02:30", "b", "Europe/Berlin"), ("2021-03-14 02:30", "b", "America/New_York"), ("2021-11-07 01:30", "b", "America/New_York")]
     assert run(spark, rows) == ["2021-03-28T01:30:00Z", "2021-10-31T00:30:00Z", "2021-03-14T07:30:00Z", "2021-11-07T05:30:00Z"]

@@ -46,25 +46,41 @@ ABBREVIATIONS = {
     "PDT": -420,
 }
 
+# Names of the days of the week in the supported languages, Monday first.
+WEEKDAYS = (
+    "monday tuesday wednesday thursday friday saturday sunday", "montag dienstag mittwoch donnerstag freitag samstag sonntag sonnabend", "lundi mardi mercredi jeudi vendredi samedi dimanche",
+    "lunes martes miércoles miercoles jueves viernes sábado sabado domingo", "lunedì lunedi martedì martedi mercoledì mercoledi giovedì giovedi venerdì venerdi sabato domenica", "maandag dinsdag woensdag donderdag vrijdag zaterdag zondag",
+    "دوشنبه سه‌شنبه چهارشنبه پنجشنبه پنج‌شنبه جمعه شنبه یکشنبه یک‌شنبه",
+)
+
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?"
 _ZONE = r"(Z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Z]{2,4})"
 _MON = r"([\p{L}]{3,10})\.?"
-_SPACE = r"[\s\x{00A0}\x{2000}-\x{200F}\x{202F}\x{3000}\x{FEFF}]+"
-
-ISO = rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?:[T ]{_TIME} ?{_ZONE}?)?$"
-COMPACT = rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:T?(\d{{2}})(\d{{2}})(\d{{2}})?{_ZONE}?)?$"
-PDF = r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:(Z|[+-]\d{2})(?:(?<=Z)00)?'?(\d{2})?'?)?$"
-YEAR_FIRST = rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}})(?:[T ]{_TIME} ?{_ZONE}?)?$"
-NUMERIC = rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}}|\d{{2}})(?:,? {_TIME} ?([AaPp][Mm])? ?{_ZONE}?)?$"
-DAY_MON = rf"^(?:[\p{{L}}]{{2,4}},? )?(\d{{1,2}})(?:st|nd|rd|th|\.)?[ -](?:of |de )?{_MON}(?: de)?[ -](\d{{4}}|\d{{2}})(?:,? {_TIME} ?{_ZONE}?)?$"
-MON_DAY = rf"^{_MON} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})(?:,? {_TIME} ?{_ZONE}?)?$"
-CTIME = rf"^[\p{{L}}]{{3}} {_MON} (\d{{1,2}}) {_TIME}(?: {_ZONE})? (\d{{4}})$"
-MON_YEAR = rf"^{_MON}(?:[ -]|,? )(\d{{4}}|['’]\d{{2}})$"
-WEEK = r"^(\d{4})-?W(\d{2})-?([1-7])?$"
-YEAR = r"^(\d{4})$"
-EPOCH = r"^(\d{10}|\d{13})$"
-YEAR_MONTH = r"^(\d{4})[-/.](\d{1,2})$"
-MONTH_YEAR = r"^(\d{1,2})[/.-](\d{4})$"
+_DAY = r"(?:([\p{L}][\p{L}\x{200C}]+)\.?,? )?"
+_SPACE = r"[\s\x{00A0}\x{2000}-\x{200B}\x{200D}-\x{200F}\x{202F}\x{3000}\x{FEFF}]+"
+
+ISO = rf"(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?:[T ]{_TIME} ?{_ZONE}?)?"
+COMPACT = rf"(\d{{4}})(\d{{2}})(\d{{2}})(?:T?(\d{{2}})(\d{{2}})(\d{{2}})?{_ZONE}?)?"
+PDF = r"(D):(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:(Z|[+-]\d{2})(?:(?<=Z)00)?'?(\d{2})?'?)?"
+YEAR_FIRST = rf"(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}})(?:[T ]{_TIME} ?{_ZONE}?)?"
+NUMERIC = rf"(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}}|\d{{2}})(?:,? {_TIME} ?([AaPp][Mm])? ?{_ZONE}?)?"
+DAY_MON = rf"{_DAY}(\d{{1,2}})(?:st|nd|rd|th|\.)?[ -](?:of |de )?{_MON}(?: de)?[ -](\d{{4}}|\d{{2}})(?:,? {_TIME} ?{_ZONE}?)?"
+MON_DAY = rf"{_DAY}{_MON} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})(?:,? {_TIME} ?{_ZONE}?)?"
+CTIME = rf"{_DAY}{_MON} (\d{{1,2}}) {_TIME}(?: {_ZONE})? (\d{{4}})"
+MON_YEAR = rf"{_MON}(?:[ -]|,? )(?:(\d{{4}})|['’](\d{{2}}))"
+WEEK = r"(\d{4})-?W(\d{2})-?([1-7])?"
+YEAR_MONTH = r"(\d{4})[-/.](\d{1,2})"
+MONTH_YEAR = r"(\d{1,2})[/.-](\d{4})"
+YEAR = r"(\d{4})"
+EPOCH = r"(\d{10}|\d{13})"
+
+#: Each form and what its groups hold. The order of ``a`` and ``b`` is the feed's; ``pdf`` marks that form, ``w`` is a
+#: week of the year, ``wd`` the name of a weekday, which must be one but is not compared with the date.
+FORMS = (
+    (ISO, "y mo d h mi s zone"), (COMPACT, "y mo d h mi s zone"), (PDF, "pdf y mo d h mi s zone zone"), (YEAR_FIRST, "y mo d h mi s zone"), (NUMERIC, "a b y h mi s half zone"),
+    (DAY_MON, "wd d mo y h mi s zone"), (MON_DAY, "wd mo d y h mi s zone"), (CTIME, "wd mo d h mi s zone y"), (MON_YEAR, "mo y y"), (WEEK, "y w d"), (YEAR_MONTH, "y mo"), (MONTH_YEAR, "mo y"), (YEAR, "y"), (EPOCH, "epoch"),
+)
+FIELDS = ("y", "mo", "d", "h", "mi", "s", "zone", "half", "a", "b", "w", "epoch", "pdf", "wd")
 
 
 def clean(value: Column) -> Column:
@@ -74,81 +90,92 @@ def clean(value: Column) -> Column:
 
 
 def fence(c: Column) -> Column:
-    """``c``, evaluated once: the optimiser moves nothing across a value it must not recompute."""
-    return F.when(F.monotonically_increasing_id() >= 0, c)
+    """``c``, evaluated once: the optimiser moves nothing across a value it must not recompute.
 
+    The lambda keeps the projection out of whole-stage code, where a chain of large expressions would become one
+    method, too large for the virtual machine to compile; by itself a projection is cut into small ones.
+    """
+    return F.when(F.forall(F.array(F.monotonically_increasing_id()), lambda x: x >= 0), c)
 
-#: kind, pattern, rewriting to ``kind|y|mo|d|h|mi|s|zone|half``. In kind N the order of the first two is the feed's.
-FORMS = (
-    ("D", ISO, "$1|$2|$3|$4|$5|$6|$7|"),
-    ("D", COMPACT, "$1|$2|$3|$4|$5|$6|$7|"),
-    ("P", PDF, "$1|$2|$3|$4|$5|$6|$7$8|"),
-    ("D", YEAR_FIRST, "$1|$2|$3|$4|$5|$6|$7|"),
-    ("N", NUMERIC, "$3|$1|$2|$4|$5|$6|$8|$7"),
-    ("D", DAY_MON, "$3|$2|$1|$4|$5|$6|$7|"),
-    ("D", MON_DAY, "$3|$1|$2|$4|$5|$6|$7|"),
-    ("D", CTIME, "$7|$1|$2|$3|$4|$5|$6|"),
-    ("D", MON_YEAR, "$2|$1|1|||||"),
-    ("W", WEEK, "$1|$2|$3|||||"),
-    ("D", YEAR_MONTH, "$1|$2|1|||||"),
-    ("D", MONTH_YEAR, "$2|$1|1|||||"),
-    ("D", YEAR, "$1|1|1|||||"),
-    ("E", EPOCH, "$1|||||||"),
-)
+
+def _matcher() -> tuple[str, str]:
+    """All forms as one pattern, the first that fits in their order, and the rewriting to ``FIELDS``, with a mark before them.
+
+    A group of a form that did not fit is empty, so a field is what its groups of all forms hold together.
+    """
+    groups: dict[str, str] = dict.fromkeys(FIELDS, "")
+    n = 0
+    for _, names in FORMS:
+        for name in names.split():
+            n += 1
+            groups[name] += f"${n}"
+    return "^(?:" + "|".join(p for p, _ in FORMS) + ")$", "".join("\x01" + groups[f] for f in FIELDS)
+
+
+_PATTERN, _REWRITTEN = _matcher()
 
 
 def canonical(s: Column) -> Column:
-    """Cleaned text to ``kind|y|mo|d|h|mi|s|zone|half``; null where no form fits."""
-    chain = F.when(F.length(s) > 64, None)
-    for kind, pattern, fields in FORMS:
-        chain = chain.when(s.rlike(pattern), F.concat(F.lit(kind + "|"), F.regexp_replace(s, pattern, fields)))
-    return chain
-
-
-def parts(canon: Column, day_first: Column) -> Column:
-    """Struct (y, mo, d, h, mi, s, zone, epoch) of a canonical text."""
-    bits = F.split(canon, "[|]")
-    text = lambda i: F.element_at(bits, i)
-    num = lambda i: F.nullif(text(i), F.lit("")).try_cast("int")
+    """Array of the ``FIELDS`` of a cleaned text, after an empty one; another array where no form fits.
+
+    One pattern and no conditions, so that the code stays small enough to be compiled.
+    """
+    return F.split(F.regexp_replace(F.translate(s, "\x01", "?"), _PATTERN, _REWRITTEN), "\x01")
+
+
+def parts(bits: Column, day_first: Column) -> Column:
+    """Struct (y, mo, d, h, mi, s, w, zone, epoch) of canonical fields; mo and d are 1 where they are missing."""
+    text = lambda f: F.get(bits, F.lit(FIELDS.index(f) + 1))
+    num = lambda f: F.when(text(f) != "", text(f).try_cast("int"))
     names = F.create_map(*[F.lit(x) for n, words in MONTHS.items() for w in words.split() for x in (w, n)])
-    year = F.regexp_replace(text(2), "['’]", "")
-    y = year.try_cast("int")
-    y = F.when(F.length(year) > 2, y).when(y >= 70, y + 1900).otherwise(y + 2000)
-    swap = (text(1) == "N") & day_first
-    mo = F.when(swap, num(4)).otherwise(F.coalesce(num(3), F.try_element_at(names, F.lower(text(3))), F.when(text(1) == "P", F.lit(1))))
-    d = F.when(swap, num(3)).otherwise(F.coalesce(num(4), F.when(text(1).isin("P", "W"), F.lit(1))))
-    half = F.lower(text(9))
-    h = F.when(half == "", num(5)).when((num(5) < 1) | (num(5) > 12), F.lit(99)).when(half == "pm", num(5) % 12 + 12).otherwise(num(5) % 12)
-    epoch = F.when(text(1) == "E", F.floor(text(2).try_cast("bigint") / F.when(F.length(text(2)) > 10, 1000).otherwise(1)))
-    return F.struct(text(1).alias("kind"), y.alias("y"), mo.alias("mo"), d.alias("d"), h.alias("h"), num(6).alias("mi"), num(7).alias("s"), text(8).alias("zone"), epoch.alias("epoch"))
+    y = num("y")
+    y = F.when(F.length(text("y")) > 2, y).when(y >= 70, y + 1900).otherwise(y + 2000)
+    one = lambda f, other: F.when(text(f) != "", other).otherwise(1)
+    mo = F.when(text("a") == "", one("mo", F.coalesce(num("mo"), F.try_element_at(names, F.lower(text("mo")))))).when(day_first, num("b")).otherwise(num("a"))
+    d = F.when(text("a") == "", one("d", num("d"))).when(day_first, num("a")).otherwise(num("b"))
+    h, half = num("h"), F.lower(text("half"))
+    h = F.when(half == "", h).when((h < 1) | (h > 12), F.lit(99)).when(half == "pm", h % 12 + 12).otherwise(h % 12)
+    epoch = F.when(text("epoch") != "", F.floor(text("epoch").try_cast("bigint") / F.when(F.length(text("epoch")) > 10, 1000).otherwise(1)))
+    fields = F.struct(y.alias("y"), mo.alias("mo"), d.alias("d"), h.alias("h"), num("mi").alias("mi"), num("s").alias("s"), num("w").alias("w"), text("zone").alias("zone"), epoch.alias("epoch"))
+    known = sorted({x[:n] for names in WEEKDAYS for x in names.split() for n in range(2, len(x) + 1)})
+    return F.when((F.size(bits) > 1) & ((text("wd") == "") | F.lower(text("wd")).isin(*known)), fields)
+
+
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b))
 
 
 def _days(y: Column, mo: Column, d: Column) -> Column:
-    """Day number of a date; null where it does not exist or the year has not four digits."""
-    text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(mo.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    return F.when(y.between(1000, 9999) & mo.between(1, 12) & d.between(1, 31), F.unix_date(text.try_cast("date")))
+    """Day number of a date; null where it does not exist or the year has not four digits. Integers only."""
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    last = F.when(mo == 2, F.when(leap, 29).otherwise(28)).otherwise(30 + (mo + _div(mo, 8)) % 2)
+    # years and months counted from March on
+    year = y - F.when(mo <= 2, 1).otherwise(0)
+    month = F.when(mo <= 2, mo + 9).otherwise(mo - 3)
+    day = year * 365 + _div(year, 4) - _div(year, 100) + _div(year, 400) + _div(month * 153 + 2, 5) + d
+    return F.when(y.between(1000, 9999) & mo.between(1, 12) & (d >= 1) & (d <= last), (day - 719469).cast("int"))
 
 
 def wall_seconds(p: Column) -> Column:
     """The wall clock as seconds since 1970 as if it were UTC; null for dates and times that do not exist."""
     h, mi, s = (F.coalesce(p[k], F.lit(0)) for k in ("h", "mi", "s"))
     clock = F.when((h < 24) & (mi < 60) & (s < 60), h * 3600 + mi * 60 + s)
-    jan4 = _days(p["y"], F.lit(1), F.lit(4))
-    week = jan4 - F.pmod(jan4 + 3, F.lit(7)) + (p["mo"] - 1) * 7
-    week = F.when((p["mo"] >= 1) & (F.weekofyear(F.date_from_unix_date(week)) == p["mo"]), week + p["d"] - 1)
-    day = F.when(p["kind"] == "W", week).otherwise(_days(p["y"], p["mo"], p["d"]))
-    return F.coalesce(p["epoch"], day.cast("bigint") * 86400 + clock)
+    weekly = p["w"].isNotNull()
+    # the fourth of January lies in the first week
+    day = _days(p["y"], F.when(weekly, 1).otherwise(p["mo"]), F.when(weekly, 4).otherwise(p["d"]))
+    monday = day - F.pmod(day + 3, F.lit(7)) + (p["w"] - 1) * 7
+    week = F.when((p["w"] >= 1) & (F.weekofyear(F.date_from_unix_date(monday)) == p["w"]), monday + p["d"] - 1)
+    return F.coalesce(p["epoch"], F.when(weekly, week).otherwise(day).cast("bigint") * 86400 + clock)
 
 
 def offset_seconds(zone: Column) -> Column:
     """Offset named by the value itself; null where it names none that is known."""
     named = F.create_map(*[F.lit(x) for k, m in ABBREVIATIONS.items() for x in (k, m * 60)])
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    digits = F.rpad(F.regexp_replace(zone, "[^0-9]", ""), 4, "0")
-    zone = F.regexp_replace(zone, "^Z0+$", "Z")
+    digits = F.rpad(F.translate(zone, "+-:", ""), 4, "0")
     return F.when(zone == "", F.lit(None).cast("int")).when(
         zone.rlike("^[+-]"), sign * (F.substring(digits, 1, 2).try_cast("int") * 3600 + F.substring(digits, 3, 2).try_cast("int") * 60)
-    ).otherwise(F.try_element_at(named, zone))
+    ).otherwise(F.try_element_at(named, F.when(zone.startswith("Z0"), "Z").otherwise(zone)))
 
 
 def zone_to_utc(wall: Column, zone: Column) -> Column:
@@ -176,10 +203,11 @@ def feed_orders(values: DataFrame) -> DataFrame:
     would exceed 12, and, with a smaller weight, when its date would lie after its ingestion. Ties and
     feeds without such dates read the day first.
     """
-    rows = values.where(F.col("s").rlike(NUMERIC)).select("feed", instant_seconds(values, "seen").alias("seen"), fence(F.split(canonical(F.col("s")), "[|]")).alias("x"))
+    numeric = f"^{NUMERIC}$"
+    rows = values.where(F.col("s").rlike(numeric)).select("feed", instant_seconds(values, "seen").alias("seen"), fence(F.split(F.regexp_replace("s", numeric, "$3|$1|$2"), r"\|")).alias("x"))
     num = lambda i: F.element_at("x", i).try_cast("int")
-    year = F.when(F.length(F.element_at("x", 2)) > 2, num(2)).when(num(2) >= 70, num(2) + 1900).otherwise(num(2) + 2000)
-    rows = rows.select("feed", "seen", fence(F.struct(num(3).alias("a"), num(4).alias("b"), year.alias("y"))).alias("v")).select("feed", "seen", "v.*")
+    year = F.when(F.length(F.element_at("x", 1)) > 2, num(1)).when(num(1) >= 70, num(1) + 1900).otherwise(num(1) + 2000)
+    rows = rows.select("feed", "seen", fence(F.struct(num(2).alias("a"), num(3).alias("b"), year.alias("y"))).alias("v")).select("feed", "seen", "v.*")
     rows = rows.where("a between 1 and 31 and b between 1 and 31 and (a <= 12 or b <= 12)")
 
     def broken(mo: Column, d: Column) -> Column:
@@ -251,22 +279,29 @@ def normalise(df: DataFrame, values: Sequence[str] | str, feed: str, zone: str,
         long = df.select(F.col(feed).alias("feed"), F.col(seen).alias("seen"), F.explode(F.array(*values)).alias("v"))
         orders = feed_orders(long.select("feed", clean(F.col("v")).alias("s"), "seen"))
     orders = orders.select(F.col("feed").alias("__ts_feed"), F.col("day_first").alias("__ts_df"))
-    # one value is compiled; several go through one lambda, since the code of several would be too large to compile
-    each = (lambda c, fn: fn(c)) if len(values) == 1 else F.transform
-    rows = df.withColumn("__ts_v", F.col(values[0]) if len(values) == 1 else F.array(*values))
-    rows = rows.withColumn("__ts_c", fence(each(F.col("__ts_v"), lambda v: canonical(clean(v)))))
-    rows = beside(rows, feed, orders, "__ts_feed")
-    rows = rows.withColumn("__ts_p", fence(each(F.col("__ts_c"), lambda c: parts(c, F.coalesce("__ts_df", F.lit(True))))))
-    rows = rows.withColumn("__ts_w", fence(each(F.col("__ts_p"), lambda p: F.struct(p.alias("p"), wall_seconds(p).alias("wall")))))
     fallback: Column = F.lit(unzoned if isinstance(unzoned, str) else unzoned[0])
     if not isinstance(unzoned, str):
-        walls = F.array("__ts_w") if len(values) == 1 else F.col("__ts_w")
-        open_ = rows.where(F.col(zone).isNull()).select(F.col(feed).alias("feed"), F.col(seen).alias("seen"), F.explode(walls).alias("x"))
-        open_ = open_.where("x.p.zone = '' and x.p.h is not null and x.wall is not null").select("feed", "seen", "x.wall")
-        est = estimate_zones(open_, unzoned).select(F.col("feed").alias("__ts_feed2"), F.col("est_zone").alias("__ts_est"))
+        # only values with a time of day, where no zone is declared, ask for the estimate
+        open_ = df.where(F.col(zone).isNull()).select(F.col(feed).alias("feed"), F.col(seen).alias("seen"), F.explode(F.array(*values)).alias("v"))
+        open_ = open_.where(F.col("v").rlike(TIMED))
+        open_ = walls(beside(open_, "feed", orders, "__ts_feed"), "v", "__ts_df").where("__ts_p.zone = '' and __ts_p.h is not null and __ts_w is not null")
+        est = estimate_zones(open_.select("feed", "seen", F.col("__ts_w").alias("wall")), unzoned).select(F.col("feed").alias("__ts_feed2"), F.col("est_zone").alias("__ts_est"))
+    rows = beside(df, feed, orders, "__ts_feed")
+    if not isinstance(unzoned, str):
         rows = beside(rows, feed, est, "__ts_feed2")
         fallback = F.coalesce("__ts_est", fallback)
-    utc = fence(each(F.col("__ts_w"), lambda x: utc_seconds(x["p"], x["wall"], F.coalesce(F.col(zone), fallback))))
-    rows = rows.withColumn("__ts_u", utc)
-    rows = rows.withColumns({f"{v}_utc": F.col("__ts_u") if len(values) == 1 else F.element_at("__ts_u", i + 1) for i, v in enumerate(values)})
+    for v in values:
+        rows = walls(rows, v, "__ts_df")
+        rows = rows.withColumn(f"{v}_utc", fence(utc_seconds(F.col("__ts_p"), F.col("__ts_w"), F.coalesce(F.col(zone), fallback))))
     return rows.drop(*[c for c in rows.columns if c.startswith("__ts_")])
+
+
+#: Values that can have a time of day: a colon, or enough digits in a row.
+TIMED = r":|[0-9۰-۹٠-٩]{10}|T"
+
+
+def walls(rows: DataFrame, value: str, day_first: str) -> DataFrame:
+    """``rows`` with ``__ts_p`` (parts) and ``__ts_w`` (wall-clock seconds) of a value. Each step is fenced: it runs once and is compiled by itself."""
+    rows = rows.withColumn("__ts_c", fence(canonical(clean(F.col(value)))))
+    rows = rows.withColumn("__ts_p", fence(parts(F.col("__ts_c"), F.coalesce(day_first, F.lit(True)))))
+    return rows.withColumn("__ts_w", fence(wall_seconds(F.col("__ts_p"))))

@@ -30,19 +30,19 @@ def pdf_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = event_values(spark, d).unionByName(pdf_values(spark, d)).where(F.col("value").isNotNull())
+    # values without a digit name no date, and values in the plain form are no cases: neither is parsed
+    rows = event_values(spark, d).unionByName(pdf_values(spark, d)).where(F.col("value").rlike("[0-9۰-۹٠-٩]") & ~F.col("value").rlike(PLAIN))
     # UTC, which the tables' description names for feeds without a zone, is the prior of the estimate
     done = timestamps.normalise(rows, "value", "feed", "feed_zone", "seen", unzoned=ZONES)
-    return done.where(F.col("value_utc").isNotNull() & ~F.col("value").rlike(PLAIN)).select("src", "row_id", "field", timestamps.iso_utc(F.col("value_utc")).alias("utc"))
+    return done.where(F.col("value_utc").isNotNull()).select("src", "row_id", "field", timestamps.iso_utc(F.col("value_utc")).alias("utc"))
 
 
 def p4_zones(spark: SparkSession, d: str) -> DataFrame:
     """Every feed with the zone estimated from its local times and ingestion times, beside the declared one."""
     rows = event_values(spark, d).unionByName(pdf_values(spark, d)).where(F.col("value").isNotNull())
-    read = rows.select("feed", "seen", timestamps.fence(timestamps.canonical(timestamps.clean(F.col("value")))).alias("c"))
-    read = read.select("feed", "seen", timestamps.fence(timestamps.parts(F.col("c"), F.lit(True))).alias("p"))
-    parts = read.where("p.h is not null and p.zone = ''").select("feed", "seen", timestamps.wall_seconds(F.col("p")).alias("wall"))
-    est = timestamps.estimate_zones(parts, ZONES)
+    timed = rows.where(F.col("value").rlike(timestamps.TIMED)).withColumn("__ts_df", F.lit(True))
+    read = timestamps.walls(timed, "value", "__ts_df").where("__ts_p.h is not null and __ts_p.zone = ''")
+    est = timestamps.estimate_zones(read.select("feed", "seen", F.col("__ts_w").alias("wall")), ZONES)
     declared = rows.groupBy("feed").agg(F.min("feed_zone").alias("declared"), F.count(F.lit(1)).alias("n_values"))
     return declared.join(est, "feed", "left").select("feed", "declared", "n_values", "est_zone", "violations", "informative")
 
