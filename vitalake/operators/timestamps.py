@@ -242,6 +242,14 @@ def estimate_zones(values: DataFrame, candidates: Sequence[str], band_s: int = 2
     return sums.select("feed", est.alias("est_zone"), F.when(wins, best["v"]).otherwise(F.col("c0.v")).alias("violations"), F.col("n").alias("informative"))
 
 
+def feed_zones(values: DataFrame, candidates: Sequence[str], orders: DataFrame) -> DataFrame:
+    """:func:`estimate_zones` for ``values`` (feed, zone, seen, value as text), of those that need it: with a time of day, without any zone."""
+    rows = values.where(F.col("zone").isNull() & F.col("value").rlike(TIMED)).select("feed", "seen", "value")
+    rows = walls(beside(rows, "feed", orders.select(F.col("feed").alias("__ts_feed"), F.col("day_first").alias("__ts_df")), "__ts_feed"), "value", "__ts_df")
+    rows = rows.where("__ts_p.zone = '' and __ts_p.h is not null and __ts_w is not null")
+    return estimate_zones(rows.select("feed", "seen", F.col("__ts_w").alias("wall")), candidates)
+
+
 def utc_seconds(p: Column, wall: Column, zone: Column) -> Column:
     """UTC seconds of a wall clock: its own zone wins, else ``zone`` holds; days without a time are not shifted."""
     off = offset_seconds(p["zone"])
@@ -265,12 +273,12 @@ def beside(df: DataFrame, name: str, few: DataFrame, key: str, most: int = 100_0
     return df.join(few, F.col(name) == F.col(key), "left")
 
 
-def normalise(df: DataFrame, values: Sequence[str] | str, feed: str, zone: str, seen: str, unzoned: str | Sequence[str] = "UTC", orders: DataFrame | None = None) -> DataFrame:
+def normalise(df: DataFrame, values: Sequence[str] | str, feed: str, zone: str, seen: str, unzoned: str | Sequence[str] = "UTC", orders: DataFrame | None = None, zones: DataFrame | None = None) -> DataFrame:
     """``df`` with ``<value>_utc`` (UTC seconds) for each value column; :func:`iso_utc` gives the text form.
 
     A zone or offset inside the value wins, then the column ``zone``; where that is null, ``unzoned`` holds:
     a zone name, or a sequence of candidate zones from which :func:`estimate_zones` picks one per feed.
-    ``orders`` may give (feed, day_first) gathered elsewhere. Null, blank, unreadable, open and impossible
+    ``orders`` may give (feed, day_first) and ``zones`` (feed, est_zone) gathered elsewhere. Null, blank, unreadable, open and impossible
     values give null; rows with a null feed are read day first; an empty ``df`` gives an empty result.
     Other columns stay; helper columns begin with ``__ts_`` and are dropped.
     """
@@ -279,16 +287,12 @@ def normalise(df: DataFrame, values: Sequence[str] | str, feed: str, zone: str,
         long = df.select(F.col(feed).alias("feed"), F.col(seen).alias("seen"), F.explode(F.array(*values)).alias("v"))
         orders = feed_orders(long.select("feed", clean(F.col("v")).alias("s"), "seen"))
     orders = orders.select(F.col("feed").alias("__ts_feed"), F.col("day_first").alias("__ts_df"))
-    fallback: Column = F.lit(unzoned if isinstance(unzoned, str) else unzoned[0])
-    if not isinstance(unzoned, str):
-        # only values with a time of day, where no zone is declared, ask for the estimate
-        open_ = df.where(F.col(zone).isNull()).select(F.col(feed).alias("feed"), F.col(seen).alias("seen"), F.explode(F.array(*values)).alias("v"))
-        open_ = open_.where(F.col("v").rlike(TIMED))
-        open_ = walls(beside(open_, "feed", orders, "__ts_feed"), "v", "__ts_df").where("__ts_p.zone = '' and __ts_p.h is not null and __ts_w is not null")
-        est = estimate_zones(open_.select("feed", "seen", F.col("__ts_w").alias("wall")), unzoned).select(F.col("feed").alias("__ts_feed2"), F.col("est_zone").alias("__ts_est"))
-    rows = beside(df, feed, orders, "__ts_feed")
-    if not isinstance(unzoned, str):
-        rows = beside(rows, feed, est, "__ts_feed2")
+    rows, fallback = beside(df, feed, orders, "__ts_feed"), F.lit(unzoned if isinstance(unzoned, str) else unzoned[0])
+    if zones is None and not isinstance(unzoned, str):
+        long = df.select(F.col(feed).alias("feed"), F.col(zone).alias("zone"), F.col(seen).alias("seen"), F.explode(F.array(*values)).alias("value"))
+        zones = feed_zones(long, unzoned, orders.toDF("feed", "day_first"))
+    if zones is not None:
+        rows = beside(rows, feed, zones.select(F.col("feed").alias("__ts_feed2"), F.col("est_zone").alias("__ts_est")), "__ts_feed2")
         fallback = F.coalesce("__ts_est", fallback)
     for v in values:
         rows = walls(rows, v, "__ts_df")

@@ -59,13 +59,14 @@ def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _job_days(spark: SparkSession, d: str) -> DataFrame:
-    """(resume_id, d0, d1): first and last day of each job; the order of day and month is that of the whole feed, as in p4."""
+    """(resume_id, d0, d1): first and last day of each job; order of day and month and missing zones are those of the whole feed, as in p4."""
     every = event_values(spark, d).unionByName(pdf_values(spark, d))
     orders = timestamps.feed_orders(every.select("feed", timestamps.clean(F.col("value")).alias("s"), "seen"))
+    zones = timestamps.feed_zones(every.withColumnRenamed("feed_zone", "zone"), ZONES, orders)
     e = table(spark, d, "resume_events").select("resume_id", "type", "start_date", "end_date", "feed", "feed_zone", "ingested_at")
     text = lambda c: F.lower(csv_rows.strip(F.coalesce(c, F.lit(""))))
     jobs = e.where(text("type").isin("work", "internship"))
-    jobs = timestamps.normalise(jobs, ["start_date", "end_date"], "feed", "feed_zone", "ingested_at", unzoned="UTC", orders=orders)
+    jobs = timestamps.normalise(jobs, ["start_date", "end_date"], "feed", "feed_zone", "ingested_at", orders=orders, zones=zones)
     day = lambda c: F.date_from_unix_date(F.floor(F.col(c) / 86400).cast("int"))
     end = F.when(text("end_date").isin(*OPEN_ENDS), F.lit(OPEN_DAY).cast("date")).otherwise(day("end_date_utc"))
     return jobs.select("resume_id", day("start_date_utc").alias("d0"), end.alias("d1"))
