@@ -5,7 +5,10 @@ its text. Trusted words (frequent, letters only) are indexed by all their forms
 (rn for m, 1 for l, a ligature for its letters) made; every other form looks up its own forms with at most one
 undone (a symmetric join, so no pair of unrelated words meets, and every pair that two confusions part does).
 The candidates are scored by an edit distance in which known confusions are cheap and everything else is dear.
-Of several candidates the one that follows the preceding word most often wins.
+Of several candidates the one that follows the preceding word most often wins (bigram counts of all texts).
+
+Only words that may have a repair leave the texts: a bitmap of fixed size holds the hashes of all forms with a
+candidate. It lets a few others pass, which the join with the candidates removes, but never holds one back.
 
 A text with null or empty ``text`` has no lines. Repeated texts are judged each for itself. ``pages`` may be
 null: then only lines that recur are running lines. All statistics cover the whole table; nothing is capped.
@@ -15,11 +18,13 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What a scanner reads (right) where these letters stand (left).
@@ -38,59 +43,79 @@ LONGEST, DRIFT = 48, 4
 HYPHENS = "-­¬‐‑"
 
 _EDGE = " .,:;()[]{}<>\"“”„«»'’‘?…–—/|*+=&%#_•·°"
-_NUMBER = r"(?:\d{1,4}|[lIO|]\d{0,2})"
-_PAGE = re.compile(rf"^(?:page|p\.|pg\.?|seite|s\.|página|pagina|pág\.|blz\.?|صفحه)\s*({_NUMBER})(?:\s*(?:of|von|de|di|van|sur|/|از)\s*({_NUMBER}))?$|^[–—-]\s*(\d{{1,4}})\s*[–—-]$|^\[\s*(\d{{1,4}})\s*\]$|^\(\s*(\d{{1,4}})\s*\)$|^(\d{{1,3}})\s*(?:/|of|von|de|di|van|sur)\s*(\d{{1,3}})$", re.I)
-_TAIL = re.compile(rf"(?:[\s|–—-]+(?:page|p\.|seite|página|pagina|pág\.|blz\.?|صفحه)?\s*{_NUMBER}(?:\s*(?:of|von|de|di|van|sur|/)\s*{_NUMBER})?|\s+[\[(]\d{{1,4}}[\])])$", re.I)
+_NUMBER = r"(?:\d{1,9}|[lIO|]\d{0,2})"
+_PAGE = re.compile(rf"^(?:page|p\.|pg\.?|seite|s\.|página|pagina|pág\.|blz\.?|صفحه)\s*({_NUMBER})(?:\s*(?:of|von|de|di|van|sur|/|از)\s*({_NUMBER}))?$|^[–—-]\s*(\d{{1,9}})\s*[–—-]$|^\[\s*(\d{{1,9}})\s*\]$|^\(\s*(\d{{1,9}})\s*\)$|^(\d{{1,9}})\s*(?:/|of|von|de|di|van|sur)\s*(\d{{1,9}})$", re.I)
+_TAIL = re.compile(rf"(?:[\s|–—-]+(?:page|p\.|seite|página|pagina|pág\.|blz\.?|صفحه)?\s*{_NUMBER}(?:\s*(?:of|von|de|di|van|sur|/)\s*{_NUMBER})?|\s+[\[(]\d{{1,9}}[\])])$", re.I)
 _WORDY = re.compile(r"[^\W\d_]")
 _ODD = re.compile(r"[\d†!|$€@ﬀ-ﬆ+]")
 ODD_WORD = r"[0-9†!|$€@\x{FB00}-\x{FB06}+]"
 _CODE = re.compile(r"^\d+[a-z]?$|@|\[at\]|://|\.[a-z]{2,}$")
 _PARTS = re.compile(r"\s[|–—/-]\s")
+_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"(?<![^\W\d_])\d+(?![^\W_])")
 _CUT = re.compile(rf"([^\W\d_][^\s]*?)([{HYPHENS}])$")
 
 
-@functools.lru_cache(maxsize=128)
-def roman(most: int) -> dict[str, int]:
-    """Roman numerals up to ``most``, in lower case."""
+@functools.lru_cache(maxsize=1)
+def roman() -> dict[str, int]:
+    """All roman numerals (up to 3999), in lower case."""
     out = {}
-    for n in range(1, most + 1):
+    for n in range(1, 4000):
         text, rest = "", n
-        for value, sign in ((50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
             text += sign * (rest // value)
             rest %= value
         out[text] = n
     return out
 
 
+#: Signs that a line with nothing but a page number, or with one at its end, ends in, digits aside.
+_LAST = frozenset("lLiIoO|-–—])")
+_ROMAN = frozenset("ivxlcdmIVXLCDM-–—[]() ")
+
+
 def page_number(line: str, pages: int | None) -> bool:
     """Whether a line holds nothing but the number of its page."""
     s = line.strip()
-    if s.isdigit() and len(s) <= 4 and s.isascii():
-        return 1 <= int(s) <= (pages or 0)
-    bare = s.strip("-–—[]() ").lower()
-    if bare and len(bare) <= 7 and not bare.strip("ivxl"):
-        return roman(min(pages or 0, 89)).get(bare) is not None
-    m = _PAGE.match(s)
+    last = s[-1:]
+    if not (last in _LAST or last in _ROMAN or last.isdigit()):
+        return False
+    most = pages or 0
+    if s.isdigit() and s.isascii():
+        return len(s) <= 10 and 1 <= int(s) <= most
+    if last in _ROMAN and (bare := s.strip("-–—[]() ").lower()) and not bare.strip("ivxlcdm"):
+        return roman().get(bare, most + 1) <= most
+    m = _PAGE.match(s) if last in _LAST or last.isdigit() else None
     if not m:
         return False
-    if m.group(6) and not int(m.group(6)) <= int(m.group(7)) <= max(pages or 0, int(m.group(7)) if pages is None else 0):
+    # between marks, a number has the digits of a year at most, or those of the number of pages
+    if any(x and len(x) > max(4, len(str(most))) for x in m.group(3, 4, 5)):
+        return False
+    if m.group(6) and not int(m.group(6)) <= int(m.group(7)) <= max(most, int(m.group(7)) if pages is None else 0):
         return False
     return True
 
 
 def running_key(line: str) -> str:
     """A line without its page number; blanks, letter case and digits (but for those inside words) levelled."""
-    s = re.sub(r"\s+", " ", line).strip()
-    cut = _TAIL.sub("", s)
-    return re.sub(r"(?<![^\W\d_])\d+(?![^\W_])", "#", (cut if len(cut) >= 3 and _WORDY.search(cut) else s).lower())
+    s = " ".join(line.split())
+    if s[-1:] in _LAST or s[-1:].isdigit():
+        cut = _TAIL.sub("", s)
+        s = cut if len(cut) >= 3 and _WORDY.search(cut) else s
+    s = s.lower()
+    return _DIGITS.sub("#", s) if _DIGIT.search(s) else s
 
 
 def line_words(line: str) -> list[str]:
     """Word forms of a line in lower case, marks at their edges taken off, exclamation marks inside kept."""
     out = []
     for chunk in line.split():
-        w = chunk.strip(_EDGE).rstrip("!").rstrip(_EDGE).lower()
-        if len(w) >= 2 and _WORDY.search(w):
+        if chunk.isalpha() and chunk.isascii():
+            w = chunk.lower()
+        else:
+            w = chunk.strip(_EDGE).rstrip("!").rstrip(_EDGE).lower()
+            if not _WORDY.search(w):
+                continue
+        if len(w) >= 2:
             out.append(w)
     return out
 
@@ -103,7 +128,7 @@ def repeats(text: str, pages: int | None) -> list[tuple[str, str, int, int]]:
     """(line, the line or a part of it, 1 if the line recurs about once a page, 1 if it does so evenly) of a text's lines."""
     at: dict[str, list[int]] = {}
     for i, x in enumerate(text.split("\n")):
-        if x.strip() and len(x) <= 120 and not page_number(x, pages):
+        if x.strip() and not page_number(x, pages):
             at.setdefault(running_key(x), []).append(i)
     n, out = pages or 0, []
     for k, where in at.items():
@@ -203,7 +228,7 @@ def cuts(lines: list[str], kinds: list[str]) -> list[tuple[int, int, str, str, s
     """(line, line where it goes on, left part, right part, hyphen) of words cut at a line's end."""
     out = []
     for i, x in enumerate(lines):
-        if kinds[i] != "body" or not (m := _CUT.search(x.rstrip())):
+        if kinds[i] != "body" or (x := x.rstrip())[-1:] not in HYPHENS or not (m := _CUT.search(x)):
             continue
         j = i + 1
         while j < len(lines) and kinds[j] != "body":
@@ -216,29 +241,58 @@ def cuts(lines: list[str], kinds: list[str]) -> list[tuple[int, int, str, str, s
     return out
 
 
+#: Bits of a bitmap (2 MB).
+BITS = 24
+
+
+class Maybe:
+    """A bitmap of hashed texts, of fixed size: tells texts that are surely not among them from those that may be."""
+
+    def __init__(self, texts: DataFrame, column: str):
+        h = (F.crc32(F.encode(column, "UTF-8")) % (1 << BITS)).alias("h")
+        words = texts.select(h).select(F.expr("h div 64").alias("i"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("b"))
+        # at most one row per machine word, however many texts there are
+        rows = words.groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
+        bits = np.zeros(1 << (BITS - 6), np.int64)
+        bits[rows["i"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+        self.bits = bits.astype("<i8").tobytes()
+
+    def __call__(self, text: str) -> bool:
+        h = zlib.crc32(text.encode("utf-8", "replace")) & (1 << BITS) - 1
+        return bool(self.bits[h >> 3] >> (h & 7) & 1)
+
+
+def survey(b: pd.DataFrame) -> list[tuple[str, str, int, int]]:
+    """Counts over a batch: word forms (kind ``w``: form, n), joined forms of cut words (n 0), and lines (kind ``look``: the line
+    or a part of it, number of texts that have it, of those where it recurs about once a page)."""
+    forms: Counter[str] = Counter()
+    looks: dict[str, list[int]] = {}
+    for text, pages in zip(b["text"], b["pages"]):
+        pages = None if pd.isna(pages) else int(pages)
+        lines, kinds = body_lines(text, pages, set())
+        for line in lines:
+            words = line_words(line)
+            if words and line.rstrip()[-1:] in HYPHENS:
+                words.pop()
+            forms.update(words)
+        for x in cuts(lines, kinds):
+            forms[x[2] + x[3]] += 0
+        for _, look, hit, _ in repeats(text, pages):
+            n = looks.setdefault(look, [0, 0])
+            n[0] += 1
+            n[1] += hit
+    return [("w", w, n, 0) for w, n in forms.items()] + [("look", k, n, h) for k, (n, h) in looks.items()]
+
+
 class Lexicon:
-    """Word forms of a table of scans, as DataFrames: ``forms`` (w, n) and ``fixes`` (w, fix, cost, n)."""
-
-    def __init__(self, docs: DataFrame):
-        def count(b: pd.DataFrame):
-            seen: Counter[str] = Counter()
-            for text in b["text"]:
-                for line in text.split("\n"):
-                    words = line_words(line)
-                    if words and line.rstrip()[-1:] in HYPHENS:
-                        words.pop()
-                    seen.update(words)
-            return list(seen.items())
-
-        def joined(b: pd.DataFrame):
-            seen: Counter[str] = Counter()
-            for text, pages in zip(b["text"], b["pages"]):
-                lines, kinds = body_lines(text, None if pd.isna(pages) else int(pages), set())
-                seen.update(x[2] + x[3] for x in cuts(lines, kinds))
-            return [(w, 0) for w in seen]
-
-        counts = _map(docs, count, "w string, n bigint").unionByName(_map(docs, joined, "w string, n bigint"))
-        self.forms = counts.groupBy("w").agg(F.sum("n").alias("n"))
+    """What a table of scans says as a whole: ``forms`` (w, n) and ``looks`` (look, known), lines or parts of lines that recur in
+    several texts, known if they do so about once a page in at least half of them."""
+
+    def __init__(self, docs: DataFrame, keep=lambda x, _: x):
+        counts = _map(docs, survey, "kind string, s string, n bigint, hits bigint").groupBy("kind", "s").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+        counts = keep(counts.where("kind = 'w' or n >= 3 and (hits >= 3 or n >= 5)"), "counts")
+        self.forms = counts.where("kind = 'w'").select(F.col("s").alias("w"), "n")
+        self.looks = counts.where("kind = 'look'").select(F.col("s").alias("look"), (F.col("hits") * 2 >= F.col("n")).alias("known"))
 
     def fixes(self, forms: DataFrame) -> DataFrame:
         """(w, fix, cost, n): for each misread form its candidates among the trusted words."""
@@ -261,7 +315,7 @@ class Lexicon:
         return _map(pairs, score, "w string, fix string, cost double, n bigint")
 
 
-def running_lines(docs: DataFrame, key: str) -> DataFrame:
+def running_lines(docs: DataFrame, looks: DataFrame) -> DataFrame:
     """(key, running array): the running lines of each text.
 
     Section headings and common sentences recur too, but seldom once a page, so a line counts as running
@@ -269,14 +323,15 @@ def running_lines(docs: DataFrame, key: str) -> DataFrame:
     one part of which (between bars, dashes or slashes) is of that kind counts as well. A line of one text
     alone counts if it recurs three times or more, about once a page and at even distances.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(Maybe(looks, "look"))
+
     def fn(b: pd.DataFrame):
-        return [(k, *r) for k, t, p in zip(b["key"], b["text"], b["pages"]) for r in repeats(t, None if pd.isna(p) else int(p))]
+        maybe = functools.lru_cache(maxsize=50_000)(shared.value)
+        return [(k, line, look, even) for k, t, p in zip(b["key"], b["text"], b["pages"]) for line, look, _, even in repeats(t, None if pd.isna(p) else int(p)) if even or maybe(look)]
 
     kind = dict(docs.dtypes)["key"]
-    rows = _map(docs, fn, f"key {kind}, line string, look string, hit int, even int")
-    stats = rows.groupBy("look").agg(F.count(F.lit(1)).alias("df"), F.sum("hit").alias("hits")).where("df >= 3 and (hits >= 3 or df >= 5)")
-    stats = stats.select("look", (F.col("hits") * 2 >= F.col("df")).alias("known"))
-    hits = rows.join(stats, "look", "left").where("known or (even = 1 and known is null)")
+    rows = _map(docs, fn, f"key {kind}, line string, look string, even int")
+    hits = rows.join(looks, "look", "left").where("known or (even = 1 and known is null)")
     return hits.groupBy("key").agg(F.collect_set("line").alias("running"))
 
 
@@ -284,52 +339,85 @@ def prepare(df: DataFrame, key: str, text: str, pages: str) -> DataFrame:
     return df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(pages).cast("int").alias("pages"))
 
 
-def judged_words(docs: DataFrame) -> DataFrame:
-    """Rows (key, line_no, kind, w, whole, left, next): what a text's lines are, and the words to look up.
+def judged_words(docs: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Rows (key, line_no, kind, w, prev, whole, cut_at, next_no): what a text's lines are, and the words to look up.
 
-    kind ``header`` and ``page_number`` are final; ``word`` holds a form of a body line; ``cut`` a word cut
-    at the line's end, with its joined form in w, its compound form in whole, the length of its left part and
-    the line where it goes on.
+    ``docs`` has the running lines of each text beside it. kind ``header`` and ``page_number`` are final; ``word``
+    holds a form of a body line that may have a repair, with the word before it; ``cut`` a word cut at the line's
+    end, with its joined form in w, its compound form in whole, the length of its left part and the line where it
+    goes on.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(Maybe(fixes, "w"))
+
     def fn(b: pd.DataFrame):
-        out = []
+        maybe, out = functools.lru_cache(maxsize=200_000)(shared.value), []
         for k, t, p, run in zip(b["key"], b["text"], b["pages"], b["running"]):
             lines, kinds = body_lines(t, None if pd.isna(p) else int(p), set(run) if run is not None else set())
-            broken = cuts(lines, kinds)
-            starts, ends = {x[1] for x in broken}, {x[0] for x in broken}
+            broken = {x[0]: x for x in cuts(lines, kinds)}
+            starts, prev = {x[1] for x in broken.values()}, ""
             for i, kind in enumerate(kinds):
                 if kind in ("header", "page_number"):
-                    out.append((k, i + 1, kind, None, None, 0, 0))
+                    out.append((k, i + 1, kind, None, None, None, 0, 0))
                 elif kind == "body":
                     words = line_words(lines[i])
-                    words = words[i in starts : len(words) - 1 if i in ends and words else None]
-                    out += [(k, i + 1, "word", w, None, 0, 0) for w in dict.fromkeys(words)]
-            for i, j, left, right, h in broken:
-                whole = left + "-" + right if h in "-‐‑" else None
-                out.append((k, i + 1, "cut", left + right, whole, len(left), j + 1))
+                    words = words[i in starts : len(words) - 1 if i in broken and words else None]
+                    seen = set()
+                    for w in words:
+                        if w not in seen and maybe(w):
+                            seen.add(w)
+                            out.append((k, i + 1, "word", w, prev, None, 0, 0))
+                        prev = w
+                    if i in broken:
+                        _, j, left, right, h = broken[i]
+                        out.append((k, i + 1, "cut", left + right, prev, left + "-" + right if h in "-‐‑" else None, len(left), j + 1))
+                        prev = left + right
         return out
 
     kind = dict(docs.dtypes)["key"]
-    return _map(docs, fn, f"key {kind}, line_no int, kind string, w string, whole string, cut_at int, next_no int")
+    return _map(docs, fn, f"key {kind}, line_no int, kind string, w string, prev string, whole string, cut_at int, next_no int")
 
 
-def find_noise(df: DataFrame, key: str, text: str, pages: str, cache=None, forms: DataFrame | None = None, fixes: DataFrame | None = None) -> DataFrame:
-    """(key, line_no, kind): kinds ``hyphen``, ``misread``, ``header`` and ``page_number``, each line and kind once.
+def choose(docs: DataFrame, met: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(prev, w, fix): the repair of each misread form after each word it follows, for the pairs in ``met`` (prev, w).
 
-    ``cache`` may write a small DataFrame down and read it back (see ``session.materialise``).
+    Candidates are ranked by their cost less what the counts of (preceding word, candidate) in all texts speak for
+    them. Only bigrams that can decide between several candidates are counted.
     """
-    keep = cache or (lambda x, _: x)
-    docs = prepare(df, key, text, pages)
-    if forms is None or fixes is None:
-        lexicon = Lexicon(docs)
-        forms = keep(lexicon.forms, "forms")
-        fixes = keep(lexicon.fixes(forms), "fixes")
-    best = fixes.groupBy("w").agg(F.min_by("fix", F.struct("cost", -F.col("n"), F.col("fix"))).alias("fix"))
-    rows = judged_words(docs.join(running_lines(docs, "key"), "key", "left"))
+    several = F.count(F.lit(1)).over(Window.partitionBy("prev", "w"))
+    options = met.distinct().join(fixes, "w").withColumn("several", several > 1)
+    wanted = options.where("several").select(F.concat_ws(" ", "prev", "fix").alias("pair"), "fix")
+    sc = docs.sparkSession.sparkContext
+    pairs, ends = sc.broadcast(Maybe(wanted, "pair")), sc.broadcast(Maybe(wanted, "fix"))
+
+    def count(b: pd.DataFrame):
+        seen: Counter[tuple[str, str]] = Counter()
+        end, pair = functools.lru_cache(maxsize=200_000)(ends.value), pairs.value
+        for text in b["text"]:
+            prev = ""
+            for line in text.split("\n"):
+                for w in line_words(line):
+                    if end(w) and pair(prev + " " + w):
+                        seen[prev, w] += 1
+                    prev = w
+        return [(p, w, n) for (p, w), n in seen.items()]
+
+    counts = _map(docs, count, "prev string, fix string, pair_n bigint").groupBy("prev", "fix").agg(F.sum("pair_n").alias("pair_n"))
+    ranked = options.join(counts, ["prev", "fix"], "left")
+    cost = F.col("cost") - 0.05 * F.log(1 + F.coalesce("pair_n", F.lit(0)))
+    return ranked.groupBy("prev", "w").agg(F.min_by("fix", F.struct(cost, -F.col("n"), "fix")).alias("fix"))
+
+
+def _judge(docs: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """(findings: key, line_no, kind; repairs: key, line_no, w, fix) of prepared texts."""
+    lexicon = Lexicon(docs, keep)
+    fixes = keep(lexicon.fixes(lexicon.forms), "fixes")
+    rows = keep(judged_words(docs.join(running_lines(docs, lexicon.looks), "key", "left"), fixes), "judged")
+    looked = rows.where("kind in ('word', 'cut')")
+    chosen = keep(choose(docs, looked.select("prev", "w"), fixes), "chosen")
     fixed = rows.where("kind in ('header', 'page_number')").select("key", "line_no", "kind")
-    words = rows.where("kind = 'word'").join(best.select("w"), "w", "left_semi").select("key", "line_no", F.lit("misread").alias("kind"))
-    known = forms.where("n > 0").select(F.col("w"), F.col("n").alias("n_joined"))
-    part = rows.where("kind = 'cut'").join(known, "w", "left").join(best, "w", "left")
+    words = rows.where("kind = 'word'").join(chosen, ["prev", "w"]).select("key", "line_no", "w", "fix")
+    known = lexicon.forms.where("n > 0").select(F.col("w"), F.col("n").alias("n_joined"))
+    part = rows.where("kind = 'cut'").join(known, "w", "left").join(chosen, ["prev", "w"], "left")
     part = part.join(known.select(F.col("w").alias("whole"), F.col("n_joined").alias("n_whole")), "whole", "left")
     real = F.coalesce("n_whole", F.lit(0)) <= F.greatest(F.coalesce("n_joined", F.lit(0)), F.when(F.col("fix").isNotNull(), 1).otherwise(0))
     part = part.where(real)
@@ -347,31 +435,18 @@ def find_noise(df: DataFrame, key: str, text: str, pages: str, cache=None, forms
         return out
 
     kind = dict(docs.dtypes)["key"]
-    both = _map(part.where("fix is not null").select("key", "line_no", "next_no", "w", "fix", "cut_at"), sides, f"key {kind}, line_no int, kind string")
-    return fixed.unionByName(words).unionByName(hyphen).unionByName(both).distinct().withColumnRenamed("key", key)
+    joined = part.where("fix is not null")
+    both = _map(joined.select("key", "line_no", "next_no", "w", "fix", "cut_at"), sides, f"key {kind}, line_no int, kind string")
+    found = fixed.unionByName(words.select("key", "line_no", F.lit("misread").alias("kind"))).unionByName(hyphen).unionByName(both).distinct()
+    return found, words.unionByName(joined.select("key", "line_no", "w", "fix"))
 
 
-def contexts(docs: DataFrame, forms: DataFrame, fixes: DataFrame) -> DataFrame:
-    """(prev, w, fix): the repair of each misread form after each word it follows.
+def find_noise(df: DataFrame, key: str, text: str, pages: str, cache=None) -> DataFrame:
+    """(key, line_no, kind): kinds ``hyphen``, ``misread``, ``header`` and ``page_number``, each line and kind once.
 
-    Candidates are ranked by their cost less what the counts of (preceding word, candidate) speak for them.
+    ``cache`` may write a small DataFrame down and read it back (see ``session.materialise``).
     """
-    def pairs(b: pd.DataFrame):
-        seen: Counter[tuple[str, str]] = Counter()
-        for text in b["text"]:
-            prev = ""
-            for line in text.split("\n"):
-                for w in line_words(line):
-                    seen[prev, w] += 1
-                    prev = w
-        return [(p, w, n) for (p, w), n in seen.items()]
-
-    counts = _map(docs, pairs, "prev string, w string, n bigint").groupBy("prev", "w").agg(F.sum("n").alias("n"))
-    met = counts.join(fixes.select("w").distinct(), "w", "left_semi").select("prev", "w")
-    options = met.join(fixes.withColumnRenamed("n", "fix_n"), "w")
-    ranked = options.join(counts.select("prev", F.col("w").alias("fix"), F.col("n").alias("pair_n")), ["prev", "fix"], "left")
-    cost = F.col("cost") - 0.05 * F.log(1 + F.coalesce("pair_n", F.lit(0)))
-    return ranked.groupBy("prev", "w").agg(F.min_by("fix", F.struct(cost, -F.col("fix_n"), "fix")).alias("fix"))
+    return _judge(prepare(df, key, text, pages), cache or (lambda x, _: x))[0].withColumnRenamed("key", key)
 
 
 def _as_read(read: str, fix: str) -> str:
@@ -380,20 +455,20 @@ def _as_read(read: str, fix: str) -> str:
     return fix.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else fix[:1].upper() + fix[1:] if read[:1].isupper() else fix
 
 
-def rebuild(text: str, lines_out: dict[int, set[str]], repairs: dict[tuple[str, str], str]) -> str:
+def rebuild(text: str, lines_out: dict[int, set[str]], repairs: dict[tuple[int, str], str]) -> str:
     """Readable paragraphs: noise lines dropped, cut words joined, misread words repaired, lines run on.
 
-    A paragraph ends at a blank line that follows a sentence's end, and at lines that stand alone.
+    ``repairs`` are by line and form; those of cut words by the line where they begin. A paragraph ends at a blank
+    line that follows a sentence's end, and at lines that stand alone.
     """
     lines, out, para = text.split("\n"), [], []
-    carried = ""
+    carried, origin = "", 0
 
     def flush():
         if para:
             out.append(" ".join(para))
             para.clear()
 
-    prev = ""
     for i, line in enumerate(lines, 1):
         kinds = lines_out.get(i, set())
         if kinds & {"header", "page_number"}:
@@ -402,21 +477,18 @@ def rebuild(text: str, lines_out: dict[int, set[str]], repairs: dict[tuple[str,
             if not carried and (not para or para[-1][-1:] in ".!?:؟"):
                 flush()
             continue
-        chunks = (carried + line.strip()).split()
-        carried = ""
+        chunks, first = (carried + line.strip()).split(), origin if carried else i
+        carried, origin = "", i
         if "hyphen" in kinds and chunks:
             carried = chunks.pop().rstrip(HYPHENS)
         elif chunks and re.search(r"[^\W\d_][-‐‑]$", chunks[-1]):
             carried = chunks.pop()  # a compound cut at its own hyphen
         done = []
-        for c in chunks:
+        for n, c in enumerate(chunks):
             core = c.strip(_EDGE).rstrip("!").rstrip(_EDGE)
-            low = core.lower()
-            if core and (fix := repairs.get((prev, low)) or repairs.get(("", low))):
+            if core and (fix := repairs.get((i if n else first, core.lower()))):
                 c = c.replace(core, _as_read(core, fix))
-                low = fix
             done.append(c)
-            prev = low if len(low) >= 2 and _WORDY.search(low) else prev
         if done:
             para.append(" ".join(done))
         if done and len(line.strip()) < 40 and line.strip()[-1:] == ":":
@@ -432,27 +504,10 @@ def repair(df: DataFrame, key: str, text: str, pages: str, cache=None) -> DataFr
 
     Null and empty texts come back as they are, with 0.
     """
-    keep = cache or (lambda x, _: x)
     docs = prepare(df, key, text, pages)
-    lexicon = Lexicon(docs)
-    forms = keep(lexicon.forms, "forms")
-    fixes = keep(lexicon.fixes(forms), "fixes")
-    noise = find_noise(df, key, text, pages, cache, forms, fixes)
-    marks = noise.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("line_no", "kind")).alias("marks"))
-    best = fixes.groupBy("w").agg(F.min_by("fix", F.struct("cost", -F.col("n"), F.col("fix"))).alias("fix")).select(F.lit("").alias("prev"), "w", "fix")
-    table = contexts(docs, forms, fixes).unionByName(best)
-
-    def words(b: pd.DataFrame):
-        out = []
-        for k, t in zip(b["key"], b["text"]):
-            lines, kinds = body_lines(t, None, set())
-            met = {w for x in lines for w in line_words(x)} | {x[2] + x[3] for x in cuts(lines, kinds)}
-            out += [(k, w) for w in met]
-        return out
-
-    kind = dict(docs.dtypes)["key"]
-    needed = _map(docs, words, f"key {kind}, w string").join(table, "w")
-    needed = needed.groupBy("key").agg(F.collect_list(F.struct("prev", "w", "fix")).alias("fixes"))
+    noise, fixes = _judge(docs, cache or (lambda x, _: x))
+    marks = noise.groupBy("key").agg(F.collect_list(F.struct("line_no", "kind")).alias("marks"))
+    needed = fixes.groupBy("key").agg(F.collect_list(F.struct("line_no", "w", "fix")).alias("fixes"))
     rows = docs.join(marks, "key", "left").join(needed, "key", "left")
 
     def fix(b: pd.DataFrame):
@@ -461,9 +516,10 @@ def repair(df: DataFrame, key: str, text: str, pages: str, cache=None) -> DataFr
             at: dict[int, set[str]] = {}
             for x in m if m is not None else ():
                 at.setdefault(x["line_no"], set()).add(x["kind"])
-            out.append((k, rebuild(t, at, {(x["prev"], x["w"]): x["fix"] for x in (f if f is not None else ())}), sum(map(len, at.values()))))
+            out.append((k, rebuild(t, at, {(x["line_no"], x["w"]): x["fix"] for x in (f if f is not None else ())}), sum(map(len, at.values()))))
         return out
 
+    kind = dict(docs.dtypes)["key"]
     done = _map(rows, fix, f"key {kind}, text string, n_noise int")
     rest = df.where(F.col(text).isNull() | (F.length(text) == 0)).select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(0).alias("n_noise"))
     return done.unionByName(rest).withColumnRenamed("key", key)
