@@ -70,3 +70,14 @@ def test_held_out_accuracy(spark, data):
     said = {r["post_id"]: r["y"] for r in queries._posts(spark, d).select("post_id", g.label_code("label").alias("y")).collect()}
     good = [rows[k] == y for k, y in said.items() if k in rows and y in g.LANGUAGES]
     assert sum(good) / len(good) > 0.8  # the labels themselves are wrong at times
+
+
+def test_texts_in_no_known_language(spark, data):
+    from vitalake.llm import queries
+
+    posts = queries._posts(spark, data.replace("sf0.001", "sf0.01"))
+    trees = g.fit(posts, "post_id", "text", "label")
+    foreign = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.", "Все люди рождаются свободными и равными в своем достоинстве и правах.", "すべての人間は、生まれながらにして自由である。"]
+    assert [x[1] for x in g.judge(trees, foreign)] == ["und"] * 4
+    texts = [r["text"] for r in posts.where("text <> ''").select("text").collect()]
+    assert "und" not in {x[1] for x in g.judge(trees, texts)}

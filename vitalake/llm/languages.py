@@ -7,9 +7,12 @@ statistics are frozen, the code lengths of all byte strings seen in training are
 languages side by side; scoring is then a table lookup per byte, and falls back by one order and one escape
 where a string was seen in no language.
 
-The sample's own labels are partly wrong and its texts partly mixed, so its lines are re-labelled by the trees
-and the trees trained again, ``ROUNDS`` times. Null and blank texts have no language; lines without letters
+The sample's own labels are partly wrong and its texts partly mixed, so each half of its lines is re-labelled by
+trees of the other half (no tree judges what it was taught), ``ROUNDS`` times, before the trees of all lines. Null and blank texts have no language; lines without letters
 have none either. Letter case, digits and marks play no part.
+
+A text that even its best language codes no shorter than plain bytes (the null model: escapes down to 8 bits a
+byte) is in none of them and gets ``und``.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "fa")
+UNKNOWN = "und"
 ORDER, ROUNDS = 5, 3
 #: Texts per label in the training sample (the smallest hashes of the key): a bound that the corpus does not move.
 SAMPLE = 400
@@ -120,14 +124,15 @@ def train(texts: Sequence[str], labels: Sequence[str], languages: Sequence[str]
             if b := level(x):
                 lines.append(b), given.append(languages.index(y))
     now = np.array(given)
-    trees = Trees(lines, now, len(languages))
-    for _ in range(ROUNDS if lines else 0):
-        new = trees.cost(lines).argmin(1)
-        if (new == now).all():
-            break
+    draw = np.random.default_rng(0)
+    for _ in range(ROUNDS if len(lines) > 1 else 0):
+        # other halves each time
+        new, halves = now.copy(), np.array_split(draw.permutation(len(lines)), 2)
+        for own, other in (halves, halves[::-1]):
+            if len(own) and len(other):
+                new[own] = Trees([lines[i] for i in other], now[other], len(languages)).cost([lines[i] for i in own]).argmin(1)
         now = new
-        trees = Trees(lines, now, len(languages))
-    return trees
+    return Trees(lines, now, len(languages))
 
 
 def label_code(label: Column) -> Column:
@@ -146,28 +151,32 @@ def fit(df: DataFrame, key: str, text: str, label: str, languages: Sequence[str]
 
 def judge(trees: Trees, texts: Sequence[str | None], languages: Sequence[str] = LANGUAGES) -> Iterator[tuple[int, str, float, list[tuple[int, str, float]]]]:
     """(text's index, language of most characters, confidence, [(line, language, confidence)]) of texts with letters."""
-    parts, owner, number, chars = [], [], [], []
+    # equal lines are scored once
+    place: dict[bytes, int] = {}
+    at, owner, number, chars = [], [], [], []
     for i, t in enumerate(texts):
         for j, x in enumerate((t or "").split("\n"), 1):
             if b := level(x):
-                parts.append(b), owner.append(i), number.append(j), chars.append(len(x.strip()))
-    if not parts:
+                at.append(place.setdefault(b, len(place))), owner.append(i), number.append(j), chars.append(len(x.strip()))
+    if not place:
         return
-    cost, owner, chars = trees.cost(parts), np.array(owner), np.array(chars)
+    parts = list(place)
+    cost, null = trees.cost(parts)[at], 8.0 * np.array([len(p) - ORDER for p in parts])[at]
+    owner, chars = np.array(owner), np.array(chars)
     edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    odds = np.exp2(-(cost - cost.min(1, keepdims=True)))
+    every_sure, every_best, least = odds / odds.sum(1, keepdims=True), cost.argmin(1), cost.min(1)
     for a, z in zip(edges, np.append(edges[1:], len(owner))):
-        own = cost[a:z]
-        best = own.argmin(1)
-        main = int(np.bincount(best, chars[a:z], len(languages)).argmax())
-        swing = own[:, main] - own.min(1) < SWITCH
-        best = np.where(swing, main, best)
-        main = int(np.bincount(best, chars[a:z], len(languages)).argmax())
-        odds = np.exp2(-(own - own.min(1, keepdims=True)))
-        sure = odds / odds.sum(1, keepdims=True)
-        lines = [(number[a + k], languages[b], float(round(sure[k, b], 4))) for k, b in enumerate(best)]
-        share = float(chars[a:z][best == main].sum() / max(1, chars[a:z].sum()))
-        mean = float(np.average(sure[best == main][:, main], weights=np.maximum(chars[a:z][best == main], 1)))
-        yield int(owner[a]), languages[main], round(share * mean, 4), lines
+        own, best, weight, sure = cost[a:z], every_best[a:z], chars[a:z], every_sure[a:z]
+        main = int(np.bincount(best, weight, len(languages)).argmax())
+        best = np.where(own[:, main] - least[a:z] < SWITCH, main, best)
+        main = int(np.bincount(best, weight, len(languages)).argmax())
+        unknown = own[np.arange(z - a), best].sum() >= null[a:z].sum()
+        lines = [(number[a + k], UNKNOWN if unknown else languages[b], float(round(sure[k, b], 4))) for k, b in enumerate(best)]
+        mine = best == main
+        share = float(weight[mine].sum() / max(1, weight.sum()))
+        mean = float(np.average(sure[mine][:, main], weights=np.maximum(weight[mine], 1)))
+        yield int(owner[a]), UNKNOWN if unknown else languages[main], round(share * mean, 4), lines
 
 
 def label_lines(df: DataFrame, key: str, text: str, trees: Trees, languages: Sequence[str] = LANGUAGES) -> DataFrame:
@@ -176,27 +185,32 @@ def label_lines(df: DataFrame, key: str, text: str, trees: Trees, languages: Seq
     ``confidence`` of line 0 is the share of its language's characters times how surely they are of it.
     The trees are of bounded size (see ``SAMPLE``) and go to each worker once.
     """
-    shared = df.sparkSession.sparkContext.broadcast(trees)
-    kind = dict(df.dtypes)[key]
+    return _label(df.select(F.col(key).alias("key"), F.col(text).alias("text")), trees, languages).withColumnRenamed("key", key)
+
+
+def _label(rows: DataFrame, trees: Trees, languages: Sequence[str]) -> DataFrame:
+    """The lines of ``rows`` (key, text, or said beside them: then only what contradicts it, and mixed texts)."""
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
+    kind = dict(rows.dtypes)["key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 1_000):
-                part = b.iloc[at : at + 1_000]
+            for at in range(0, len(b), 2_000):
+                part = b.iloc[at : at + 2_000]
                 ids, out = part["key"].to_numpy(), []
+                said = part["said"].to_numpy() if "said" in part else None
                 for i, lang, sure, lines in judge(shared.value, list(part["text"]), languages):
                     mixed = len({x[1] for x in lines}) > 1
-                    out.append((ids[i], 0, lang, sure, mixed))
-                    out += [(ids[i], n, x, c, mixed) for n, x, c in lines]
+                    if said is None or said[i] != lang:
+                        out.append((ids[i], 0, lang, sure, mixed))
+                    if said is None or mixed:
+                        out += [(ids[i], n, x, c, mixed) for n, x, c in lines]
                 yield pd.DataFrame(out, columns=["key", "line_no", "lang", "confidence", "mixed"])
 
-    rows = df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"key {kind}, line_no int, lang string, confidence double, mixed boolean").withColumnRenamed("key", key)
+    return rows.where(F.length("text") > 0).mapInPandas(run, f"key {kind}, line_no int, lang string, confidence double, mixed boolean")
 
 
 def find_mislabelled(df: DataFrame, key: str, text: str, label: str, trees: Trees, languages: Sequence[str] = LANGUAGES) -> DataFrame:
-    """(key, line_no, lang, confidence): line 0 of texts whose label is missing or wrong, and every line of mixed texts."""
-    rows = label_lines(df, key, text, trees, languages)
-    said = df.select(F.col(key), label_code(F.col(label)).alias("__said"))
-    wrong = rows.where("line_no = 0").join(said, key).where(F.col("__said") != F.col("lang")).drop("__said")
-    return wrong.unionByName(rows.where("line_no > 0 and mixed")).drop("mixed")
+    """(key, line_no, lang, confidence): line 0 of texts whose label is missing or wrong, and every line of mixed texts. One pass, no join."""
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), label_code(F.col(label)).alias("said"))
+    return _label(rows, trees, languages).drop("mixed").withColumnRenamed("key", key)
