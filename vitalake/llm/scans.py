@@ -50,6 +50,7 @@ _WORDY = re.compile(r"[^\W\d_]")
 _ODD = re.compile(r"[\d†!|$€@ﬀ-ﬆ+]")
 ODD_WORD = r"[0-9†!|$€@\x{FB00}-\x{FB06}+]"
 _CODE = re.compile(r"^\d+[a-z]?$|@|\[at\]|://|\.[a-z]{2,}$")
+_BARS = frozenset("|–—/-")
 _PARTS = re.compile(r"\s[|–—/-]\s")
 _DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"(?<![^\W\d_])\d+(?![^\W_])")
 _CUT = re.compile(rf"([^\W\d_][^\s]*?)([{HYPHENS}])$")
@@ -105,19 +106,20 @@ def running_key(line: str) -> str:
     return _DIGITS.sub("#", s) if _DIGIT.search(s) else s
 
 
-def line_words(line: str) -> list[str]:
-    """Word forms of a line in lower case, marks at their edges taken off, exclamation marks inside kept."""
-    out = []
-    for chunk in line.split():
-        if chunk.isalpha() and chunk.isascii():
-            w = chunk.lower()
-        else:
-            w = chunk.strip(_EDGE).rstrip("!").rstrip(_EDGE).lower()
-            if not _WORDY.search(w):
-                continue
-        if len(w) >= 2:
-            out.append(w)
-    return out
+class Forms(dict):
+    """Chunks (what stands between blanks) to word forms, each worked out once: lower case, marks at the edges taken off,
+    exclamation marks inside kept; empty for chunks that are no words."""
+
+    def __missing__(self, chunk: str) -> str:
+        w = chunk.strip(_EDGE).rstrip("!").rstrip(_EDGE).lower()
+        self[chunk] = w = w if len(w) >= 2 and _WORDY.search(w) else ""
+        return w
+
+
+def line_words(line: str, forms: Forms | None = None) -> list[str]:
+    """Word forms of a line."""
+    forms = Forms() if forms is None else forms
+    return [w for c in line.split() if (w := forms[c])]
 
 
 def clean_word(w: str) -> bool:
@@ -136,8 +138,8 @@ def repeats(text: str, pages: int | None) -> list[tuple[str, str, int, int]]:
         hit = c >= 2 and (n - 1 <= c <= n + 1 if n else True) and n != 1
         gaps = [b - a for a, b in zip(where, where[1:])]
         even = hit and c >= 3 and max(gaps) <= 1.5 * min(gaps) + 2 and min(gaps) >= 5
-        parts = [p.strip() for p in _PARTS.split(k)]
-        out += [(k, p, int(hit), int(even)) for p in {k, *(x for x in parts if len(x) >= 3)}]
+        parts = {k, *(p for x in _PARTS.split(k) if len(p := x.strip()) >= 3)} if _BARS.intersection(k) else (k,)
+        out += [(k, p, int(hit), int(even)) for p in parts]
     return out
 
 
@@ -265,22 +267,25 @@ class Maybe:
 def survey(b: pd.DataFrame) -> list[tuple[str, str, int, int]]:
     """Counts over a batch: word forms (kind ``w``: form, n), joined forms of cut words (n 0), and lines (kind ``look``: the line
     or a part of it, number of texts that have it, of those where it recurs about once a page)."""
-    forms: Counter[str] = Counter()
+    of, chunks, forms = Forms(), Counter(), Counter()
     looks: dict[str, list[int]] = {}
     for text, pages in zip(b["text"], b["pages"]):
         pages = None if pd.isna(pages) else int(pages)
         lines, kinds = body_lines(text, pages, set())
+        chunks.update(text.split())
         for line in lines:
-            words = line_words(line)
-            if words and line.rstrip()[-1:] in HYPHENS:
-                words.pop()
-            forms.update(words)
+            # the last word of a line that ends in a hyphen is no whole word
+            if (end := line.rstrip())[-1:] in HYPHENS and end and (words := line_words(end, of)):
+                forms[words[-1]] -= 1
         for x in cuts(lines, kinds):
             forms[x[2] + x[3]] += 0
         for _, look, hit, _ in repeats(text, pages):
             n = looks.setdefault(look, [0, 0])
             n[0] += 1
             n[1] += hit
+    for c, n in chunks.items():
+        if w := of[c]:
+            forms[w] += n
     return [("w", w, n, 0) for w, n in forms.items()] + [("look", k, n, h) for k, (n, h) in looks.items()]
 
 
@@ -350,7 +355,7 @@ def judged_words(docs: DataFrame, fixes: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Maybe(fixes, "w"))
 
     def fn(b: pd.DataFrame):
-        maybe, out = functools.lru_cache(maxsize=200_000)(shared.value), []
+        maybe, of, out = functools.lru_cache(maxsize=200_000)(shared.value), Forms(), []
         for k, t, p, run in zip(b["key"], b["text"], b["pages"], b["running"]):
             lines, kinds = body_lines(t, None if pd.isna(p) else int(p), set(run) if run is not None else set())
             broken = {x[0]: x for x in cuts(lines, kinds)}
@@ -359,7 +364,7 @@ def judged_words(docs: DataFrame, fixes: DataFrame) -> DataFrame:
                 if kind in ("header", "page_number"):
                     out.append((k, i + 1, kind, None, None, None, 0, 0))
                 elif kind == "body":
-                    words = line_words(lines[i])
+                    words = line_words(lines[i], of)
                     words = words[i in starts : len(words) - 1 if i in broken and words else None]
                     seen = set()
                     for w in words:
@@ -391,14 +396,13 @@ def choose(docs: DataFrame, met: DataFrame, fixes: DataFrame) -> DataFrame:
 
     def count(b: pd.DataFrame):
         seen: Counter[tuple[str, str]] = Counter()
-        end, pair = functools.lru_cache(maxsize=200_000)(ends.value), pairs.value
+        of, end, pair = Forms(), functools.lru_cache(maxsize=200_000)(ends.value), pairs.value
         for text in b["text"]:
-            prev = ""
-            for line in text.split("\n"):
-                for w in line_words(line):
-                    if end(w) and pair(prev + " " + w):
-                        seen[prev, w] += 1
-                    prev = w
+            words = line_words(text, of)
+            for i in [i for i, w in enumerate(words) if end(w)]:
+                prev = words[i - 1] if i else ""
+                if pair(prev + " " + words[i]):
+                    seen[prev, words[i]] += 1
         return [(p, w, n) for (p, w), n in seen.items()]
 
     counts = _map(docs, count, "prev string, fix string, pair_n bigint").groupBy("prev", "fix").agg(F.sum("pair_n").alias("pair_n"))
