@@ -41,6 +41,9 @@ DIGIT_WORDS = {
 }
 ANNOUNCED = r"Emergency contact|Ansprechpartner(?:in)?:|Kontakt:|Contacto?:|Contatto:|Contactpersoon:|Reference:|Referenz:|Interview notes by|I reported to|reported to|My line manager there was|line manager:?|send the signed copy to|signed copy to|Name:|Nom\s?:|Nombre:|Nome:|Naam:|نام:"
 
+#: The phrases of ``ANNOUNCED`` without a colon, by a part that each holds.
+_PHRASES = ("mergency contact", "nterview notes by", "reported to", "line manager", "signed copy to")
+_BRACKETS = frozenset("([{<")
 _AT = re.compile(r"\s?[(\[{<]\s?(?:at|@|arroba|ät|à)\s?[)\]}>]\s?", re.I)
 _DOT = re.compile(r"\s?[(\[{<]\s?(?:dot|punkt|punto|point|punt)\s?[)\]}>]\s?", re.I)
 _AT_WORD = re.compile(r"(?<=[\w+-])\s(?:at|AT)\s(?=[\w-]+(?:\s(?:dot|DOT)\s[\w-]+)+)")
@@ -87,31 +90,59 @@ _ADDRESS = regex.compile(
 )
 
 
+class _Plain(dict):
+    """Characters to what they are levelled to, each worked out once."""
+
+    def __missing__(self, c: str) -> str:
+        out = ""
+        for x in LOOKALIKE.get(c) or (c if c in "º" else unicodedata.normalize("NFKC", c)):
+            d = unicodedata.digit(x, None) if not x.isascii() else None
+            out += str(d) if d is not None and x not in "º" else "-" if x in "‐‑‒–−" else " " if x.isspace() else x
+        self[c] = out
+        return out
+
+
+_LEVEL = _Plain()
+_UNSEEN = frozenset("\u200b\u200c\u200d\u2060\ufeff\u00ad")
+_DIGIT = re.compile(r"\d")
+_TOKEN = re.compile(r"[^\W\d_]+")
+_DIGIT_WORDS = frozenset(DIGIT_WORDS)
+
+
 class Levelled:
-    """A line in levelled form; ``src[i]`` is the span of the source that character i came from."""
+    """A line in levelled form; ``src[i]`` is the span of the source that character i came from.
+
+    Each substitution is tried only on lines that hold what it cannot do without.
+    """
 
     def __init__(self, line: str):
-        chars, src = [], []
-        if line.isascii():
-            chars, src = list(line), [(i, i + 1) for i in range(len(line))]
-        else:
-            for i, c in enumerate(line):
-                if c in "​‌‍⁠﻿­" and not (0 < i < len(line) - 1 and "؀" <= line[i - 1] <= "ۿ"):
-                    continue
-                for x in LOOKALIKE.get(c) or (c if c in "º" else unicodedata.normalize("NFKC", c)):
-                    d = unicodedata.digit(x, None) if not x.isascii() else None
-                    x = str(d) if d is not None and x not in "º" else "-" if x in "‐‑‒–−" else " " if x.isspace() else x
-                    chars.append(x), src.append((i, i + 1))
-        self.text, self.src = "".join(chars), src
-        self.sub(_AT, lambda m: "@").sub(_DOT, lambda m: ".").sub(_AT_WORD, lambda m: "@")
+        text, src = line, None
+        if not line.isascii():
+            text = "".join(map(_LEVEL.__getitem__, line))
+            if text != line or not _UNSEEN.isdisjoint(line):
+                chars, src = [], []
+                for i, c in enumerate(line):
+                    if c in _UNSEEN and not (0 < i < len(line) - 1 and "؀" <= line[i - 1] <= "ۿ"):
+                        continue
+                    for x in _LEVEL[c]:
+                        chars.append(x), src.append((i, i + 1))
+                text = "".join(chars)
+        self.text, self.src = text, src
+        if not _BRACKETS.isdisjoint(text):
+            self.sub(_AT, lambda m: "@").sub(_DOT, lambda m: ".")
+        if "dot" in text or "DOT" in text:
+            self.sub(_AT_WORD, lambda m: "@")
         if "@" in self.text:
             self.sub(_DOT_WORD, lambda m: ".").sub(_AT_OPEN, lambda m: "@")
-        self.sub(_SPELLED, lambda m: "".join(DIGIT_WORDS[w.lower()] for w in re.findall(r"[^\W\d_]+", m.group())) + " ")
+        if not _DIGIT_WORDS.isdisjoint(map(str.lower, _TOKEN.findall(self.text))):
+            self.sub(_SPELLED, lambda m: "".join(DIGIT_WORDS[w.lower()] for w in re.findall(r"[^\W\d_]+", m.group())) + " ")
 
     def sub(self, pattern: re.Pattern, to) -> Levelled:
         """Replaces matches; the replacement comes from the whole span it replaces."""
         at, text, src = 0, [], []
         for m in pattern.finditer(self.text):
+            if self.src is None:
+                self.src = [(i, i + 1) for i in range(len(self.text))]
             new, span = to(m), (self.src[m.start()][0], self.src[m.end() - 1][1])
             text += [self.text[at : m.start()], new]
             src += self.src[at : m.start()] + [span] * len(new)
@@ -121,7 +152,7 @@ class Levelled:
         return self
 
     def span(self, a: int, z: int) -> tuple[int, int]:
-        return self.src[a][0], self.src[z - 1][1]
+        return (a, z) if self.src is None else (self.src[a][0], self.src[z - 1][1])
 
 
 @dataclass
@@ -131,6 +162,10 @@ class Names:
     first: set[str] = field(default_factory=set)
     ordinary: set[str] = field(default_factory=set)
 
+    def __post_init__(self):
+        #: The letters that first names begin with, up to their first other sign.
+        self.begins = {m.group() for x in self.first if (m := _TOKEN.match(x))}
+
 
 def slots(text: str) -> Iterator[str]:
     """First names in places where a person is announced."""
@@ -139,22 +174,29 @@ def slots(text: str) -> Iterator[str]:
             yield f
 
 
+def _announced(t: str) -> bool:
+    """Whether a person may be announced: each phrase ends in a colon or is one of the rest."""
+    return ":" in t or any(x in t for x in _PHRASES)
+
+
 def _names(t: str, names: Names) -> Iterator[tuple[int, int]]:
-    taken = 0
-    for m in _FORWARD.finditer(t):
-        if m.group("first") in names.first and m.group("last").lower() not in names.ordinary and m.group("last") not in names.first:
-            yield m.span()
-    for m in _BACKWARD.finditer(t):
-        if m.group("first") in names.first and m.group("last").lower() not in names.ordinary:
-            before = t[: m.start()].rstrip(" ")
-            if taken <= m.start() and not regex.search(r"(?:^|\s)\p{Lu}[\p{L}&]*$", before):
+    if not names.begins.isdisjoint(_TOKEN.findall(t)):
+        for m in _FORWARD.finditer(t):
+            if m.group("first") in names.first and m.group("last").lower() not in names.ordinary and m.group("last") not in names.first:
                 yield m.span()
-    for m in _INITIAL.finditer(t):
-        if m.group("last").lower() not in names.ordinary and (_EDGE_BEFORE.search(t[: m.start()]) or _EDGE_AFTER.search(t[m.end() :])) and len(m.group("last")) > 3:
-            yield m.span()
-    for m in _SLOT.finditer(t):
-        start = min(m.start(g) for g in ("first", "last2", "last3") if m.group(g)) if not m.group("last3") else m.start("last3")
-        yield (start, m.end())
+        for m in _BACKWARD.finditer(t):
+            if m.group("first") in names.first and m.group("last").lower() not in names.ordinary:
+                before = t[: m.start()].rstrip(" ")
+                if not regex.search(r"(?:^|\s)\p{Lu}[\p{L}&]*$", before):
+                    yield m.span()
+    if "." in t:
+        for m in _INITIAL.finditer(t):
+            if m.group("last").lower() not in names.ordinary and (_EDGE_BEFORE.search(t[: m.start()]) or _EDGE_AFTER.search(t[m.end() :])) and len(m.group("last")) > 3:
+                yield m.span()
+    if _announced(t):
+        for m in _SLOT.finditer(t):
+            start = min(m.start(g) for g in ("first", "last2", "last3") if m.group(g)) if not m.group("last3") else m.start("last3")
+            yield (start, m.end())
 
 
 def detect(line: str, names: Names) -> list[tuple[int, int, str]]:
@@ -163,13 +205,17 @@ def detect(line: str, names: Names) -> list[tuple[int, int, str]]:
         return []
     lev = Levelled(line)
     t, found = lev.text, []
+    digits = len(_DIGIT.findall(t))
+    # what each pattern cannot match without
+    able = {"email": "@" in t, "id_number": digits >= 6 or digits and ("usweis" in t or "Reisepass" in t), "address": digits, "phone": digits >= 8}
     for rank, (kind, pattern) in enumerate((("email", _EMAIL), ("id_number", _ID), ("address", _ADDRESS), ("phone", _PHONE))):
-        for m in pattern.finditer(t):
-            digits = sum(c.isdigit() for c in m.group())
-            if kind == "phone" and not 8 <= digits <= 15:
+        for m in pattern.finditer(t) if able[kind] else ():
+            if kind == "phone" and not 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                 continue
             found.append((rank, m.start(), m.end(), kind))
     found += [(4, a, z, "name") for a, z in _names(t, names)]
+    if not found:
+        return []
     out, used = [], [False] * len(t)
     for _, a, z, kind in sorted(found, key=lambda x: (x[0], x[1], -x[2])):
         while z > a and t[z - 1].isspace():
@@ -229,10 +275,12 @@ def find_personal(df: DataFrame, keys: list[str], text: str, names: Names) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out, known = [], {}
             for *ids, t in b.itertuples(index=False, name=None):
                 for i, line in enumerate(t.split("\n"), 1):
-                    out += [(*ids, i, k) for k in sorted({x[2] for x in detect(line, shared.value)})]
+                    if (got := known.get(line)) is None:
+                        got = known[line] = sorted({x[2] for x in detect(line, shared.value)})
+                    out += [(*ids, i, k) for k in got]
             yield pd.DataFrame(out, columns=[*keys, "line_no", "kind"])
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "line_no int", "kind string"])
