@@ -28,3 +28,14 @@ def test_documents(spark):
         assert "Prüfung der Bücher für Österreich" in back[k], k
     assert back[102] == CLEAN[2] and back[103] == CLEAN[3] and back[104] == "plain then für" and "été" in back[101]
     assert m.find_garbled(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_words_and_whole_words(spark):
+    long = "абвгдежзиклмнопрстуфхцчшщэюя" * 3 + "конец"
+    rows = [(k, f"Prüfung {long} für") for k in range(4)] + [(100, broken(long, "utf-8", "cp1251")), (101, broken("Prüfung", "utf-8", "cp1252") + " ZPrÃ¼fungonx"), (102, broken(long, "cp1251", "latin-1"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in m.find_garbled(df, "doc_id", "text").collect()} == {100, 101, 102}
+    back = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in m.restore(df, "doc_id", "text").collect()}
+    assert back[100] == (long, 1) and back[102] == (long, 1)
+    # a word that merely holds a garbled one is left alone
+    assert back[101] == ("Prüfung ZPrÃ¼fungonx", 1)

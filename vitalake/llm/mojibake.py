@@ -11,12 +11,18 @@ are levelled to 0 for the join. A word counts as clean source of another only if
 control characters and occurs in at least as many documents; that settles the rare pairs of which each
 could be the other. UTF-8 read as something else gives forms so odd that they need no such count.
 
+Words of any length are garbled; those of over ``LONG`` characters (runs without blanks) are joined by the SHA-256
+of their forms. The chains are those of ``WRITTEN`` and ``READ``, with UTF-8 read wrongly twice or thrice by ``TWICE``.
+A form that stands in very many documents is split by the engine's skew join, since the other side has it once.
+
 Null and empty texts, and texts in plain ASCII, are never found. Replacement characters (U+FFFD) are
 garbled text of which the original may be lost: they are found even if no clean form is known.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,8 +36,12 @@ READ = ("cp1252", "latin-1", "mac-roman", "cp437", "cp850", "cp1251", "cp1256",
 TWICE = ("cp1252", "latin-1", "mac-roman", "cp437", "cp850", "cp1251")
 LOST = "�"
 _WORD = r"(?<![0-9A-Za-z\x{80}-\x{10FFFF}])[0-9A-Za-z]*[^\x00-\x7F][0-9A-Za-z\x{80}-\x{10FFFF}]*"
-#: Longest word that is garbled; longer runs are no words and serve as no source.
-LONGEST = 80
+#: The same for Python.
+_PY_WORD = re.compile(r"(?<![0-9A-Za-z\x80-\U0010FFFF])[0-9A-Za-z]*[^\x00-\x7F][0-9A-Za-z\x80-\U0010FFFF]*")
+#: Longer forms are joined by their hash.
+LONG = 80
+#: Characters of forms that are handed on at once.
+CHUNK = 10_000_000
 
 
 def _read(raw: bytes, encoding: str, lossy: bool = False) -> str | None:
@@ -132,10 +142,14 @@ def _level(word: Column) -> Column:
     return F.translate(word, "123456789", "000000000")
 
 
+def _key(form: Column) -> Column:
+    return F.when(F.length(form) > LONG, F.concat(F.lit("\x00"), F.sha2(F.encode(form, "UTF-8"), 256))).otherwise(form)
+
+
 def document_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, form): one row per document and distinct word; form has its digits levelled."""
+    """(key, word, form, long): one row per document and distinct word; form has its digits levelled, or is its hash: then long has it."""
     rows = df.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(key), F.explode(words(F.col(text))).alias("word"))
-    return rows.withColumn("form", _level(F.col("word")))
+    return rows.withColumn("form", _key(_level(F.col("word")))).withColumn("long", F.when(F.length("word") > LONG, _level(F.col("word"))))
 
 
 def garbled_words(tokens: DataFrame) -> DataFrame:
@@ -144,20 +158,31 @@ def garbled_words(tokens: DataFrame) -> DataFrame:
     Counts are aggregated before they are shuffled; the join is between distinct words and the forms of
     distinct words. ``source`` is null for words with lost characters that no clean word explains.
     """
-    known = tokens.groupBy("form").agg(F.count(F.lit(1)).alias("n"))
-    clean = known.where(~F.col("form").rlike(r"[\x{80}-\x{9F}\x{FFFD}]") & (F.length("form") <= LONGEST))
+    known = tokens.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.max("long").alias("long"), F.max((F.instr("word", LOST) > 0).cast("int")).alias("lost"))
+    clean = known.withColumn("form", F.coalesce("long", "form")).where(~F.col("form").rlike(r"[\x{80}-\x{9F}\x{FFFD}]")).select("form", "n")
+    known = known.drop("long")
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["form", "source", "chain", "source_n"]
         for b in batches:
-            rows = [(g, w, c, n) for w, n in zip(b["form"], b["n"]) for g, c in garble(w).items()]
-            yield pd.DataFrame(rows, columns=["form", "source", "chain", "source_n"])
+            rows, size = [], 0
+            for w, n in zip(b["form"], b["n"]):
+                for g, c in garble(w).items():
+                    long = len(g) > LONG
+                    # what a chain without loss made needs no source: it is undone
+                    rows.append(("\x00" + hashlib.sha256(g.encode("utf-8", "replace")).hexdigest() if long else g, "" if long and not c.endswith("!") else w, c, n))
+                    size += len(rows[-1][0]) + len(rows[-1][1])
+                if size > CHUNK:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     table = clean.mapInPandas(forms, "form string, source string, chain string, source_n bigint")
     pairs = known.join(table, "form").where("source_n >= n or chain like 'utf-8>%'")
     # the commonest source, then the shortest chain
     best = F.min_by(F.struct("source", "chain"), F.struct(-F.col("source_n"), F.length("chain"), F.col("source")))
     hits = pairs.groupBy("form").agg(best.alias("b")).select("form", F.col("b.source").alias("source"), F.col("b.chain").alias("chain"))
-    lost = known.where(F.col("form").contains(LOST)).select("form").join(hits.select("form"), "form", "left_anti")
+    lost = known.where("lost = 1").select("form").join(hits.select("form"), "form", "left_anti")
     return hits.unionByName(lost.select("form", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("chain")))
 
 
@@ -191,8 +216,16 @@ def restore(df: DataFrame, key: str, text: str, cache=None) -> DataFrame:
 
         return pd.Series([one(*x) for x in zip(word, source, chain)])
 
+    @F.pandas_udf("string")
+    def put_back(text: pd.Series, found: pd.Series) -> pd.Series:
+        def one(t: str, pairs) -> str:
+            back = {p["word"]: p["back"] for p in pairs}
+            return _PY_WORD.sub(lambda m: back.get(m.group(), m.group()), t)
+
+        return pd.Series([one(*x) for x in zip(text, found)])
+
     pairs = hits.select(key, "word", original("word", "source", "chain").alias("back")).where("word <> back")
-    per_doc = pairs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.length("word")).alias("n"), "word", "back"))).alias("x"))
+    per_doc = pairs.groupBy(key).agg(F.collect_list(F.struct("word", "back")).alias("x"))
     joined = df.select(key, text).join(per_doc, key)
-    fixed = F.aggregate("x", F.col(text), lambda acc, p: F.replace(acc, p["word"], p["back"]))
-    return joined.select(key, fixed.alias(text), F.size("x").alias("n_replaced"))
+    # whole words only: a word that holds a garbled one as a part was not verified
+    return joined.select(key, put_back(text, "x").alias(text), F.size("x").alias("n_replaced"))
