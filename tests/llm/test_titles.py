@@ -31,13 +31,15 @@ def test_distance(a, b, want):
 
 
 def test_join_keys_meet_within_two_edits():
-    words = ["supervisor", "crane", "technician", "kiln"]
+    words = ["supervisor", "crane", "technician", "kiln", "thermodynamics", "qualitätssicherung", "straßenbahnbetriebshofleiter", "donaudampfschifffahrtselektrizitätenhauptbetriebswerk", "ab" * 60 + "cd" * 60]
     for w in words:
         ref = t.keys(w, True)
         for i in range(len(w)):
             for j in range(i):
                 assert t.keys(w[:j] + w[j + 1 : i] + w[i + 1 :], False) & ref
             assert t.keys(w[:i] + "q" + w[i + 1 :], False) & ref
+            for j in {0, i // 2, i, len(w) - 1}:
+                assert t.keys(w[:j] + "q" + w[j:i] + "x" + w[i:], False) & ref or j > i
 
 
 def test_both_rankings_agree(spark, monkeypatch):

@@ -14,6 +14,7 @@ left out. Repeated titles are resolved once.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -40,9 +41,8 @@ JOINED = 0.84
 MOST_ENTRIES = 50_000
 #: Least similarity of reference tokens of up to five letters.
 SHORT_TOKEN = 0.5
-#: Tokens longer than this are looked up by one deletion, and by their consonants.
+#: Tokens longer than this are looked up by their parts instead of by deletions.
 LONG = 16
-MOST_LETTERS = 80
 #: Only reference tokens up to this length are abbreviated; longer ones are compounds.
 SHORT = 13
 
@@ -98,38 +98,70 @@ def skeleton(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word[:1] + rest)
 
 
+def near_keys(word: str, reference: bool) -> set[str]:
+    """Keys of which any two words within two edits share one, at any length.
+
+    Up to ``LONG`` letters these are the word and its forms with one or two letters left out. A longer reference
+    word is cut in three, one part of which two edits leave whole; a typed one shows what may be that part, at
+    most two places off.
+    """
+    n, out = len(word), set()
+    # the reference word's length decides; a typed word prepares for both where it may meet both
+    if n <= (LONG if reference else LONG + 2):
+        once = {word[:i] + word[i + 1 :] for i in range(n)}
+        out = {word, *once, *(w[:i] + w[i + 1 :] for w in once for i in range(len(w)))}
+        out = {x for x in out if len(x) >= min(2, n)}
+    for size in (n,) if reference else range(n - 2, n + 3):
+        if size > LONG:
+            for k, (a, z) in enumerate(((0, size // 3), (size // 3, size * 2 // 3), (size * 2 // 3, size))):
+                for i in range(a, a + 1) if reference else range(max(0, a - 2), min(a + 2, n - z + a) + 1):
+                    part = word[i : i + z - a]
+                    out.add(f"{size}:{k}:{part if len(part) <= 64 else hashlib.sha256(part.encode()).hexdigest()}")
+    return out
+
+
 def keys(word: str, reference: bool) -> set[str]:
-    """Join keys: two words share one if they may be the same word. Runs longer than any word match as they are only."""
-    if len(word) > MOST_LETTERS:
-        return {"w" + word}
-    once = {word[:i] + word[i + 1 :] for i in range(len(word))}
-    out = {word} | once
-    if len(word) <= LONG:
-        out |= {w[:i] + w[i + 1 :] for w in once for i in range(len(w))}
-    out = {"w" + x for x in out if len(x) >= min(2, len(word))}
+    """Join keys: two words share one if they may be the same word."""
+    out = {"w" + x for x in near_keys(word, reference)}
     s = skeleton(word)
     if len(s) == 2:
         out.add("s" + s)
+    elif len(s) >= 8:
+        out |= {"s" + x for x in near_keys(s, reference) if len(x) >= 2}
     elif len(s) >= 3:
-        some = {s} | {s[:i] + s[i + 1 :] for i in range(len(s))}
-        if len(s) >= 8:
-            some |= {x[:i] + x[i + 1 :] for x in some for i in range(len(x))}
-        out |= {"s" + x for x in some if len(x) >= 2}
+        out |= {"s" + x for x in {s} | {s[:i] + s[i + 1 :] for i in range(len(s))}}
     if reference:
-        out |= {"p" + word[:n] for n in range(2, min(7, len(word)))} | {"a" + word[:1] + c for c in set(word[1:])}
+        out |= {"p" + word[:n] for n in range(2, min(7, len(word)))}
+        # of an abbreviation: its first, second and last letter, which come in this order
+        rest = word[1:] if len(word) <= SHORT else ""
+        out |= {"a" + word[:1] + rest[i] + c for i in range(len(rest)) for c in set(rest[i + 1 :])}
     elif 2 <= len(word) <= 6:
-        out |= {"p" + word, "a" + word[:1] + word[-1]}
+        out |= {"p" + word, "a" + word[:2] + word[-1]} if len(word) > 2 else {"p" + word}
     return out
 
 
+def _common(a: str, b: str) -> int:
+    """How many letters two words have in common, in any order."""
+    n = 0
+    for c in set(a):
+        if c in b:
+            n += min(a.count(c), b.count(c))
+    return n
+
+
 def distance(a: str, b: str, most: int) -> int:
-    """Edits (swaps count once) from a to b, or ``most`` + 1."""
-    if abs(len(a) - len(b)) > most:
+    """Edits (swaps count once) from a to b, or ``most`` + 1 if there are more. Only the band that can hold so few is worked out."""
+    # an edit changes one letter at most, so it costs one of those in common; a swap costs none
+    if abs(len(a) - len(b)) > most or max(len(a), len(b)) - _common(a, b) > most:
         return most + 1
-    before, last = [], list(range(len(b) + 1))
+    if a[: len(b)] == b[: len(a)]:
+        return abs(len(a) - len(b))
+    before, last = [], [j if j <= most else most + 1 for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        row = [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
+        row = [most + 1] * (len(b) + 1)
+        row[0] = i
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y = b[j - 1]
             cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] + 1 < cost:
                 cost = before[j - 2] + 1
@@ -137,7 +169,7 @@ def distance(a: str, b: str, most: int) -> int:
         if min(row) > most:
             return most + 1
         before, last = last, row
-    return last[-1]
+    return min(last[-1], most + 1)
 
 
 def _within(short: str, long: str) -> bool:
@@ -151,7 +183,9 @@ def similarity(typed: str, reference: str) -> float:
     if typed == reference:
         return 1.0
     size = max(len(typed), len(reference))
-    best = 1 - distance(typed, reference, max(2, size // 3)) / size
+    most = max(2, int(size * (1 - TOKEN)))
+    edits = distance(typed, reference, most)
+    best = 1 - edits / size if edits <= most else 0.0
     if typed.rstrip("s") == reference.rstrip("s") or typed in (reference + "in", reference + "en", reference + "innen"):
         best = max(best, 0.97)
     if typed[:1] == reference[:1] and len(typed) >= 2:
@@ -162,8 +196,8 @@ def similarity(typed: str, reference: str) -> float:
             best = max(best, 0.85)
         elif a == b == typed:
             best = max(best, 0.75)
-        elif len(a) >= 5 and distance(a, b, 2) <= (1 if len(a) < 8 else 2):
-            best = max(best, 0.8 - 0.05 * distance(a, b, 2))
+        elif len(a) >= 5 and (d := distance(a, b, 2)) <= (1 if len(a) < 8 else 2):
+            best = max(best, 0.8 - 0.05 * d)
         if 3 <= len(typed) <= 6 and len(typed) < len(reference) <= SHORT and _within(typed, reference):
             best = max(best, 0.7)
         elif len(typed) > 6 and _within(typed, reference) and len(typed) >= 0.55 * len(reference):
@@ -216,7 +250,7 @@ def repair_tokens(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
         return run
 
-    left = typed.mapInPandas(spread(False, "token"), "k string, token string")
+    left = typed.repartition(int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(spread(False, "token"), "k string, token string")
     right = vocabulary.mapInPandas(spread(True, "word"), "k string, word string")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +258,9 @@ def repair_tokens(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
             rows = [(t, w, s) for t, w in zip(b["token"], b["word"]) if (s := similarity(t, w)) >= (TOKEN if len(w) > 5 else SHORT_TOKEN)]
             yield pd.DataFrame(rows, columns=["token", "word", "sim"])
 
-    return left.join(right, "k").select("token", "word").distinct().mapInPandas(score, "token string, word string, sim double")
+    # few bytes, but each pair is dear: they are spread by rows
+    pairs = left.join(right, "k").select("token", "word").distinct()
+    return pairs.repartition(int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(score, "token string, word string, sim double")
 
 
 def rank_by_join(forms: DataFrame, repaired: DataFrame, ref: DataFrame, idf: DataFrame) -> DataFrame:
