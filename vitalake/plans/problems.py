@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalake.operators import csv_rows, intervals, timestamps
+from vitalake.plans import date_sql
 from vitalake.session import table
 
 OPEN_ENDS = ("", "present", "current", "now")
@@ -79,10 +80,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p4_found": p4_found, "p4_zones": p4_zones, "p6_found": p6_found, "p6_loaded": p6_loaded, "p7_found": p7_found}
 
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",][^,]*|)'
+_RECORDS = f"""t AS (SELECT *, regexp_replace(line, '\\r$', '') AS l FROM raw_event_lines WHERE line_no <> 1), f AS (SELECT *, regexp_extract_all(l || ',', '{_FIELD},') AS a FROM t),
+w AS (SELECT *, list_transform(a, lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-3], '""', '"') ELSE x[:-2] END) AS v FROM f),
+r AS (SELECT *, CASE WHEN l IS NULL THEN 'column_count' WHEN NOT regexp_full_match(l, '(?s){_FIELD}(?:,{_FIELD})*') THEN 'quoting' WHEN len(a) <> 6 THEN 'column_count' WHEN lower(trim(v[1])) NOT IN ('work', 'internship', 'education', 'certificate', 'project', 'skill') THEN 'type'
+ WHEN trim(coalesce(v[6], '')) <> '' AND (NOT json_valid(v[6]) OR json_type(CASE WHEN json_valid(v[6]) THEN v[6] END) <> 'OBJECT' OR regexp_matches(v[6], ',\\s*[}}\\]]|\\bNaN\\b|\\bInfinity\\b')) THEN 'payload' END AS reason FROM w)"""
 ORACLES = {
-    "p6_found": f"""WITH t AS (SELECT line_id, regexp_replace(line, '\\r$', '') AS l FROM raw_event_lines WHERE line_no <> 1), f AS (SELECT line_id, l, regexp_extract_all(l || ',', '{_FIELD},') AS a FROM t),
-v AS (SELECT line_id, l, len(a) AS n, a[1][:-2] AS k, a[6][:-2] AS p FROM f), u AS (SELECT line_id, l, n, CASE WHEN starts_with(k, '"') THEN replace(k[2:-2], '""', '"') ELSE k END AS k, CASE WHEN starts_with(p, '"') THEN replace(p[2:-2], '""', '"') ELSE p END AS p FROM v),
-r AS (SELECT line_id, CASE WHEN NOT regexp_full_match(l, '(?s){_FIELD}(?:,{_FIELD})*') THEN 'quoting' WHEN n <> 6 THEN 'column_count' WHEN lower(trim(k)) NOT IN ('work', 'internship', 'education', 'certificate', 'project', 'skill') THEN 'type'
- WHEN trim(coalesce(p, '')) <> '' AND (NOT json_valid(p) OR json_type(CASE WHEN json_valid(p) THEN p END) <> 'OBJECT' OR regexp_matches(p, ',\\s*[}}\\]]|\\bNaN\\b|\\bInfinity\\b')) THEN 'payload' END AS reason FROM u)
-SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
+    "p4_found": date_sql.FOUND,
+    "p4_zones": date_sql.zones(ZONES),
+    "p6_found": f"WITH {_RECORDS} SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
+    "p6_loaded": f"WITH {_RECORDS} SELECT line_id, file_id, line_no, " + ", ".join(f"CASE WHEN trim(v[{i}], ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN v[{i}] END AS {c}" for i, c in enumerate(csv_rows.EVENT_COLUMNS, 1)) + " FROM r WHERE reason IS NULL",
+    "p7_found": date_sql.PERIODS,
 }
