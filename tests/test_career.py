@@ -52,3 +52,18 @@ def test_edges(spark):
     sizes = {r["event_id"]: r["p"] for r in df.where("resume_id = 4").select("event_id", career.parse_payload(df["payload"]).alias("p")).collect()}
     assert sizes == {1: None, 2: {}}
     assert career.analyze(df.limit(0), "2022-01-01").count() == 0
+
+
+def test_dates_of_any_form_and_late_deliveries(spark):
+    """Any readable form counts, an unreadable end is not an open one, and of repeated deliveries the last holds."""
+    from datetime import datetime
+
+    rows = [
+        (1, 1, 0, "work", "a", "mid", "03/2015", "31.12.2015", 1), (2, 1, 1, "Work", "b", "mid", "2016", "soon", 1), (3, 1, 2, "work", "c", "mid", "5 May 2017", "Present", 1), (4, 1, 3, "skill", "x", None, None, None, 1),
+        (5, 1, 3, "skill", "x", None, None, None, 2), (6, 1, 2, "work", "c", "senior", "5 May 2017", "now", 2), (7, 1, None, "skill", "y", None, None, None, 1), (8, 1, None, "skill", "y", None, None, None, 1), (9, None, 0, "work", "a", "mid", "2015", "", 1),
+    ]
+    df = spark.createDataFrame([(*r[:8], "f", None, datetime(2024, 1, r[8])) for r in rows], "event_id bigint, resume_id bigint, event_seq int, type string, title string, level string, start_date string, end_date string, feed string, feed_zone string, ingested_at timestamp")
+    got = {(r["event_id"], str(r["start_day"]), str(r["eff_end"]), r["level"]) for r in career.jobs(career.latest(df), "2025-01-01").collect()}
+    assert got == {(1, "2015-03-01", "2015-12-31", "mid"), (6, "2017-05-05", "2025-01-01", "senior")}
+    m = career.metrics(df, "2025-01-01").collect()
+    assert len(m) == 1 and m[0]["skills"] == 3 and m[0]["num_jobs"] == 2

@@ -11,6 +11,8 @@ class CareerConfig:
     formula_version: str = "1.0.0"
     work_types: tuple[str, ...] = ("work", "internship")
     academic_types: tuple[str, ...] = ("education", "certificate", "project", "skill")
+    #: How an open end is written.
+    open_ends: tuple[str, ...] = ("", "present", "current", "now")
     #: Rank of each level.
     level_rank: dict[str, int] = field(default_factory=lambda: {"junior": 1, "mid": 2, "senior": 3, "lead": 4, "manager": 5, "director": 6, "vp": 7, "c-level": 8})
     #: Thresholds of the labels (high, middle).

@@ -4,8 +4,9 @@ Events of a resume are rows, a resume is a group key. Jobs that begin on the sam
 they are pre-aggregated by (resume, day) first: that runs map-side and bounds the rows of a hot resume by
 the days of a lifetime before any window sees them. Everything after works on merged jobs.
 
-Days are whole days; a missing, blank or unreadable end is open and lasts until ``as_of``. Rows with a
-null resume, an unreadable start or an end before the start are no jobs. Ties on the start keep the order
+Days are whole days, read in any form that the timestamps operator knows; a missing or blank end, and the words for
+an open one, last until ``as_of``. Rows with a null resume, an unreadable start or end, or an end before the start
+are no jobs. Of a row that was delivered several times the last delivery counts. Ties on the start keep the order
 of ``event_seq``, then ``event_id``. A resume without jobs still has a row, with zero counts and null means.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalake.config import CareerConfig
+from vitalake.operators import timestamps
 
 CFG = CareerConfig()
 _STRIP = r"(?U)^\s+|\s+$"
@@ -24,15 +26,16 @@ def norm(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, _STRIP, ""))
 
 
-def parse_date(c: Column) -> Column:
-    """ISO ``YYYY``, ``YYYY-MM``, ``YYYY-MM-DD`` or a timestamp's day; anything else is null."""
-    s = F.regexp_replace(c, _STRIP, "")
-    full = (
-        F.when(s.rlike(r"^\d{4}$"), F.concat(s, F.lit("-01-01")))
-        .when(s.rlike(r"^\d{4}-\d{2}$"), F.concat(s, F.lit("-01")))
-        .when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.substring(s, 1, 10))
-    )
-    return full.try_cast("date")
+def latest(df: DataFrame) -> DataFrame:
+    """``df`` without rows that were delivered again later: one row per resume_id and event_seq, that with the last ingested_at.
+
+    Rows without event_seq are all kept, and so are all rows of a table without these columns. The columns stay.
+    """
+    if not {"event_seq", "ingested_at", "event_id"} <= set(df.columns):
+        return df
+    own = F.when(F.col("resume_id").isNull() | F.col("event_seq").isNull(), F.col("event_id"))
+    last = df.groupBy("resume_id", "event_seq", own.alias("__own")).agg(F.max_by(F.struct(*df.columns), F.struct("ingested_at", "event_id")).alias("__r"))
+    return last.select("__r.*")
 
 
 def parse_duration(c: Column) -> Column:
@@ -58,11 +61,21 @@ def parse_payload(c: Column) -> Column:
     return F.when(blank, empty).when(parsed.isNotNull(), parsed).when(F.try_parse_json(c).isNull(), empty)
 
 
-def jobs(df: DataFrame, as_of: str, cfg: CareerConfig = CFG) -> DataFrame:
-    """Job rows: resume_id, event_id, event_seq, title, level, start_day, end_day (null: open), eff_end, months."""
+def jobs(df: DataFrame, as_of: str, cfg: CareerConfig = CFG, orders: DataFrame | None = None, zones: DataFrame | None = None) -> DataFrame:
+    """Job rows: resume_id, event_id, event_seq, title, level, start_day, end_day (null: open), eff_end, months.
+
+    With the columns feed, feed_zone and ingested_at, values are read as those of their feed; ``orders`` and ``zones`` may
+    give what is known of the feeds from more than ``df`` (see ``timestamps.normalise``).
+    """
     e = normalise_events(df).where(F.col("type").isin(*cfg.work_types) & F.col("resume_id").isNotNull())
-    e = e.select("resume_id", "event_id", "event_seq", "title", "level", parse_date(F.col("start_date")).alias("start_day"), parse_date(F.col("end_date")).alias("end_day"))
-    e = e.withColumn("eff_end", F.coalesce("end_day", F.lit(as_of).cast("date"))).where(F.col("start_day") <= F.col("eff_end"))
+    missing = {"feed": F.lit(None).cast("string"), "feed_zone": F.lit(None).cast("string"), "ingested_at": F.lit(None).cast("timestamp")}
+    e = e.withColumns({c: x for c, x in missing.items() if c not in df.columns})
+    e = e.select("resume_id", "event_id", "event_seq", "title", "level", "start_date", "end_date", "feed", "feed_zone", "ingested_at")
+    e = timestamps.normalise(e, ["start_date", "end_date"], "feed", "feed_zone", "ingested_at", orders=orders, zones=zones)
+    day = lambda c: F.date_from_unix_date(F.floor(F.col(c) / 86400).cast("int"))
+    open_ = norm(F.coalesce("end_date", F.lit(""))).isin(*cfg.open_ends)
+    e = e.select("resume_id", "event_id", "event_seq", "title", "level", day("start_date_utc").alias("start_day"), day("end_date_utc").alias("end_day"), open_.alias("open"))
+    e = e.withColumn("eff_end", F.when(F.col("open"), F.lit(as_of).cast("date")).otherwise(F.col("end_day"))).drop("open").where(F.col("start_day") <= F.col("eff_end"))
     return e.withColumn("months", months(F.col("start_day"), F.col("eff_end")))
 
 
@@ -99,9 +112,10 @@ def level_rank(level: Column, cfg: CareerConfig = CFG) -> Column:
     return F.try_element_at(ranks, F.coalesce(level, F.lit("")))
 
 
-def metrics(events: DataFrame, as_of: str, cfg: CareerConfig = CFG) -> DataFrame:
-    """One row per resume with all raw metrics."""
-    merged = merged_jobs(jobs(events, as_of, cfg))
+def metrics(events: DataFrame, as_of: str, cfg: CareerConfig = CFG, orders: DataFrame | None = None, zones: DataFrame | None = None) -> DataFrame:
+    """One row per resume with all raw metrics, of the latest delivery of each event."""
+    events = latest(events)
+    merged = merged_jobs(jobs(events, as_of, cfg, orders, zones))
     order = Window.partitionBy("resume_id").orderBy("job_no")
     ranked = merged.withColumn("rank", level_rank(F.col("level"), cfg))
     # the rank before, over ranked jobs only
@@ -164,10 +178,10 @@ def labels(s: DataFrame, cfg: CareerConfig = CFG) -> DataFrame:
     })
 
 
-def analyze(events: DataFrame, as_of: str, cfg: CareerConfig = CFG) -> DataFrame:
+def analyze(events: DataFrame, as_of: str, cfg: CareerConfig = CFG, orders: DataFrame | None = None, zones: DataFrame | None = None) -> DataFrame:
     """Nested result per resume: raw_metrics, intelligence (two digits), interpretation, formula_version."""
-    s = labels(scores(metrics(events, as_of, cfg)), cfg)
-    raw = [c for c in metrics(events.limit(0), as_of, cfg).columns if c != "resume_id"]
+    m = metrics(events, as_of, cfg, orders, zones)
+    s, raw = labels(scores(m), cfg), [c for c in m.columns if c != "resume_id"]
     intel = ("growth", "stability", "skill", "direction", "learning_velocity", "seniority", "momentum", "risk")
     return s.select(
         "resume_id", F.struct(*raw).alias("raw_metrics"), F.struct(*[F.round(c, 2).alias(c) for c in intel]).alias("intelligence"),

@@ -59,11 +59,16 @@ def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
     return csv_rows.judge_records(rows, "line").where("reason is null").select("line_id", "file_id", "line_no", "record.*")
 
 
-def _job_days(spark: SparkSession, d: str) -> DataFrame:
-    """(resume_id, d0, d1): first and last day of each job; order of day and month and missing zones are those of the whole feed, as in p4."""
+def feeds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What all values of a feed say about it: (feed, day_first) and (feed, est_zone)."""
     every = event_values(spark, d).unionByName(pdf_values(spark, d))
     orders = timestamps.feed_orders(every.select("feed", timestamps.clean(F.col("value")).alias("s"), "seen"))
-    zones = timestamps.feed_zones(every.withColumnRenamed("feed_zone", "zone"), ZONES, orders)
+    return orders, timestamps.feed_zones(every.withColumnRenamed("feed_zone", "zone"), ZONES, orders)
+
+
+def _job_days(spark: SparkSession, d: str) -> DataFrame:
+    """(resume_id, d0, d1): first and last day of each job; order of day and month and missing zones are those of the whole feed, as in p4."""
+    orders, zones = feeds(spark, d)
     e = table(spark, d, "resume_events").select("resume_id", "type", "start_date", "end_date", "feed", "feed_zone", "ingested_at")
     text = lambda c: F.lower(csv_rows.strip(F.coalesce(c, F.lit(""))))
     jobs = e.where(text("type").isin("work", "internship"))

@@ -9,6 +9,7 @@ from vitalake.config import MatchConfig
 from vitalake.functions import json_text
 from vitalake.functions import text as T
 from vitalake.operators import career, documents, extraction, matching
+from vitalake.plans import date_sql, problems
 from vitalake.session import table
 
 AS_OF = "2025-01-01"
@@ -21,28 +22,36 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "resume_events")
 
 
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    return career.jobs(career.latest(_events(spark, d)), AS_OF, career.CFG, *problems.feeds(spark, d))
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    return career.metrics(_events(spark, d), AS_OF, career.CFG, *problems.feeds(spark, d))
+
+
 def career_type_filter(spark, d):
-    e = career.normalise_events(_events(spark, d).select("event_id", "resume_id", "type", "title", "level"))
+    e = career.normalise_events(career.latest(_events(spark, d)).select("event_id", "resume_id", "type", "title", "level"))
     kind = F.when(F.col("type").isin(*career.CFG.work_types), "work").when(F.col("type").isin(*career.CFG.academic_types), "academic")
     return e.withColumn("kind", kind).where("kind is not null").groupBy("kind", "type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("resume_id").alias("resumes"))
 
 
 def career_event_duration(spark, d):
-    return career.jobs(_events(spark, d), AS_OF).select("event_id", "resume_id", F.round("months", 6).alias("months"))
+    return _jobs(spark, d).select("event_id", "resume_id", F.round("months", 6).alias("months"))
 
 
 def career_merged_intervals(spark, d):
-    m = career.merged_jobs(career.jobs(_events(spark, d), AS_OF))
+    m = career.merged_jobs(_jobs(spark, d))
     return m.select("resume_id", "job_no", "title", "level", F.col("start_day").cast("string").alias("start_day"), F.col("eff_end").cast("string").alias("eff_end"), F.round("months", 6).alias("months"), "n_events")
 
 
 def career_gaps(spark, d):
-    g = career.gaps(career.merged_jobs(career.jobs(_events(spark, d), AS_OF)))
+    g = career.gaps(career.merged_jobs(_jobs(spark, d)))
     return g.select("resume_id", "job_no", F.round("gap_months", 6).alias("gap_months"))
 
 
 def career_metrics(spark, d):
-    m = career.metrics(_events(spark, d), AS_OF)
+    m = _metrics(spark, d)
     six = lambda c: F.round(c, 6).alias(c)
     return m.select(
         "resume_id", "num_jobs", six("years"), six("avg_months"), six("min_months"), six("max_months"), "unique_roles", "promotions", "demotions",
@@ -51,22 +60,28 @@ def career_metrics(spark, d):
 
 
 def career_trends(spark, d):
-    m = career.metrics(_events(spark, d), AS_OF)
+    m = _metrics(spark, d)
     return m.select("resume_id", F.round("trend_slope", 4).alias("trend_slope"), F.round("correlation", 4).alias("correlation"), F.round("stability_index", 4).alias("stability_index"))
 
 
 def career_scores(spark, d):
-    s = career.scores(career.metrics(_events(spark, d), AS_OF))
+    s = career.scores(_metrics(spark, d))
     return s.select("resume_id", *[F.round(c, 6).alias(c) for c in ("growth", "stability", "skill", "direction", "seniority", "momentum", "risk", "learning_velocity")])
 
 
 def career_interpretation(spark, d):
-    s = career.labels(career.scores(career.metrics(_events(spark, d), AS_OF)))
+    s = career.labels(career.scores(_metrics(spark, d)))
     return s.groupBy("growth_label", "stability_label", "momentum_label", "risk_label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def career_analysis(spark, d):
-    return career.analyze(_events(spark, d), AS_OF)
+    """The whole analysis, its nested parts as columns."""
+    a = career.analyze(_events(spark, d), AS_OF, career.CFG, *problems.feeds(spark, d))
+    shown = [F.col(f"intelligence.{c}").alias(c) for c in _INTEL] + [F.col(f"interpretation.{c}").alias(f"{c}_label") for c in ("growth", "stability", "momentum", "risk")]
+    return a.select("resume_id", "formula_version", *[F.col(f"raw_metrics.{c}").alias(c) for c in ("num_jobs", "promotions", "demotions", "skills", "level_growth")], *shown)
+
+
+_INTEL = ("growth", "stability", "skill", "direction", "learning_velocity", "seniority", "momentum", "risk")
 
 
 def career_payload(spark, d):
@@ -74,20 +89,18 @@ def career_payload(spark, d):
 
 
 def career_parse_duration(spark, d):
-    rows = spark.createDataFrame([("12",), ("1.5",), ("-1",), ("inf",), ("nan",), ("abc",), ("",), (None,), ("0",)], "raw string")
-    return rows.select("raw", career.parse_duration(F.col("raw")).alias("months"))
-
-
-_EV = f"""ev AS (SELECT event_id, resume_id, event_seq, lower(regexp_replace(type, '^{WS}+|{WS}+$', '', 'g')) AS type, lower(regexp_replace(title, '^{WS}+|{WS}+$', '', 'g')) AS title,
- lower(regexp_replace(level, '^{WS}+|{WS}+$', '', 'g')) AS level, regexp_replace(start_date, '^{WS}+|{WS}+$', '', 'g') AS s, regexp_replace(end_date, '^{WS}+|{WS}+$', '', 'g') AS e FROM resume_events)"""
-
-
-def _day(c: str) -> str:
-    return f"CASE WHEN regexp_full_match({c}, '\\d{{4}}') THEN try_cast({c} || '-01-01' AS DATE) WHEN regexp_full_match({c}, '\\d{{4}}-\\d{{2}}') THEN try_cast({c} || '-01' AS DATE) WHEN regexp_matches({c}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}([T ].*)?$') THEN try_cast(substr({c}, 1, 10) AS DATE) END"
-
-
-_JOBS = f"""{_EV}, parsed AS (SELECT *, {_day("s")} AS sd, {_day("e")} AS ed FROM ev WHERE type IN ('work', 'internship') AND resume_id IS NOT NULL),
-jobs AS (SELECT *, coalesce(ed, DATE '{AS_OF}') AS eff_end FROM parsed WHERE sd <= coalesce(ed, DATE '{AS_OF}'))"""
+    """Every cell of the raw event lines, and every number in payloads, read as a duration."""
+    cells = table(spark, d, "raw_event_lines").select(F.explode(F.split("line", "[,:{}]")).alias("raw"))
+    payloads = _events(spark, d).select(F.explode(F.split("payload", "[,:{}]")).alias("raw"))
+    return cells.unionByName(payloads).distinct().select("raw", career.parse_duration(F.col("raw")).alias("months"))
+
+
+_EV = f"""late AS (SELECT * FROM resume_events QUALIFY event_seq IS NULL OR resume_id IS NULL OR row_number() OVER (PARTITION BY resume_id, event_seq ORDER BY ingested_at DESC, event_id DESC) = 1),
+ev AS (SELECT event_id, resume_id, event_seq, lower(regexp_replace(type, '^{WS}+|{WS}+$', '', 'g')) AS type, lower(regexp_replace(title, '^{WS}+|{WS}+$', '', 'g')) AS title,
+ lower(regexp_replace(level, '^{WS}+|{WS}+$', '', 'g')) AS level, lower(regexp_replace(coalesce(end_date, ''), '^{WS}+|{WS}+$', '', 'g')) AS e FROM late)"""
+_JOBS = f"""{date_sql.dates()}, {_EV}, sd AS (SELECT row_id, DATE '1970-01-01' + CAST(utc // 86400 AS INTEGER) AS sd FROM dated WHERE field = 'start_date'), ed AS (SELECT row_id, DATE '1970-01-01' + CAST(utc // 86400 AS INTEGER) AS ed FROM dated WHERE field = 'end_date'),
+parsed AS (SELECT ev.*, sd, CASE WHEN e IN ('', 'present', 'current', 'now') THEN DATE '{AS_OF}' ELSE ed END AS eff_end FROM ev LEFT JOIN sd ON sd.row_id = event_id LEFT JOIN ed ON ed.row_id = event_id WHERE type IN ('work', 'internship') AND resume_id IS NOT NULL),
+jobs AS (SELECT * FROM parsed WHERE sd <= eff_end)"""
 _MERGED = f"""{_JOBS}, w AS (SELECT *, row_number() OVER o AS rn, max(eff_end) OVER (PARTITION BY resume_id ORDER BY sd, event_seq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM jobs WINDOW o AS (PARTITION BY resume_id ORDER BY sd, event_seq, event_id)),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR sd > reach THEN 1 ELSE 0 END) OVER (PARTITION BY resume_id ORDER BY rn) AS job_no FROM w),
 merged AS (SELECT resume_id, CAST(job_no AS INTEGER) AS job_no, arg_min({{'t': title, 'l': level}}, rn) AS h, min(sd) AS sd, max(eff_end) AS ee, count(*) AS n_events FROM i GROUP BY resume_id, job_no)"""
@@ -132,8 +145,13 @@ CAREER_SQL = {
  {_three("stability", 80, 50, "Stable employment history", "Moderate employment stability", "Frequent transitions detected")} AS stability_label,
  {_three("momentum", 75, 45, "Career trajectory is accelerating", "Career trajectory is steady", "Career growth momentum is weak")} AS momentum_label,
  CASE WHEN round(CAST(risk AS DOUBLE), 2) < 30 THEN 'Low career risk' WHEN round(CAST(risk AS DOUBLE), 2) < 60 THEN 'Moderate career risk' ELSE 'High career risk' END AS risk_label, count(*) AS n FROM s GROUP BY 1, 2, 3, 4""",
+    "career_analysis": f"""WITH {_SCORES} SELECT resume_id, '1.0.0' AS formula_version, num_jobs, promotions, demotions, skills, level_growth, {", ".join(f"CAST(round(CAST({n} AS DECIMAL(18, 10)), 2) AS DOUBLE) AS {n}" for n in _INTEL)},
+ {_three("growth", 75, 40, "Strong upward career progression", "Moderate career progression", "Limited visible progression")} AS growth_label,
+ {_three("stability", 80, 50, "Stable employment history", "Moderate employment stability", "Frequent transitions detected")} AS stability_label,
+ {_three("momentum", 75, 45, "Career trajectory is accelerating", "Career trajectory is steady", "Career growth momentum is weak")} AS momentum_label,
+ CASE WHEN round(CAST(risk AS DOUBLE), 2) < 30 THEN 'Low career risk' WHEN round(CAST(risk AS DOUBLE), 2) < 60 THEN 'Moderate career risk' ELSE 'High career risk' END AS risk_label FROM s""",
     "career_payload": f"""SELECT event_id, CAST(CASE WHEN payload IS NULL OR regexp_replace(payload, '^{WS}+|{WS}+$', '', 'g') = '' OR NOT json_valid(payload) THEN 0 WHEN json_type(payload) = 'OBJECT' THEN len(json_keys(payload)) END AS INTEGER) AS n_keys FROM resume_events""",
-    "career_parse_duration": "SELECT raw, CASE WHEN isfinite(x) AND x >= 0 THEN x END AS months FROM (SELECT raw, try_cast(raw AS DOUBLE) AS x FROM (VALUES ('12'), ('1.5'), ('-1'), ('inf'), ('nan'), ('abc'), (''), (NULL), ('0')) t(raw))",
+    "career_parse_duration": "SELECT raw, CASE WHEN isfinite(x) AND x >= 0 THEN x END AS months FROM (SELECT DISTINCT raw, CASE WHEN NOT contains(raw, '_') THEN try_cast(raw AS DOUBLE) END AS x FROM (SELECT unnest(regexp_split_to_array(line, '[,:{}]')) AS raw FROM raw_event_lines UNION ALL SELECT unnest(regexp_split_to_array(payload, '[,:{}]')) FROM resume_events))",
 }
 
 # ---------------------------------------------------------------- text
