@@ -126,3 +126,30 @@ def test_registered_queries_use_the_default_scorer(spark, monkeypatch):
     monkeypatch.setattr(reference, "table", lambda spark, d, name: tables[name])
     got = reference.occ_resolve(spark, "").collect()[0]
     assert got["uri"] == "occ/1" and got["match_type"] == "fuzzy"
+
+
+def test_aliases_equal_to_the_label_and_ties(spark):
+    tax = spark.createDataFrame([("o/1", "data engineer", '["data engineer"]', 1, "25"), ("o/2", "abcdef one", None, 2, None), ("o/3", "abcdef two", None, 3, None)], "uri string, preferred_label string, alt_labels string, rec_seq int, isco_code string")
+    df = spark.createDataFrame([(1, "data enginer"), (2, "abcdef")], "id int, title string")
+    got = {r["id"]: r for r in matching.resolve(df, "id", F.col("title"), tax, RATIO, threshold=50.0).collect()}
+    assert (got[1]["status"], got[1]["uri"], got[1]["similarity"], got[1]["isco_code"], got[1]["source"]) == ("accepted", "o/1", 96.0, "25", "database")
+    # equal scores: the label that comes last in the alphabet first
+    low = {r["id"]: r for r in matching.resolve(df, "id", F.col("title"), tax, RATIO, threshold=40.0).collect()}[2]
+    assert low["uri"] == "o/3" and [a["uri"] for a in low["alternatives"]] == ["o/2"] and low["second_best_similarity"] == 75.0
+    assert [len(r["alternatives"]) for r in matching.resolve(df, "id", F.col("title"), tax, RATIO, threshold=40.0, limit=1).where("id = 2").collect()] == [0]
+
+
+def test_cache(spark, tmp_path):
+    tax = spark.createDataFrame(TAX, "uri string, preferred_label string, alt_labels string, rec_seq int")
+    df = spark.createDataFrame([(1, "software engineer"), (2, "Software-Engineer"), (3, "quantum potato"), (4, None)], "id int, title string")
+    out, entries = matching.resolve_cached(df, "id", F.col("title"), tax, None, RATIO)
+    assert {(r["id"], r["uri"], r["cache_hit"]) for r in out.collect()} == {(1, "occ/1", False), (2, "occ/1", False), (3, None, False), (4, None, False)}
+    entries.write.parquet(str(tmp_path / "cache"))
+    kept = spark.read.parquet(str(tmp_path / "cache"))
+    assert kept.count() == 3 and {round((r["expires_at"] - r["resolved_at"]).total_seconds()) for r in kept.collect()} == {300, 3600}
+    more = df.unionByName(spark.createDataFrame([(5, "data analyst")], "id int, title string"))
+    out, entries = matching.resolve_cached(more, "id", F.col("title"), tax, kept, RATIO)
+    assert {(r["id"], r["uri"], r["cache_hit"]) for r in out.collect()} == {(1, "occ/1", True), (2, "occ/1", True), (3, None, True), (4, None, True), (5, "occ/2", False)}
+    assert entries.count() == 1 and {(r["status"], r["cache_hits"], r["cache_misses"]) for r in matching.summary(out).groupBy("status").agg(F.sum("cache_hits").alias("cache_hits"), F.sum("cache_misses").alias("cache_misses")).collect()} == {("accepted", 2, 1), ("unresolved", 2, 0)}
+    late = kept.withColumn("expires_at", F.current_timestamp() - F.expr("interval 1 second"))
+    assert not [r for r in matching.resolve_cached(df, "id", F.col("title"), tax, late, RATIO)[0].collect() if r["cache_hit"]]

@@ -14,6 +14,7 @@ import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -51,20 +52,25 @@ def parse_aliases(c: Column) -> Column:
     return F.filter(F.transform(parts, trim), lambda x: x != "")
 
 
-def terms(taxonomy: DataFrame) -> DataFrame:
-    """(text, field, uri, rec_seq, term): normalised labels and aliases, one row per text, record and field.
-
-    ``taxonomy`` has uri, preferred_label, alt_labels and rec_seq. Of repeated records the last values and the
-    first position hold; an alias equal to its own label is dropped; rows without a label are left out.
-    """
+def _term_rows(taxonomy: DataFrame) -> DataFrame:
+    """(text, field, uri, rec_seq, term, own): as :func:`terms`, with the aliases equal to their own label, marked."""
     t = taxonomy.where(F.col("preferred_label").isNotNull()).select(F.coalesce("uri", F.lit("")).alias("uri"), "preferred_label", "alt_labels", "rec_seq")
     last = t.groupBy("uri").agg(F.max_by(F.struct("preferred_label", "alt_labels"), "rec_seq").alias("r"), F.min("rec_seq").alias("rec_seq"))
     label = last.select("uri", "rec_seq", F.lit("preferred_label").alias("field"), F.col("r.preferred_label").alias("term"))
     alias = last.select("uri", "rec_seq", F.lit("alias").alias("field"), F.explode(parse_aliases(F.col("r.alt_labels"))).alias("term"))
     rows = label.unionByName(alias).withColumn("text", normalise("term")).where("text <> ''")
     own = rows.where("field = 'preferred_label'").select("uri", F.col("text").alias("own"))
-    rows = rows.join(own, "uri", "left").where((F.col("field") == "preferred_label") | (F.col("text") != F.coalesce("own", F.lit("")))).drop("own")
-    return rows.groupBy("text", "field", "uri").agg(F.min("rec_seq").alias("rec_seq"), F.min("term").alias("term"))
+    rows = rows.join(own, "uri", "left").withColumn("own", (F.col("field") == "alias") & (F.col("text") == F.coalesce("own", F.lit(""))))
+    return rows.groupBy("text", "field", "uri", "own").agg(F.min("rec_seq").alias("rec_seq"), F.min("term").alias("term"))
+
+
+def terms(taxonomy: DataFrame) -> DataFrame:
+    """(text, field, uri, rec_seq, term): normalised labels and aliases, one row per text, record and field.
+
+    ``taxonomy`` has uri, preferred_label, alt_labels and rec_seq. Of repeated records the last values and the
+    first position hold; an alias equal to its own label is dropped; rows without a label are left out.
+    """
+    return _term_rows(taxonomy).where("not own").drop("own")
 
 
 class _Subsequences:
@@ -163,22 +169,27 @@ class _Bound:
 
 
 def _fuzzy(forms: DataFrame, term_rows: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """(norm, uri, similarity, weighted, matched_text, matched_field): the best records of each form."""
+    """(norm, uri, rank, similarity, weighted, matched_text, matched_field): the best records of each form.
+
+    ``term_rows`` has the label of its record beside it. An alias equal to its record's label counts in the score, but is no candidate
+    of its own. Equal scores are in descending order of the label.
+    """
+    own = F.col("field") == "alias"
     records = term_rows.groupBy("uri").agg(
-        F.min("rec_seq").alias("rec_seq"), F.max(F.when(F.col("field") == "preferred_label", F.col("text"))).alias("label"),
-        F.array_sort(F.collect_set(F.when(F.col("field") == "alias", F.col("text")))).alias("aliases"),
+        F.min("rec_seq").alias("rec_seq"), F.max(F.when(F.col("field") == "preferred_label", F.col("text"))).alias("label"), F.array_sort(F.collect_set(F.when(own & ~F.col("own"), F.col("text")))).alias("aliases"),
+        F.max(F.when(F.col("own"), F.col("text"))).alias("own"), F.max("label").alias("name"),
     )
     rows = records.orderBy("rec_seq", "uri").limit(cfg.max_reference + 1).collect()
     if len(rows) > cfg.max_reference:
         raise ValueError("the reference list exceeds max_reference; resolve it in parts")
-    refs = [(r["uri"], r["label"] or "", list(r["aliases"] or [])) for r in rows]
+    refs = [(r["uri"], r["label"] or "", list(r["aliases"] or []), [r["own"]] if r["own"] else [], r["name"] or "") for r in rows]
     shared = forms.sparkSession.sparkContext.broadcast(refs)
-    schema = "norm string, uri string, similarity double, weighted double, matched_text string, matched_field string"
+    schema = "norm string, uri string, rank int, similarity double, weighted double, matched_text string, matched_field string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         refs, score = shared.value, scorer(cfg.scorer)
         owners: dict[str, list[tuple[int, str]]] = {}
-        for i, (_, label, aliases) in enumerate(refs):
+        for i, (_, label, aliases, _, _) in enumerate(refs):
             owners.setdefault(label, []).append((i, "preferred_label"))
             for a in aliases:
                 owners.setdefault(a, []).append((i, "alias"))
@@ -193,7 +204,7 @@ def _fuzzy(forms: DataFrame, term_rows: DataFrame, cfg: MatchConfig) -> DataFram
                 known = {t: -neg for neg, t in top}
                 for neg, t in top:
                     for i, where in owners[t]:
-                        label, aliases = refs[i][1], refs[i][2]
+                        label, aliases = refs[i][1], refs[i][2] + refs[i][3]
                         known |= {x: score(q, x) for x in (label, *aliases) if x not in known}
                         label_score = known[label]
                         total = cfg.label_weight * label_score + cfg.alias_weight * max((known[a] for a in aliases), default=0.0)
@@ -201,10 +212,10 @@ def _fuzzy(forms: DataFrame, term_rows: DataFrame, cfg: MatchConfig) -> DataFram
                         # the first entry of a record in the order of raw scores stands for it
                         best.setdefault(i, (refs[i][0], label_score if where == "preferred_label" else -neg, weighted, label if where == "preferred_label" else t, where))
                 kept = [x for x in best.values() if x[2] >= cfg.threshold]
-                names = {x[0]: refs[i][1] for i, x in best.items()}
+                names = {x[0]: refs[i][4] for i, x in best.items()}
                 kept.sort(key=lambda x: (x[2], x[1], names[x[0]]), reverse=True)
-                out += [(q, *x) for x in kept[: min(cfg.limit, cfg.max_limit)]]
-            yield pd.DataFrame(out, columns=["norm", "uri", "similarity", "weighted", "matched_text", "matched_field"])
+                out += [(q, x[0], n, *x[1:]) for n, x in enumerate(kept[: min(cfg.limit, cfg.max_limit)])]
+            yield pd.DataFrame(out, columns=["norm", "uri", "rank", "similarity", "weighted", "matched_text", "matched_field"])
 
     # few rows, but each is dear: they are spread over all tasks
     spread = forms.repartition(int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions")), "norm")
@@ -216,63 +227,95 @@ def confidence(score: Column, margin: Column) -> Column:
     return F.round(unit(score / 100) * 0.75 + unit(margin / 20) * 0.25, 4)
 
 
-def resolve(titles: DataFrame, key: str, title: str, taxonomy: DataFrame, cfg: MatchConfig = CFG) -> DataFrame:
-    """One row per title: key, input, normalized_input, status, standardized, uri, similarity, confidence, margin,
-    match_type, matched_field, matched_text, second_best_score, alternatives, error.
+#: What a record carries besides its names, and what stands for it where the taxonomy has no such column.
+_DETAILS = {"isco_code": "", "definition": "", "taxonomy": "occupations", "source": "database"}
+
+
+def resolve(titles: DataFrame, key: str, title: str, taxonomy: DataFrame, cfg: MatchConfig = CFG, threshold: float | None = None, limit: int | None = None) -> DataFrame:
+    """One row per title: key, input, normalized_input, status, standardized, uri, isco_code, definition, taxonomy, source,
+    similarity, confidence, margin, match_type, matched_field, matched_text, second_best_similarity, second_best_score, alternatives, error.
 
     status is accepted, review, unresolved or ambiguous. An ambiguous or empty result has no standardized value;
-    an unresolved fuzzy one still names its best match.
+    an unresolved fuzzy one still names its best match. ``threshold`` and ``limit`` replace those of ``cfg`` for this call.
     """
+    cfg = replace(cfg, **{k: v for k, v in {"threshold": threshold, "limit": None if limit is None else min(limit, cfg.max_limit)}.items() if v is not None})
     text = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)^\s+|\s+$", "")
     rows = titles.select(F.col(key).alias("key"), text.alias("input"))
     rows = rows.withColumn("error", F.when(F.length("input") > cfg.max_query_length, f"title longer than {cfg.max_query_length}"))
     rows = rows.withColumn("norm", F.when(F.col("error").isNull(), normalise("input")))
     forms = rows.where("norm <> ''").select("norm").distinct()
-    term_rows = terms(taxonomy)
-    named = taxonomy.where(F.col("preferred_label").isNotNull()).groupBy(F.coalesce("uri", F.lit("")).alias("uri")).agg(F.max_by("preferred_label", "rec_seq").alias("label"))
+    details = [(F.coalesce(F.col(c), F.lit(x)) if c in taxonomy.columns else F.lit(x)).alias(c) for c, x in _DETAILS.items()]
+    named = taxonomy.where(F.col("preferred_label").isNotNull()).groupBy(F.coalesce("uri", F.lit("")).alias("uri")).agg(F.max_by(F.struct(F.col("preferred_label").alias("label"), *details), "rec_seq").alias("r")).select("uri", "r.*")
+    every_term = _term_rows(taxonomy).join(named.select("uri", "label"), "uri")
+    term_rows = every_term.where("not own")
 
     def hits(left: DataFrame, field: str) -> DataFrame:
         found = left.join(term_rows.where(F.col("field") == field), left["norm"] == term_rows["text"])
         many = F.count(F.lit(1)).over(Window.partitionBy("norm"))
         kind = F.lit("exact") if field == "preferred_label" else F.when(many > 1, "ambiguous").otherwise("alias")
-        return found.select("norm", "uri", "rec_seq", kind.alias("match_type"), F.lit(100.0).alias("similarity"), F.lit(100.0).alias("weighted"), F.col("term").alias("matched_text"), F.col("field").alias("matched_field"))
+        return found.select("norm", "uri", F.col("rec_seq").alias("rank"), kind.alias("match_type"), F.lit(100.0).alias("similarity"), F.lit(100.0).alias("weighted"), F.col("term").alias("matched_text"), F.col("field").alias("matched_field"))
 
     exact = hits(forms, "preferred_label")
     rest = forms.join(exact.select("norm").distinct(), "norm", "left_anti")
     alias = hits(rest, "alias")
     rest = rest.join(alias.select("norm").distinct(), "norm", "left_anti")
-    fuzzy = _fuzzy(rest, term_rows, cfg).withColumn("match_type", F.lit("fuzzy"))
-    seq = term_rows.groupBy("uri").agg(F.min("rec_seq").alias("rec_seq"))
-    fuzzy = fuzzy.join(seq, "uri").select(*exact.columns)
+    fuzzy = _fuzzy(rest, every_term, cfg).withColumn("match_type", F.lit("fuzzy")).select(*exact.columns)
     every = exact.unionByName(alias).unionByName(fuzzy).join(named, "uri")
-    # at most ``limit`` fuzzy rows, or the records that share a label or alias, per form
-    entry = F.struct((-F.col("weighted")).alias("o1"), (-F.col("similarity")).alias("o2"), F.col("rec_seq").alias("o3"), "uri", "label", "match_type", "similarity", "weighted", "matched_text", "matched_field")
-    best = every.groupBy("norm").agg(F.array_sort(F.collect_list(entry)).alias("m"))
+    # at most ``limit`` fuzzy rows in their rank, or the records that share a label or alias in their order, per form
+    shown = [F.col("label").alias("standardized"), "uri", *_DETAILS, "similarity", F.col("weighted").alias("weighted_score"), "match_type", "matched_field", "matched_text"]
+    best = every.groupBy("norm").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("o"), *shown))).alias("m"))
     one, two = F.element_at("m", 1), F.try_element_at("m", F.lit(2))
-    margin = one["weighted"] - F.coalesce(two["weighted"], F.lit(0.0))
+    margin = one["weighted_score"] - F.coalesce(two["weighted_score"], F.lit(0.0))
     ambiguous = one["match_type"] == "ambiguous"
     sure = one["match_type"].isin("exact", "alias")
+    score = one["weighted_score"]
     status = (
-        F.when(ambiguous, "ambiguous").when(sure, "accepted").when((one["weighted"] >= cfg.accept_threshold) & (margin >= cfg.accept_margin), "accepted")
-        .when((one["weighted"] >= cfg.review_threshold) & (margin >= cfg.review_margin), "review").otherwise("unresolved")
+        F.when(ambiguous, "ambiguous").when(sure, "accepted").when((score >= cfg.accept_threshold) & (margin >= cfg.accept_margin), "accepted")
+        .when((score >= cfg.review_threshold) & (margin >= cfg.review_margin), "review").otherwise("unresolved")
     )
-    shown = lambda c: F.when(~ambiguous, c)
+    shown = lambda c: F.when(~ambiguous, one[c]).alias(c)
+    second = lambda c: F.when(ambiguous, 0.0).otherwise(F.round(F.coalesce(two[c], F.lit(0.0)), 2))
     rest_of = F.when(ambiguous, F.col("m")).otherwise(F.slice("m", F.lit(2), F.greatest(F.size("m") - 1, F.lit(0))))
+    two_digits = lambda x: x.dropFields("o").withField("similarity", F.round(x["similarity"], 2)).withField("weighted_score", F.round(x["weighted_score"], 2))
     decided = best.select(
-        "norm", status.alias("status"), shown(one["label"]).alias("standardized"), shown(one["uri"]).alias("uri"), F.round(one["similarity"], 2).alias("similarity"),
-        F.when(ambiguous, 0.0).when(sure, 1.0).otherwise(confidence(one["weighted"], margin)).alias("confidence"), F.when(ambiguous, 0.0).otherwise(F.round(margin, 2)).alias("margin"),
-        one["match_type"].alias("match_type"), shown(one["matched_field"]).alias("matched_field"), shown(one["matched_text"]).alias("matched_text"),
-        F.when(~ambiguous, F.round(F.coalesce(two["weighted"], F.lit(0.0)), 2)).alias("second_best_score"), F.transform(rest_of, lambda x: x.dropFields("o1", "o2", "o3")).alias("alternatives"),
+        "norm", status.alias("status"), shown("standardized"), shown("uri"), *[shown(c) for c in _DETAILS], F.round(one["similarity"], 2).alias("similarity"),
+        F.when(ambiguous, 0.0).when(sure, 1.0).otherwise(confidence(score, margin)).alias("confidence"), F.when(ambiguous, 0.0).otherwise(F.round(margin, 2)).alias("margin"),
+        one["match_type"].alias("match_type"), shown("matched_field"), shown("matched_text"), second("similarity").alias("second_best_similarity"), second("weighted_score").alias("second_best_score"),
+        F.transform(rest_of, two_digits).alias("alternatives"),
     )
     out = rows.join(decided, "norm", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return out.select(
-        F.col("key").alias(key), "input", F.coalesce("norm", F.lit("")).alias("normalized_input"), F.coalesce("status", F.lit("unresolved")).alias("status"), "standardized", "uri",
-        zero("similarity"), zero("confidence"), zero("margin"), "match_type", "matched_field", "matched_text", zero("second_best_score"),
+        F.col("key").alias(key), "input", F.coalesce("norm", F.lit("")).alias("normalized_input"), F.coalesce("status", F.lit("unresolved")).alias("status"), "standardized", "uri", *_DETAILS,
+        zero("similarity"), zero("confidence"), zero("margin"), "match_type", "matched_field", "matched_text", zero("second_best_similarity"), zero("second_best_score"),
         F.coalesce("alternatives", F.array().cast(decided.schema["alternatives"].dataType)).alias("alternatives"), "error",
     )
 
 
+def resolve_cached(titles: DataFrame, key: str, title: str, taxonomy: DataFrame, cached: DataFrame | None, cfg: MatchConfig = CFG) -> tuple[DataFrame, DataFrame]:
+    """(results of all titles, the new entries for the cache).
+
+    ``cached`` has cache_key, result (a struct as :func:`resolve` gives, without key and input), resolved_at and expires_at; entries that have
+    expired are passed over, of several the last resolved holds. Only titles without an entry are resolved, once per
+    normalised form, by an anti join; results have ``cache_hit``. New entries live shorter if they name nothing.
+    """
+    text = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)^\s+|\s+$", "")
+    rows = titles.select(F.col(key).alias("key"), text.alias("input")).withColumn("norm", normalise("input")).withColumn("cache_key", cache_key(F.col("norm"), cfg))
+    known = None
+    if cached is not None:
+        known = cached.where(F.col("expires_at") > F.current_timestamp()).groupBy("cache_key").agg(F.max_by("result", "resolved_at").alias("result"))
+    asked = rows.groupBy("cache_key").agg(F.min("input").alias("input"))
+    asked = asked.join(known.select("cache_key"), "cache_key", "left_anti") if known is not None else asked
+    done = resolve(asked, "cache_key", F.col("input"), taxonomy, cfg)
+    fields = [c for c in done.columns if c not in ("cache_key", "input")]
+    fresh = done.select("cache_key", F.struct(*fields).alias("result"), F.lit(False).alias("cache_hit"))
+    every = fresh if known is None else fresh.unionByName(known.select("cache_key", "result", F.lit(True).alias("cache_hit")))
+    out = rows.join(every, "cache_key").select(F.col("key").alias(key), "input", "result.*", "cache_hit")
+    now = F.current_timestamp()
+    entries = fresh.select("cache_key", "result", now.alias("resolved_at"), (now + F.make_interval(secs=ttl(F.col("result.status"), cfg).cast("decimal(18,6)"))).alias("expires_at"))
+    return out, entries
+
+
 def cache_key(query: Column, cfg: MatchConfig = CFG) -> Column:
     """prefix:version:sha256 of the query with its parameters, as sorted JSON."""
     text = F.concat(F.lit(f'{{"limit": {cfg.limit}, "query": '), F.regexp_replace(F.to_json(F.array(query)), r"^\[|\]$", ""), F.lit(f', "threshold": {float(cfg.threshold)}, "version": "{cfg.cache_version}"}}'))
@@ -284,13 +327,14 @@ def ttl(status: Column, cfg: MatchConfig = CFG) -> Column:
 
 
 def summary(resolved: DataFrame) -> DataFrame:
-    """(status, match_type, n): counters of a resolved table."""
-    return resolved.groupBy("status", "match_type").agg(F.count(F.lit(1)).alias("n"))
+    """(status, match_type, n): counters of a resolved table; with ``cache_hit`` (see :func:`resolve_cached`) also hits and misses of the cache."""
+    extra = [F.count_if("cache_hit").alias("cache_hits"), F.count_if(~F.col("cache_hit")).alias("cache_misses")] if "cache_hit" in resolved.columns else []
+    return resolved.groupBy("status", "match_type").agg(F.count(F.lit(1)).alias("n"), *extra)
 
 
 def search(resolved: DataFrame, key: str) -> DataFrame:
     """(key, rank, preferred_label, uri, weighted_score): the best match and its alternatives as rows; nothing for titles without a standardized value."""
     first = F.struct(F.col("standardized").alias("preferred_label"), F.col("uri"), F.col("similarity").alias("weighted_score"))
-    rest = F.transform("alternatives", lambda a: F.struct(a["label"].alias("preferred_label"), a["uri"].alias("uri"), a["weighted"].alias("weighted_score")))
+    rest = F.transform("alternatives", lambda a: F.struct(a["standardized"].alias("preferred_label"), a["uri"].alias("uri"), a["weighted_score"].alias("weighted_score")))
     rows = resolved.where("standardized is not null").select(key, F.posexplode(F.concat(F.array(first), rest)).alias("rank", "x"))
     return rows.select(key, (F.col("rank") + 1).alias("rank"), "x.*")
