@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalake.config import TextConfig
 from vitalake.functions import json_text
 from vitalake.functions import text as T
 
@@ -55,14 +56,14 @@ def rule_extractor() -> Extractor:
     return lambda docs: [one(x) for x in docs]
 
 
-def extract(df: DataFrame, key: str, text: str, factory: Callable[[], Extractor] = rule_extractor, prompted: bool = False) -> DataFrame:
+def extract(df: DataFrame, key: str, text: str, factory: Callable[[], Extractor] = rule_extractor, prompted: bool = False, cfg: TextConfig = T.CFG) -> DataFrame:
     """(key, record, error): one row per row of ``df``.
 
     The baseline gets the text and its sections as JSON; with ``prompted`` the extractor gets a prompt, and what
     follows the last marker in its answer is read, up to the end of the first object.
     """
     kind = dict(df.dtypes)[key]
-    given = prompt(F.col(text)) if prompted else F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("text"), T.sections(F.coalesce(text, F.lit(""))).alias("sections")))
+    given = prompt(F.col(text)) if prompted else F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("text"), T.sections(F.coalesce(text, F.lit("")), cfg).alias("sections")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         work = factory()

@@ -227,6 +227,23 @@ def confidence(score: Column, margin: Column) -> Column:
     return F.round(unit(score / 100) * 0.75 + unit(margin / 20) * 0.25, 4)
 
 
+def title_form(title: Column, cfg: MatchConfig = CFG) -> Column:
+    """The normalised form under which a title is looked up; null for over-long ones."""
+    text = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.when(F.length(text) <= cfg.max_query_length, normalise(text))
+
+
+def sure_hits(forms: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """``forms`` (norm and other columns) with uri, rec_seq, match_type, matched_text and matched_field of all records whose label, or
+    else whose alias, a form is; an alias of several records is ``ambiguous``. Forms that are neither have no row."""
+    rows = terms(taxonomy)
+    best = rows.groupBy("text").agg(F.min(F.when(F.col("field") == "preferred_label", 0).otherwise(1)).alias("kind"))
+    many = F.count(F.lit(1)).over(Window.partitionBy("text"))
+    kept = rows.join(best, "text").where((F.col("kind") == 1) | (F.col("field") == "preferred_label"))
+    kind = F.when(F.col("kind") == 0, "exact").when(many > 1, "ambiguous").otherwise("alias")
+    return forms.join(kept.select(F.col("text").alias("norm"), "uri", "rec_seq", kind.alias("match_type"), F.col("term").alias("matched_text"), F.col("field").alias("matched_field")), "norm")
+
+
 #: What a record carries besides its names, and what stands for it where the taxonomy has no such column.
 _DETAILS = {"isco_code": "", "definition": "", "taxonomy": "occupations", "source": "database"}
 
@@ -247,20 +264,10 @@ def resolve(titles: DataFrame, key: str, title: str, taxonomy: DataFrame, cfg: M
     details = [(F.coalesce(F.col(c), F.lit(x)) if c in taxonomy.columns else F.lit(x)).alias(c) for c, x in _DETAILS.items()]
     named = taxonomy.where(F.col("preferred_label").isNotNull()).groupBy(F.coalesce("uri", F.lit("")).alias("uri")).agg(F.max_by(F.struct(F.col("preferred_label").alias("label"), *details), "rec_seq").alias("r")).select("uri", "r.*")
     every_term = _term_rows(taxonomy).join(named.select("uri", "label"), "uri")
-    term_rows = every_term.where("not own")
-
-    def hits(left: DataFrame, field: str) -> DataFrame:
-        found = left.join(term_rows.where(F.col("field") == field), left["norm"] == term_rows["text"])
-        many = F.count(F.lit(1)).over(Window.partitionBy("norm"))
-        kind = F.lit("exact") if field == "preferred_label" else F.when(many > 1, "ambiguous").otherwise("alias")
-        return found.select("norm", "uri", F.col("rec_seq").alias("rank"), kind.alias("match_type"), F.lit(100.0).alias("similarity"), F.lit(100.0).alias("weighted"), F.col("term").alias("matched_text"), F.col("field").alias("matched_field"))
-
-    exact = hits(forms, "preferred_label")
-    rest = forms.join(exact.select("norm").distinct(), "norm", "left_anti")
-    alias = hits(rest, "alias")
-    rest = rest.join(alias.select("norm").distinct(), "norm", "left_anti")
-    fuzzy = _fuzzy(rest, every_term, cfg).withColumn("match_type", F.lit("fuzzy")).select(*exact.columns)
-    every = exact.unionByName(alias).unionByName(fuzzy).join(named, "uri")
+    sure = sure_hits(forms, taxonomy).select("norm", "uri", F.col("rec_seq").alias("rank"), "match_type", F.lit(100.0).alias("similarity"), F.lit(100.0).alias("weighted"), "matched_text", "matched_field")
+    rest = forms.join(sure.select("norm").distinct(), "norm", "left_anti")
+    fuzzy = _fuzzy(rest, every_term, cfg).withColumn("match_type", F.lit("fuzzy")).select(*sure.columns)
+    every = sure.unionByName(fuzzy).join(named, "uri")
     # at most ``limit`` fuzzy rows in their rank, or the records that share a label or alias in their order, per form
     shown = [F.col("label").alias("standardized"), "uri", *_DETAILS, "similarity", F.col("weighted").alias("weighted_score"), "match_type", "matched_field", "matched_text"]
     best = every.groupBy("norm").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("o"), *shown))).alias("m"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from vitalake.config import MatchConfig
 from vitalake.functions import json_text
 from vitalake.functions import text as T
 from vitalake.operators import career, documents, extraction, matching
-from vitalake.plans import date_sql, problems
+from vitalake.plans import date_sql, match_sql, problems
 from vitalake.session import table
 
 AS_OF = "2025-01-01"
@@ -188,20 +190,13 @@ def text_paragraphs(spark, d):
     return p.where("text is not null").withColumn("r", F.struct(out.alias("t"), n.alias("n"))).select("pdf_id", F.col("r.t").alias("text"), F.col("r.n").alias("n"))
 
 
-def _headed():
-    c = F.col("text")
-    for old, new in _HEADINGS:
-        c = F.replace(c, F.lit(f"\n{old}\n"), F.lit(f"\n{new}\n"))
-    return c
-
-
-#: Headings of the test texts, put in the words that the section splitter knows.
-_HEADINGS = (("Experience", "Work Experience"), ("Training", "Education"), ("Duties:", "Skills:"), ("Summary", "Certificates"))
+#: Section headings of these tables beside the known ones.
+_CFG = replace(T.CFG, sections=tuple((n, (*words, *more)) for (n, words), more in zip(T.CFG.sections, (("experience", "erfahrung", "berufserfahrung"), ("training", "ausbildung"), ("duties", "aufgaben"), ("summary",)))))
 
 
 def text_sections(spark, d):
-    p = table(spark, d, "pdf_results").where("text is not null").select("pdf_id", _headed().alias("text"))
-    return p.select("pdf_id", T.sections(F.col("text")).alias("s")).select("pdf_id", *[F.col("s")[n].alias(n) for n in ("work", "education", "skills", "certificates")])
+    p = table(spark, d, "pdf_results").where("text is not null")
+    return p.select("pdf_id", T.sections(F.col("text"), _CFG).alias("s")).select("pdf_id", *[F.col("s")[n].alias(n) for n in ("work", "education", "skills", "certificates")])
 
 
 def text_truncate(spark, d):
@@ -210,7 +205,12 @@ def text_truncate(spark, d):
 
 
 def text_pipeline(spark, d):
-    return T.post_process(_texts(spark, d), "text").select("post_id", "processed", "stats", "sections", "error")
+    """All stages with their counts, the statistics and the sections as columns."""
+    p = T.post_process(_texts(spark, d), "text", _CFG)
+    counts = {"n_unicode": "normalize_unicode", "n_ocr": "fix_ocr_errors", "n_merges": "fill_broken_paragraphs", "n_blanks": "normalize_whitespace", "n_empty": "remove_empty_lines"}
+    rest = ("input_lines", "output_lines", "text_reduction_ratio", "sections_found", "detected_language")
+    shown = [F.when(F.col("error").isNull(), F.col("stats")[k]).alias(c) for c, k in {**counts, **{c: c for c in rest}}.items()]
+    return p.select("post_id", "processed", *shown, *[F.col("sections")[n].alias(n) for n in ("work", "education", "skills", "certificates")], "error")
 
 
 _ENDS = r"[.!?:]$"
@@ -218,10 +218,26 @@ _BULLET = T.CFG.bullet
 _LE = T.LINE_END
 
 
-def _lines_sql(source: str) -> str:
+def _lines_sql(source: str, p: str = "") -> str:
     """Lines of a table (id, text): split at every line end, one empty line after the last end left out."""
-    return f"""parts AS (SELECT id, text, regexp_split_to_array(text, '{_LE}') AS a FROM {source}), cut AS (SELECT id, text, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM parts),
-lines AS (SELECT id, text, i, regexp_replace(a[i], '^{WS}+|{WS}+$', '', 'g') AS l FROM (SELECT id, text, a, unnest(range(1, len(a) + 1)) AS i FROM cut))"""
+    return f"""{p}parts AS (SELECT id, text, regexp_split_to_array(text, '{_LE}') AS a FROM {source}), {p}cut AS (SELECT id, text, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM {p}parts),
+{p}lines AS (SELECT id, text, i, regexp_replace(a[i], '^{WS}+|{WS}+$', '', 'g') AS l FROM (SELECT id, text, a, unnest(range(1, len(a) + 1)) AS i FROM {p}cut))"""
+
+
+def _refill_sql(lines: str, fa: str, p: str = "") -> str:
+    """CTEs that end in g (id, t, n): paragraphs and merges of the lines; ``fa`` tells Persian texts."""
+    return f"""{p}k AS (SELECT id, i, l, l = '' AS blank, regexp_matches(l, '{_BULLET}') AS bullet, CASE WHEN {fa} THEN regexp_matches(l, '[.!?:؟]$') ELSE regexp_matches(l, '{_ENDS}') END AS ends, max(i) OVER (PARTITION BY id) AS last FROM {lines}),
+{p}b AS (SELECT *, NOT blank AND (bullet OR coalesce(lag(blank OR bullet OR ends) OVER (PARTITION BY id ORDER BY i), true)) AS new FROM {p}k),
+{p}s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS seg FROM {p}b),
+{p}p AS (SELECT id, seg, string_agg(l, ' ' ORDER BY i) AS t, count(*) AS c, arg_max(ends, i) AS ends, bool_or(bullet) AS bullet, max(i) = max(last) AS final FROM {p}s WHERE NOT blank GROUP BY id, seg),
+{p}g AS (SELECT id, string_agg(t, chr(10) ORDER BY seg) AS t, sum(CASE WHEN NOT bullet AND (ends OR final) THEN c - 1 ELSE 0 END) AS n FROM {p}p GROUP BY id)"""
+
+
+def _sections_sql(lines: str, p: str = "") -> str:
+    """CTEs that end in last (id, head, body): the sections of the lines."""
+    return f"""{p}h AS (SELECT id, i, l, {_HEADING_CASE} AS head FROM {lines} WHERE l <> ''), {p}bl AS (SELECT *, count(head) OVER (PARTITION BY id ORDER BY i) AS block FROM {p}h),
+{p}one AS (SELECT id, block, max(head) AS head, string_agg(l, chr(10) ORDER BY i) FILTER (WHERE head IS NULL) AS body FROM {p}bl WHERE block > 0 GROUP BY id, block),
+{p}last AS (SELECT id, head, arg_max(body, block) AS body FROM {p}one WHERE coalesce(body, '') <> '' GROUP BY id, head)"""
 
 
 _FA = "length(regexp_replace({0}, '[^\\x{{0600}}-\\x{{06FF}}]', '', 'g')) > length({0}) * 0.1"
@@ -237,10 +253,19 @@ def _chain(c: str, pairs) -> tuple[str, str]:
 
 _EN_OUT, _EN_N = _chain("text", T.CFG.ocr_en)
 _FA_OUT, _FA_N = _chain("text", T.CFG.ocr_fa)
-_HEAD_SQL = "text"
-for _o, _n in _HEADINGS:
-    _HEAD_SQL = f"replace({_HEAD_SQL}, chr(10) || '{_o}' || chr(10), chr(10) || '{_n}' || chr(10))"
-_HEADING_CASE = "CASE " + " ".join(f"WHEN regexp_matches(l, '(?i)^\\s*(?:{'|'.join(w)})\\s*:?\\s*$') THEN '{n}'" for n, w in T.CFG.sections) + " END"
+_HEADING_CASE = "CASE " + " ".join(f"WHEN regexp_matches(l, '(?i)^\\s*(?:{'|'.join(w)})\\s*:?\\s*$') THEN '{n}'" for n, w in _CFG.sections) + " END"
+_SECTIONS = ("work", "education", "skills", "certificates")
+_SQUEEZE = r"regexp_replace(regexp_replace(regexp_replace({0}, '[ \t]+', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+_EMPTY = "(SELECT id, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE l <> ''), '') AS t, CAST(count_if(l = '') AS INTEGER) AS n FROM {0} GROUP BY id)"
+
+_PIPELINE = f"""{match_sql.nfkc("post_results")}, src AS (SELECT post_id AS id, p.text AS text0, plain.folded AS text, CASE WHEN length(p.text) > 0 AND {_FA.format('p.text')} THEN 'fa' ELSE 'en' END AS lang FROM post_results p JOIN plain USING (text) WHERE length(p.text) <= {T.CFG.max_text_length}),
+ocr AS (SELECT id, lang, CASE WHEN lang = 'fa' THEN {_FA_OUT} ELSE {_EN_OUT} END AS text, CASE WHEN lang = 'fa' THEN {_FA_N} ELSE {_EN_N} END AS n FROM src), {_lines_sql("ocr", "o")}, ol AS (SELECT olines.*, lang FROM olines JOIN (SELECT id, lang FROM ocr) USING (id)), {_refill_sql("ol", "lang = 'fa'", "r")},
+sq AS (SELECT id, coalesce(rg.t, '') AS before, {_SQUEEZE.format("coalesce(rg.t, '')")} AS text, coalesce(rg.n, 0) AS merges FROM ocr LEFT JOIN rg USING (id)), {_lines_sql("sq", "q")}, de AS {_EMPTY.format("qlines")},
+done AS (SELECT sq.id, coalesce(de.t, '') AS text, coalesce(de.n, 0) AS n_empty, sq.merges, abs(length(sq.before) - length(sq.text)) AS n_blanks FROM sq LEFT JOIN de USING (id)), {_lines_sql("done", "d")}, {_sections_sql("dlines", "s")}, {_lines_sql("(SELECT id, text0 AS text FROM src)", "i")},
+pipe AS (SELECT src.id, done.text AS processed, CAST(src.text0 <> src.text AS INTEGER) AS n_unicode, CAST(ocr.n AS INTEGER) AS n_ocr, CAST(merges AS INTEGER) AS n_merges, CAST(n_blanks AS INTEGER) AS n_blanks, CAST(n_empty AS INTEGER) AS n_empty,
+ CAST(coalesce((SELECT count(*) FROM ilines WHERE ilines.id = src.id), 0) AS INTEGER) AS input_lines, CAST(coalesce((SELECT count(*) FROM dlines WHERE dlines.id = src.id), 0) AS INTEGER) AS output_lines,
+ CASE WHEN length(text0) > 0 THEN CAST(round(CAST(1 - length(done.text) / length(text0) AS DECIMAL(24, 18)), 4) AS DOUBLE) ELSE 0.0 END AS text_reduction_ratio, CAST((SELECT count(*) FROM slast WHERE slast.id = src.id) AS INTEGER) AS sections_found, src.lang AS detected_language
+ FROM src JOIN ocr ON ocr.id = src.id JOIN done ON done.id = src.id)"""
 
 TEXT_SQL = {
     "text_language": f"SELECT post_id, CASE WHEN length(text) > 0 AND {_FA.format('text')} THEN 'fa' ELSE 'en' END AS lang FROM post_results",
@@ -249,17 +274,12 @@ TEXT_SQL = {
 SELECT p.pdf_id, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(t, '') END AS text, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(n, 0) END AS n FROM pdf_results p LEFT JOIN g ON g.id = p.pdf_id""",
     "text_ocr_fix": f"""SELECT post_id, lang, CASE WHEN lang = 'fa' THEN {_FA_OUT} ELSE {_EN_OUT} END AS text, CAST(CASE WHEN lang = 'fa' THEN {_FA_N} ELSE {_EN_N} END AS INTEGER) AS n
 FROM (SELECT post_id, text, CASE WHEN length(text) > 0 AND {_FA.format('text')} THEN 'fa' ELSE 'en' END AS lang FROM post_results)""",
-    "text_paragraphs": f"""WITH src AS (SELECT pdf_id AS id, text FROM pdf_results WHERE text IS NOT NULL), {_lines_sql("src")},
-k AS (SELECT id, i, l, l = '' AS blank, regexp_matches(l, '{_BULLET}') AS bullet, CASE WHEN length(text) > 0 AND {_FA.format('text')} THEN regexp_matches(l, '[.!?:؟]$') ELSE regexp_matches(l, '{_ENDS}') END AS ends, max(i) OVER (PARTITION BY id) AS last FROM lines),
-b AS (SELECT *, NOT blank AND (bullet OR coalesce(lag(blank OR bullet OR ends) OVER (PARTITION BY id ORDER BY i), true)) AS new FROM k),
-s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS seg FROM b),
-p AS (SELECT id, seg, string_agg(l, ' ' ORDER BY i) AS t, count(*) AS c, arg_max(ends, i) AS ends, bool_or(bullet) AS bullet, max(i) = max(last) AS final FROM s WHERE NOT blank GROUP BY id, seg),
-g AS (SELECT id, string_agg(t, chr(10) ORDER BY seg) AS t, sum(CASE WHEN NOT bullet AND (ends OR final) THEN c - 1 ELSE 0 END) AS n FROM p GROUP BY id)
+    "text_paragraphs": f"""WITH src AS (SELECT pdf_id AS id, text FROM pdf_results WHERE text IS NOT NULL), {_lines_sql("src")}, {_refill_sql("lines", f"length(text) > 0 AND {_FA.format('text')}")}
 SELECT src.id AS pdf_id, coalesce(g.t, '') AS text, CAST(coalesce(g.n, 0) AS INTEGER) AS n FROM src LEFT JOIN g USING (id)""",
-    "text_sections": f"""WITH src AS (SELECT pdf_id AS id, {_HEAD_SQL} AS text FROM pdf_results WHERE text IS NOT NULL), {_lines_sql("src")}, h AS (SELECT id, i, l, {_HEADING_CASE} AS head FROM lines WHERE l <> ''),
-bl AS (SELECT *, count(head) OVER (PARTITION BY id ORDER BY i) AS block FROM h), one AS (SELECT id, block, max(head) AS head, string_agg(l, chr(10) ORDER BY i) FILTER (WHERE head IS NULL) AS body FROM bl WHERE block > 0 GROUP BY id, block),
-last AS (SELECT id, head, arg_max(body, block) AS body FROM one WHERE coalesce(body, '') <> '' GROUP BY id, head)
-SELECT src.id AS pdf_id, {", ".join(f"coalesce((SELECT body FROM last WHERE last.id = src.id AND head = '{n}'), '') AS {n}" for n in ("work", "education", "skills", "certificates"))} FROM src""",
+    "text_sections": f"""WITH src AS (SELECT pdf_id AS id, text FROM pdf_results WHERE text IS NOT NULL), {_lines_sql("src")}, {_sections_sql("lines")}
+SELECT src.id AS pdf_id, {", ".join(f"coalesce((SELECT body FROM last WHERE last.id = src.id AND head = '{n}'), '') AS {n}" for n in _SECTIONS)} FROM src""",
+    "text_pipeline": f"""WITH {_PIPELINE} SELECT p.post_id, {", ".join(c for c in ("processed", "n_unicode", "n_ocr", "n_merges", "n_blanks", "n_empty", "input_lines", "output_lines", "text_reduction_ratio", "sections_found", "detected_language"))},
+ {", ".join(f"CASE WHEN pipe.id IS NOT NULL THEN coalesce((SELECT body FROM slast WHERE slast.id = p.post_id AND head = '{n}'), '') END AS {n}" for n in _SECTIONS)}, CASE WHEN p.text IS NULL THEN 'text is null' WHEN length(p.text) > {T.CFG.max_text_length} THEN 'text too long' END AS error FROM post_results p LEFT JOIN pipe ON pipe.id = p.post_id""",
     "text_truncate": """SELECT post_id, CASE WHEN length(text) > 200 THEN (CASE WHEN strpos(h, ' ') > 0 AND length(h) - strpos(reverse(h), ' ') > 0 THEN substr(h, 1, length(h) - strpos(reverse(h), ' ')) ELSE h END) || chr(10) || chr(10) || '...[TRUNCATED]' ELSE text END AS text,
 CAST(length(text) AS INTEGER) AS total_chars, length(text) > 200 AS truncated FROM (SELECT post_id, text, substr(text, 1, 200) AS h FROM post_results)""",
 }
@@ -273,8 +293,14 @@ def json_first_object(spark, d):
 
 
 def extract_records(spark, d):
-    p = table(spark, d, "pdf_results").select("pdf_id", _headed().alias("text"))
-    return extraction.extract(p, "pdf_id", "text")
+    """Records of all texts by the rule-based extractor, the parts of each as columns."""
+    e = extraction.extract(table(spark, d, "pdf_results").select("pdf_id", "text"), "pdf_id", "text", cfg=_CFG)
+    r = F.col("record")
+    joined = lambda c: F.array_join(c, "|")
+    return e.select(
+        "pdf_id", *[r["personal_information"][c].alias(c) for c in ("email", "phone", "website")], joined(r["skills"]["name"]).alias("skills"), joined(r["education"]["degree"]).alias("degrees"),
+        joined(r["experience"]["description"]).alias("experience"), joined(r["certificates"]["name"]).alias("certificates"), "error",
+    )
 
 
 def pdf_pages(spark, d):
@@ -294,6 +320,21 @@ def occ_resolve(spark, d):
     return matching.resolve(r, "result_id", F.col("input"), table(spark, d, "occupations"))
 
 
+def occ_resolve_ratio(spark, d):
+    """The whole cascade with the plain ratio, which SQL can express."""
+    r = table(spark, d, "resolution_results").select("result_id", "input")
+    out = matching.resolve(r, "result_id", F.col("input"), table(spark, d, "occupations"), MatchConfig(scorer="ratio"))
+    shown = ("result_id", "status", "uri", "standardized", "similarity", "confidence", "margin", "match_type", "matched_field", "matched_text", "second_best_score")
+    return out.select(*shown, F.size("alternatives").alias("n_alternatives"))
+
+
+def occ_sure(spark, d):
+    """Titles that are a label or an alias, and the records they name: one row per title and record."""
+    r = table(spark, d, "resolution_results").select("result_id", "input")
+    hits = matching.sure_hits(r.select("result_id", matching.title_form(F.col("input")).alias("norm")).where("norm <> ''"), table(spark, d, "occupations"))
+    return hits.select("result_id", "uri", "match_type", "matched_field", "matched_text", "rec_seq")
+
+
 def occ_status_counts(spark, d):
     return matching.summary(occ_resolve(spark, d))
 
@@ -331,6 +372,13 @@ x AS (SELECT uri, rec_seq, 'preferred_label' AS field, r.l AS term FROM last UNI
 n AS (SELECT uri, rec_seq, field, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(term), 'ß', 'ss'), '[-‐‑‒–—―]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM x),
 own AS (SELECT uri, text AS own FROM n WHERE field = 'preferred_label')
 SELECT text, field, n.uri, min(rec_seq) AS rec_seq FROM n JOIN own ON own.uri = n.uri WHERE text <> '' AND (field = 'preferred_label' OR text <> own) GROUP BY text, field, n.uri""",
+    "extract_records": f"""WITH src AS (SELECT pdf_id AS id, coalesce(text, '') AS text FROM pdf_results), {_lines_sql("src")}, {_sections_sql("lines")},
+x AS (SELECT id, head, unnest(string_split(body, chr(10))) AS l, unnest(range(len(string_split(body, chr(10))))) AS i FROM last), y AS (SELECT id, head, i, regexp_replace(regexp_replace(l, '^[-*•]{WS}*', ''), '^{WS}+|{WS}+$', '', 'g') AS l FROM x),
+z AS (SELECT id, head, string_agg(l, '|' ORDER BY i) AS t FROM y WHERE l <> '' GROUP BY id, head)
+SELECT id AS pdf_id, nullif(regexp_extract(text, '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_-]+(?:\\.[\\p{{L}}\\p{{N}}_-]+)+'), '') AS email, nullif(regexp_extract(text, '\\+?\\p{{Nd}}[\\p{{Nd}} ()./-]{{7,}}\\p{{Nd}}'), '') AS phone, nullif(regexp_extract(text, '\\b(?:https?://|www\\.)[^\\s\\x{{A0}}]+'), '') AS website,
+ {", ".join(f"coalesce((SELECT t FROM z WHERE z.id = src.id AND head = '{h}'), '') AS {c}" for h, c in (("skills", "skills"), ("education", "degrees"), ("work", "experience"), ("certificates", "certificates")))}, CAST(NULL AS VARCHAR) AS error FROM src""",
+    "occ_resolve_ratio": match_sql.RATIO,
+    "occ_sure": match_sql.SURE,
     "pdf_pages": f"""WITH p AS (SELECT CAST(pdf_id AS VARCHAR) AS path, string_split(text, chr(12)) AS a FROM pdf_results WHERE text IS NOT NULL), u AS (SELECT path, unnest(a) AS t, unnest(range(1, len(a) + 1)) AS i FROM p),
 g AS (SELECT path, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (WHERE regexp_replace(t, '^{WS}+|{WS}+$', '', 'g') <> ''), '') AS t, CAST(count(*) AS INTEGER) AS page_count, count_if(regexp_replace(t, '^{WS}+|{WS}+$', '', 'g') <> '') = 0 AS ocr_required FROM u GROUP BY path)
 SELECT path, t AS text, CAST(length(t) AS INTEGER) AS total_chars, length(t) > 500000 AS truncated, page_count, ocr_required FROM g""",
@@ -345,7 +393,7 @@ QUERIES = {
     "career_type_filter": career_type_filter, "career_event_duration": career_event_duration, "career_merged_intervals": career_merged_intervals, "career_gaps": career_gaps, "career_metrics": career_metrics,
     "career_trends": career_trends, "career_scores": career_scores, "career_interpretation": career_interpretation, "career_analysis": career_analysis, "career_payload": career_payload, "career_parse_duration": career_parse_duration,
     "text_language": text_language, "text_whitespace": text_whitespace, "text_drop_empty": text_drop_empty, "text_ocr_fix": text_ocr_fix, "text_paragraphs": text_paragraphs, "text_sections": text_sections, "text_truncate": text_truncate,
-    "text_pipeline": text_pipeline, "json_first_object": json_first_object, "extract_records": extract_records, "pdf_pages": pdf_pages, "occ_terms": occ_terms, "occ_resolve": occ_resolve, "occ_status_counts": occ_status_counts, "occ_search": occ_search, "occ_cache_key": occ_cache_key, "occ_ttl": occ_ttl,
+    "text_pipeline": text_pipeline, "json_first_object": json_first_object, "extract_records": extract_records, "pdf_pages": pdf_pages, "occ_terms": occ_terms, "occ_resolve": occ_resolve, "occ_resolve_ratio": occ_resolve_ratio, "occ_sure": occ_sure, "occ_status_counts": occ_status_counts, "occ_search": occ_search, "occ_cache_key": occ_cache_key, "occ_ttl": occ_ttl,
     "val_file_rules": val_file_rules,
 }
 ORACLES = {**CAREER_SQL, **TEXT_SQL, **OTHER_SQL}
