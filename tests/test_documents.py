@@ -1,6 +1,8 @@
 import io
+import sys
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from vitalake.operators import documents, extraction
@@ -116,3 +118,76 @@ def test_extraction(spark):
     echo = lambda: lambda prompts: [p + ' sure: {"skills": [{"name": "x"}]} bye' if "Ann" in p else "no" for p in prompts]
     got = {r["id"]: r for r in extraction.extract(df, "id", "text", echo, prompted=True).collect()}
     assert got[1]["record"]["skills"][0]["name"] == "x" and got[2]["error"] == "invalid JSON" and got[2]["record"] is None
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers do not have the tests
+
+
+class Page:
+    def __init__(self, text, plain=None, fail=False):
+        self.text, self.plain, self.fail = text, plain, fail
+
+    def extract_text(self, extraction_mode=None):
+        if self.fail:
+            raise ValueError("broken page")
+        return self.text if extraction_mode else self.plain
+
+
+class OldPage:
+    def extract_text(self):
+        return "old"
+
+
+class Reader:
+    """A stand-in for a PDF parser: the file's second line names the pages."""
+
+    is_encrypted = False
+
+    def __init__(self, raw):
+        kind = raw.split(b"\n")[1].decode()
+        if kind == "bad":
+            raise ValueError("no such thing")
+        self.is_encrypted = kind == "secret"
+        pages = {"mixed": [Page("ﬁrst   page\r\n\n\n\n end "), Page("", "plain text"), Page("", ""), Page("x", fail=True), OldPage()], "scan": [Page("", ""), Page("", "")], "none": []}
+        self.pages = pages.get(kind, [])
+        self.metadata = {"/Title": "A title", "/CreationDate": "D:2019"} if kind == "mixed" else None
+
+
+def pdfs(spark):
+    rows = [(f"/in/{k}.pdf", f"%PDF-1.4\n{k}\n".encode()) for k in ("mixed", "scan", "none", "bad", "secret")]
+    return spark.createDataFrame([(p, len(c), bytearray(c)) for p, c in rows], "path string, length bigint, content binary")
+
+
+def test_pdf_text_and_metadata_through_a_backend(spark):
+    files = pdfs(spark)
+    pages = documents.pdf_pages(files, Reader)
+    got = {(r["path"][4:-4], r["page_no"]): r for r in pages.collect()}
+    assert [got["mixed", n]["text"] for n in (1, 2, 3, 4, 5)] == ["first page\n\n end", "plain text", "", "", "old"]
+    assert [got["mixed", n]["failed"] for n in (3, 4)] == [False, True] and "no such thing" in got["bad", 0]["error"] and "Encrypted" in got["secret", 0]["error"]
+    meta = got["mixed", 1]["metadata"]
+    assert (meta["filename"], meta["title"], meta["creation_date"], meta["author"]) == ("mixed.pdf", "A title", "D:2019", None)
+    docs = {r["path"][4:-4]: r for r in documents.collect_pages(pages.where("error is null")).collect()}
+    assert docs["mixed"]["text"] == "first page\n\n end\n\nplain text\n\nold" and docs["mixed"]["failed_pages"] == [4] and docs["scan"]["ocr_required"] and not docs["mixed"]["ocr_required"]
+    kept = documents.collect_pages(pages.where("path like '%mixed%'"), keep_empty_pages=True).collect()[0]
+    assert kept["text"] == "first page\n\n end\n\nplain text\n\n\n\nold" and kept["page_count"] == 5
+    assert {r["path"][4:-4]: r["has_text"] for r in documents.pdf_has_text(files, Reader).collect()} == {"mixed": True, "scan": False, "none": False, "bad": False, "secret": False}
+
+
+def test_each_pdf_is_opened_once(spark, tmp_path):
+    log = tmp_path / "opened"
+
+    def backend(raw):
+        with log.open("a") as f:
+            f.write("x")
+        return Reader(raw)
+
+    got = {r["path"][4:-4]: (r["success"], r["text"], r["error"]) for r in documents.process(pdfs(spark), backend=backend).collect()}
+    assert log.read_text() == "xxxxx"
+    assert got["mixed"][0] and "plain text" in got["mixed"][1] and got["scan"][:2] == (True, "")
+    assert not got["none"][0] and "no pages" in got["none"][2] and "no such thing" in got["bad"][2] and "Encrypted" in got["secret"][2]
+
+
+def test_paths(spark):
+    rows = [("/in/a.pdf", None), ("/in/a.pdf/", 5), ("/in/../a.pdf", 5)]
+    df = spark.createDataFrame([(p, n, bytearray(b"%PDF")) for p, n in rows], "path string, length bigint, header binary")
+    assert [r["failure_reason"] for r in documents.cheap_checks(df).collect()] == ["File does not exist", "Path is not a file", "Path traversal detected"]

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine word of rows at a time."""
@@ -93,3 +97,17 @@ SCORERS: dict[str, Callable[[str, str], float]] = {
 def scorer(name: str) -> Callable[[str, str], float]:
     """The scorer of that name; unknown names give the weighted ratio."""
     return SCORERS.get(name, weighted_ratio)
+
+
+def _batched(score: Callable[[str, str], float]):
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([score(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")
+
+    return F.pandas_udf(run, "double")
+
+
+def register(spark: SparkSession, prefix: str = "sim_") -> list[str]:
+    """Makes every scorer callable from SQL (``sim_wratio(a, b)`` and so on), in Arrow batches; null where a side is null. Gives the names."""
+    for name, score in SCORERS.items():
+        spark.udf.register(prefix + name.lower(), _batched(score))
+    return [prefix + name.lower() for name in SCORERS]

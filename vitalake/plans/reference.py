@@ -288,8 +288,11 @@ CAST(length(text) AS INTEGER) AS total_chars, length(text) > 200 AS truncated FR
 
 
 def json_first_object(spark, d):
-    e = table(spark, d, "events").select("event_id", F.concat(F.lit("x "), "props", F.lit(" y")).alias("t"))
-    return e.select("event_id", json_text.first_object("t").alias("obj"))
+    """The first object of every raw record, as it is and inside braces that close too early, too late or never."""
+    line = F.col("line")
+    forms = F.array(line, F.concat(F.lit("} "), line), F.concat(F.lit("{"), line), F.concat(F.lit("a {"), line, F.lit("} b {c}")))
+    e = table(spark, d, "raw_event_lines").select("line_id", F.posexplode(forms).alias("form", "t"))
+    return e.select("line_id", "form", json_text.first_object("t").alias("obj"))
 
 
 def extract_records(spark, d):
@@ -344,27 +347,36 @@ def occ_search(spark, d):
 
 
 def occ_cache_key(spark, d):
-    o = table(spark, d, "occupations").select("rec_seq", F.lower(F.regexp_replace("preferred_label", "[^A-Za-z ]", "")).alias("q"))
-    return o.select("rec_seq", matching.cache_key(F.col("q")).alias("cache_key"))
+    r = table(spark, d, "resolution_results").where("input is not null")
+    return r.select("result_id", matching.cache_key(F.col("input")).alias("cache_key"))
 
 
 def occ_ttl(spark, d):
     return table(spark, d, "resolution_results").groupBy("status").agg(F.count(F.lit(1)).alias("n")).select("status", "n", matching.ttl(F.col("status")).alias("ttl"))
 
 
-_FILES = (
-    ("/in/cv.pdf", 1000, "%PDF-1.7"), ("/in/cv.docx", 1000, "PK"), ("/in/cv.txt", 10, "hello"), ("/in/big.pdf", 6000000, "%PDF-1.4"), ("/in/fake.pdf", 99, "PK"), ("/in/../x.pdf", 99, "%PDF-1.5"), ("/in/noext", 1, "a"), ("/in/CV.PDF", 5242880, "%PDF-1.6"),
-)
-
-
 def val_file_rules(spark, d):
-    rows = spark.createDataFrame(list(_FILES), "path string, length bigint, head string").withColumn("header", F.encode("head", "UTF-8"))
-    return documents.cheap_checks(rows).select("path", "file_type", "size_mb", F.coalesce("stage", F.lit("passed")).alias("stage"), "failure_reason")
-
-
-_FILE_ROWS = ", ".join(f"('{p}', {n}, '{h}')" for p, n, h in _FILES)
+    """The cheap checks on a file for every document of the tables: names from their metadata, sizes from their texts, kinds by turns."""
+    parts = []
+    for name, key in (("pdf_results", "pdf_id"), ("docx_results", "docx_id")):
+        t, n = table(spark, d, name), F.col(key)
+        path = F.concat(F.when(n % 7 == 0, "/in/../").when(n % 11 == 0, "/").otherwise("/in/"), F.col("metadata.filename"), F.when(n % 13 == 0, ".txt").when(n % 17 == 0, "/").otherwise(""))
+        head = F.when(n % 5 == 0, F.lit("hello")).when(n % 2 == 0, F.lit("%PDF-1.7")).otherwise(F.lit("PK\x03\x04"))
+        parts.append(t.select(F.lit(name).alias("src"), n.alias("row_id"), path.alias("path"), (F.col("total_chars").cast("bigint") * 3_000).alias("length"), F.encode(head, "UTF-8").alias("header")))
+    return documents.cheap_checks(parts[0].unionByName(parts[1])).select("src", "row_id", "path", "file_type", "size_mb", F.coalesce("stage", F.lit("passed")).alias("stage"), "failure_reason")
+
+
+_FILE_ROWS = " UNION ALL ".join(
+    f"""SELECT '{name}' AS src, {key} AS row_id, CASE WHEN {key} % 7 = 0 THEN '/in/../' WHEN {key} % 11 = 0 THEN '/' ELSE '/in/' END || metadata.filename || CASE WHEN {key} % 13 = 0 THEN '.txt' WHEN {key} % 17 = 0 THEN '/' ELSE '' END AS path,
+ CAST(total_chars AS BIGINT) * 3000 AS length, CASE WHEN {key} % 5 = 0 THEN 'hello' WHEN {key} % 2 = 0 THEN '%PDF-1.7' ELSE 'PK' || chr(3) || chr(4) END AS head FROM {name}"""
+    for name, key in (("pdf_results", "pdf_id"), ("docx_results", "docx_id"))
+)
+_SIZE = "CAST(round(CAST(length / 1048576 AS DECIMAL(24, 18)), 2) AS DOUBLE)"
 OTHER_SQL = {
-    "json_first_object": "SELECT event_id, props AS obj FROM events",
+    "json_first_object": """WITH f AS (SELECT line_id, unnest([0, 1, 2, 3]) AS form, unnest([line, '} ' || line, '{' || line, 'a {' || line || '} b {c}']) AS t FROM raw_event_lines),
+c AS (SELECT line_id, form, t, unnest(string_split(t, '')) AS c, unnest(range(1, length(t) + 1)) AS i FROM f), b AS (SELECT line_id, form, t, c, i, sum(CASE c WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (PARTITION BY line_id, form ORDER BY i) AS depth FROM c WHERE c IN ('{', '}')),
+o AS (SELECT line_id, form, min(i) AS a FROM b WHERE c = '{' GROUP BY ALL), z AS (SELECT b.line_id, b.form, o.a, min(b.i) AS z FROM b JOIN o ON o.line_id = b.line_id AND o.form = b.form WHERE b.c = '}' AND b.i > o.a AND b.depth = 0 GROUP BY ALL)
+SELECT f.line_id, CAST(f.form AS INTEGER) AS form, CASE WHEN z.z IS NULL THEN t ELSE substr(t, z.a, z.z - z.a + 1) END AS obj FROM f LEFT JOIN z ON z.line_id = f.line_id AND z.form = f.form""",
     "occ_terms": f"""WITH last AS (SELECT coalesce(uri, '') AS uri, arg_max({{'l': preferred_label, 'a': alt_labels}}, rec_seq) AS r, min(rec_seq) AS rec_seq FROM occupations WHERE preferred_label IS NOT NULL GROUP BY 1),
 al AS (SELECT uri, rec_seq, regexp_replace(coalesce(r.a, ''), '^{WS}+|{WS}+$', '', 'g') AS a FROM last),
 x AS (SELECT uri, rec_seq, 'preferred_label' AS field, r.l AS term FROM last UNION ALL
@@ -382,11 +394,13 @@ SELECT id AS pdf_id, nullif(regexp_extract(text, '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{
     "pdf_pages": f"""WITH p AS (SELECT CAST(pdf_id AS VARCHAR) AS path, string_split(text, chr(12)) AS a FROM pdf_results WHERE text IS NOT NULL), u AS (SELECT path, unnest(a) AS t, unnest(range(1, len(a) + 1)) AS i FROM p),
 g AS (SELECT path, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (WHERE regexp_replace(t, '^{WS}+|{WS}+$', '', 'g') <> ''), '') AS t, CAST(count(*) AS INTEGER) AS page_count, count_if(regexp_replace(t, '^{WS}+|{WS}+$', '', 'g') <> '') = 0 AS ocr_required FROM u GROUP BY path)
 SELECT path, t AS text, CAST(length(t) AS INTEGER) AS total_chars, length(t) > 500000 AS truncated, page_count, ocr_required FROM g""",
-    "occ_cache_key": """SELECT rec_seq, 'occupation:v1:' || sha256('{"limit": 5, "query": "' || lower(regexp_replace(preferred_label, '[^A-Za-z ]', '', 'g')) || '", "threshold": 70.0, "version": "v1"}') AS cache_key FROM occupations""",
+    "occ_cache_key": """SELECT result_id, 'occupation:v1:' || sha256('{"limit": 5, "query": ' || CAST(to_json(input) AS VARCHAR) || ', "threshold": 70.0, "version": "v1"}') AS cache_key FROM resolution_results WHERE input IS NOT NULL""",
     "occ_ttl": "SELECT status, count(*) AS n, CASE WHEN status IN ('unresolved', 'ambiguous') THEN 300 ELSE 3600 END AS ttl FROM resolution_results GROUP BY status",
-    "val_file_rules": f"""SELECT path, ft AS file_type, round(length / 1048576, 2) AS size_mb, CASE WHEN list_contains(string_split(path, '/'), '..') THEN 'path_validation' WHEN length > 5242880 THEN 'size_validation' WHEN ft IS NULL THEN 'type_detection' WHEN NOT magic THEN 'magic_number_validation' ELSE 'passed' END AS stage,
-CASE WHEN list_contains(string_split(path, '/'), '..') THEN 'Path traversal detected' WHEN length > 5242880 THEN 'File too large: ' || round(length / 1048576, 2) || ' MB' WHEN ft IS NULL THEN 'Unsupported file extension: ' || lower(regexp_extract(path, '(\\.[^./]+)$', 1)) WHEN NOT magic THEN 'File signature does not match its extension' END AS failure_reason
-FROM (SELECT *, CASE ft WHEN 'pdf' THEN starts_with(head, '%PDF') ELSE starts_with(head, 'PK' || chr(3) || chr(4)) END AS magic FROM (SELECT *, CASE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' END AS ft FROM (VALUES {_FILE_ROWS}) t(path, length, head)))""",
+    "val_file_rules": f"""SELECT src, row_id, path, ft AS file_type, {_SIZE} AS size_mb,
+CASE WHEN bad IS NOT NULL THEN 'path_validation' WHEN length > 5242880 THEN 'size_validation' WHEN path IS NULL THEN 'type_detection' WHEN ft IS NULL THEN 'type_detection' WHEN NOT magic THEN 'magic_number_validation' ELSE 'passed' END AS stage,
+CASE WHEN bad IS NOT NULL THEN bad WHEN length > 5242880 THEN 'File too large: ' || {_SIZE} || ' MB' WHEN ft IS NULL THEN 'Unsupported file extension: ' || lower(regexp_extract(path, '(\\.[^./]+)$', 1)) WHEN NOT magic THEN 'File signature does not match its extension' END AS failure_reason
+FROM (SELECT *, CASE WHEN list_contains(string_split(path, '/'), '..') THEN 'Path traversal detected' WHEN ends_with(path, '/') THEN 'Path is not a file' WHEN length IS NULL THEN 'File does not exist' END AS bad, CASE ft WHEN 'pdf' THEN starts_with(head, '%PDF') ELSE starts_with(head, 'PK' || chr(3) || chr(4)) END AS magic
+FROM (SELECT *, CASE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' END AS ft FROM ({_FILE_ROWS})))""",
 }
 
 QUERIES = {

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -10,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+LOG = logging.getLogger("vitalake")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the data directory ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -18,11 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests, one machine) a temporary folder is made.
+    Only where that is unset on one machine (a local master, as in tests) a temporary folder is made; on a cluster,
+    whose executors could not read it, this is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()
+        master = spark.sparkContext.master
+        if not current and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = current or tempfile.mkdtemp(prefix="vitalake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -32,7 +41,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vitalake-{label}-{uuid.uuid4().hex}"
+    began = time.time()
     df.write.parquet(path)
+    LOG.info("wrote %s in %.1f s", path, time.time() - began)
     return spark.read.schema(df.schema).parquet(path)
 
 
