@@ -10,3 +10,15 @@ def test_query_runs(spark, data, name):
     assert rows or name in ("p9_found",)
     if name.endswith("_found"):
         assert len(set(rows)) == len(rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_its_sql(spark, data, name):
+    import duckdb
+
+    df = queries.QUERIES[name](spark, data)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    rel = con.sql(queries.ORACLES[name])
+    assert set(rel.columns) == set(df.columns)
+    assert sorted(map(tuple, df.select(*rel.columns).collect())) == sorted(rel.fetchall())

@@ -69,6 +69,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every text encoded and decoded again: its size and digest."""
+    back = tokens.decode_column(p8_ids(spark, d), "doc_id", "ids")
+    return back.select("doc_id", F.length("raw").alias("n_bytes"), F.md5("raw").alias("digest"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
@@ -77,9 +83,17 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.find_garbled(table(spark, d, "documents"), "doc_id", "text", cache=materialise).select("doc_id")
 
 
+def p10_words(spark: SparkSession, d: str) -> DataFrame:
+    """What is looked up: the number of distinct words of each document that hold a character outside ASCII."""
+    return mojibake.document_words(table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"), "doc_id", "text", cache=materialise)
 
 
-QUERIES = {"p1_found": p1_found, "p1_resolved": p1_resolved, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_masked": p5_masked, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_resolved": p1_resolved, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_masked": p5_masked, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p10_words": p10_words, "p10_found": p10_found, "p10_restored": p10_restored}
+ORACLES: dict[str, str] = {
+    "p8_decoded": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS INTEGER) AS n_bytes, md5(coalesce(text, '')) AS digest FROM documents",
+    "p10_words": r"SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS w FROM documents) WHERE regexp_matches(w, '[^\x00-\x7F]') GROUP BY doc_id",
+}

@@ -219,3 +219,16 @@ def encode_column(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k"
 
     kind = dict(df.dtypes)[key]
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
+
+
+def decode_column(df: DataFrame, key: str, ids: str, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+    """(key, raw binary): the bytes that each row's ids stand for; none for an empty list, null for a null one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = encoder(name, folder).v.bytes_of
+        for batch in batches:
+            raw = [None if x is None else b"".join(map(texts.__getitem__, x)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["key", "raw"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, raw binary").select(F.col("key").alias(key), "raw")
