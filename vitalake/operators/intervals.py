@@ -1,9 +1,8 @@
 """Overlapping and gapped time intervals: continuous periods and the gaps between them.
 
-``session_window`` with a row-specific duration merges overlapping intervals natively. It runs twice:
-first within salted parts of each entity, which shrinks a hot entity map-side before its rows meet,
-then over the few periods that are left. Union of intervals is associative, so the salt does not
-change the result.
+``session_window`` with a row-specific duration merges overlapping intervals natively. Of the intervals of an
+entity that begin on the same day only the longest is kept before: that runs map-side, and bounds the rows of a hot
+entity by the days they begin on, however many rows it has.
 """
 
 from __future__ import annotations
@@ -24,22 +23,19 @@ def _sessions(rows: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, day(F.col("w.start")).alias("d0"), day(F.col("w.end")).alias("d1"))
 
 
-def merge_days(df: DataFrame, entity: str, first: Column, last: Column, salts: int = 16) -> DataFrame:
+def merge_days(df: DataFrame, entity: str, first: Column, last: Column) -> DataFrame:
     """(entity, d0, d1): continuous periods per entity, as days since 1970, both ends included.
 
     ``first`` and ``last`` are dates. Rows with a null entity, a missing end or an end before the start
     are left out; repeated rows change nothing; an empty table gives an empty result.
     """
-    num = lambda c: F.unix_date(c)
-    rows = df.select(F.col(entity), num(first).alias("d0"), num(last).alias("d1")).where(F.col(entity).isNotNull() & (F.col("d0") <= F.col("d1")))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("d0", "d1"), F.lit(salts)).cast("int"))
-    part = _sessions(rows, [entity, "salt"])
-    return _sessions(part, [entity])
+    rows = df.select(F.col(entity), F.unix_date(first).alias("d0"), F.unix_date(last).alias("d1")).where(F.col(entity).isNotNull() & (F.col("d0") <= F.col("d1")))
+    return _sessions(rows.groupBy(entity, "d0").agg(F.max("d1").alias("d1")), [entity])
 
 
-def periods_and_gaps(df: DataFrame, entity: str, first: Column, last: Column, salts: int = 16) -> DataFrame:
+def periods_and_gaps(df: DataFrame, entity: str, first: Column, last: Column) -> DataFrame:
     """(entity, kind, from_day, to_day): kind ``period`` per merged interval, ``gap`` from the end of one to the start of the next."""
-    merged = merge_days(df, entity, first, last, salts)
+    merged = merge_days(df, entity, first, last)
     nxt = F.lead("d0").over(Window.partitionBy(entity).orderBy("d0"))
     both = F.array(
         F.struct(F.lit("period").alias("kind"), F.col("d0").alias("a"), F.col("d1").alias("b")),
