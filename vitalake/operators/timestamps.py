@@ -274,6 +274,12 @@ def beside(df: DataFrame, name: str, few: DataFrame, key: str, most: int = 100_0
     return df.join(few, F.col(name) == F.col(key), "left")
 
 
+def gathered(few: DataFrame, most: int = 100_000) -> DataFrame:
+    """``few`` worked out once, if it has up to ``most`` rows; else ``few`` itself."""
+    rows = few.limit(most + 1).collect()
+    return few.sparkSession.createDataFrame(rows, few.schema) if len(rows) <= most else few
+
+
 def normalise(df: DataFrame, values: Sequence[str] | str, feed: str, zone: str, seen: str, unzoned: str | Sequence[str] = "UTC", orders: DataFrame | None = None, zones: DataFrame | None = None) -> DataFrame:
     """``df`` with ``<value>_utc`` (UTC seconds) for each value column; :func:`iso_utc` gives the text form.
 
@@ -286,7 +292,7 @@ def normalise(df: DataFrame, values: Sequence[str] | str, feed: str, zone: str,
     values = [values] if isinstance(values, str) else list(values)
     if orders is None:
         long = df.select(F.col(feed).alias("feed"), F.col(seen).alias("seen"), F.explode(F.array(*values)).alias("v"))
-        orders = feed_orders(long.select("feed", clean(F.col("v")).alias("s"), "seen"))
+        orders = gathered(feed_orders(long.select("feed", clean(F.col("v")).alias("s"), "seen")))
     orders = orders.select(F.col("feed").alias("__ts_feed"), F.col("day_first").alias("__ts_df"))
     rows, fallback = beside(df, feed, orders, "__ts_feed"), F.lit(unzoned if isinstance(unzoned, str) else unzoned[0])
     if zones is None and not isinstance(unzoned, str):

@@ -62,8 +62,8 @@ def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
 def feeds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """What all values of a feed say about it: (feed, day_first) and (feed, est_zone)."""
     every = event_values(spark, d).unionByName(pdf_values(spark, d))
-    orders = timestamps.feed_orders(every.select("feed", timestamps.clean(F.col("value")).alias("s"), "seen"))
-    return orders, timestamps.feed_zones(every.withColumnRenamed("feed_zone", "zone"), ZONES, orders)
+    orders = timestamps.gathered(timestamps.feed_orders(every.select("feed", timestamps.clean(F.col("value")).alias("s"), "seen")))
+    return orders, timestamps.gathered(timestamps.feed_zones(every.withColumnRenamed("feed_zone", "zone"), ZONES, orders))
 
 
 def _job_days(spark: SparkSession, d: str) -> DataFrame:
